@@ -6,13 +6,18 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..ship import ship
+
+
+def prepare(spark: SparkSession) -> None:
+    """Executors can import the package; Arrow batches are small, as rows hold whole texts."""
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
+
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder named by spark.checkpoint.dir (own temporary folder only where that is unset)."""
@@ -41,20 +46,6 @@ def text_of(df: DataFrame, column: str = "text") -> Column:
     return F.coalesce(df[column].cast("string"), F.lit(""))
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str) -> DataFrame:
-    """fn turns a batch into a dict of arrays or lists, in schema order; None gives no rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = fn(batch)
-            if out is not None:
-                yield pa.RecordBatch.from_arrays(
-                    [v if isinstance(v, (pa.Array, pa.ChunkedArray)) else pa.array(v) for v in out.values()], names=list(out)
-                )
-
-    return df.mapInArrow(run, schema)
-
-
 def range_bounds(df: DataFrame, column: str, rows_per_bucket: int) -> np.ndarray:
     """Upper bounds that cut a numeric column into buckets of about so many rows: one number a bucket reaches the driver."""
     n = df.agg(F.count(column)).first()[0]
