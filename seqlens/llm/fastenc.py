@@ -14,18 +14,17 @@ from __future__ import annotations
 import json
 import os
 import re
-import unicodedata
 from array import array
 
 import numpy as np
 
-#: The pretoken pattern of byte-level BPE, and that of word BPE for letters before U+0250 (fixed values).
+#: The pretoken pattern of byte-level BPE, and that of word BPE for letters up to U+017F (fixed values).
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-WORD_PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+WORD_PATTERN = re.compile(r"[a-zªµºß-öø-ſ]+|'s|'t|'re|'ve|'m|'ll|'d|\d|(?:[^\s\w]|_)+")
 END = "\x01"
 #: Texts with other characters than these go to the library.
 _BYTE_OTHER = re.compile(r"[^\x00-ԯ֐-׿ؠ-ي٠-٩ऀ-हḀ-῿ -⁯₠-₿℀-⅏←-⏿①-➿　-ゖ゠-ヿ一-龥가-힣！-～\U0001f300-\U0001f64f]")
-_WORD_OTHER = re.compile("[\x00\x01\x1c-\x1f\x7f-\xa0İ²³¹¼-¾]|[^\x00-ɏ]")
+_WORD_OTHER = re.compile("[\x00\x01\x1c-\x1f\x7f-\xa0İ²³¹¼-¾]|[^\x00-ſ]")
 
 
 def _byte_of() -> dict[str, int]:
@@ -68,7 +67,7 @@ class Encoder:
         if len(single) < 256 and not suffix or len(set(made)) < len(made):
             raise ValueError("not a byte-pair vocabulary of this kind")
         self.ids = np.array(ids, np.uint32)
-        pattern = BYTE_PATTERN if kind == "byte" else rf"[^\s{END}]+{END}"
+        pattern = BYTE_PATTERN if kind == "byte" else rf"[^{END}]+{END}"
         self.core = tiktoken.Encoding(kind, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.other = _BYTE_OTHER if kind == "byte" else _WORD_OTHER
 
@@ -80,10 +79,8 @@ class Encoder:
         if (not text.isascii() or self.kind == "word") and self.other.search(text) or self.special.search(text):
             return array("I", self.lib.encode(text, add_special_tokens=False).ids).tobytes()
         if self.kind == "word":
-            if not text.isascii():
-                text = unicodedata.normalize("NFC", text)
-            text = f"{END} ".join([*WORD_PATTERN.findall(text.lower()), ""])
-        return self.ids[np.array(self.core.encode_ordinary(text), np.intp)].tobytes()
+            text = END.join([*WORD_PATTERN.findall(text.lower()), ""])  # up to U+017F all is in normal form C
+        return self.ids[array("I", self.core.encode_ordinary(text))].tobytes()
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
