@@ -39,11 +39,8 @@ class Encoder:
     def __init__(self, path: str, kind: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.lib, self.kind = Tokenizer.from_file(path), kind
-        self.lib.no_padding()
-        self.lib.no_truncation()
+        self.path, self.kind, self._lib = path, kind, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = re.compile("|".join(re.escape(x["content"]) for x in spec["added_tokens"]) or r"(?!)")
@@ -71,6 +68,17 @@ class Encoder:
         self.core = tiktoken.Encoding(kind, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.other = _BYTE_OTHER if kind == "byte" else _WORD_OTHER
 
+    @property
+    def lib(self):
+        """The library's own tokenizer, loaded when a text needs it."""
+        if self._lib is None:
+            from tokenizers import Tokenizer
+
+            self._lib = Tokenizer.from_file(self.path)
+            self._lib.no_padding()
+            self._lib.no_truncation()
+        return self._lib
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, without special tokens added."""
         return [self._one(t) for t in texts]

@@ -24,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, range_bounds, shared_dir, text_of
+from .common import lean, partitions, range_bounds, shared_dir, text_of
 from .fastenc import encoder
 
-BLOCK = 1024
+BLOCK = 8192
 PERCENTILE = 90
 _HEAD = struct.Struct("<4sIQI")
 SHARD_SCHEMA = "shard long, n_ids long, doc_ids array<bigint>, lengths array<bigint>, payload binary"
@@ -39,14 +39,16 @@ def _widths(x: np.ndarray) -> np.ndarray:
 
 def _pack_bits(values: np.ndarray, width: int) -> bytes:
     """Low `width` bits of unsigned 32-bit values, highest bit first."""
-    bits = np.unpackbits(values.astype(">u4").view(np.uint8).reshape(-1, 4), axis=1)[:, 32 - width :]
-    return np.packbits(bits).tobytes()
+    word = 16 if width <= 16 else 32
+    raw = values.astype(f">u{word // 8}").view(np.uint8).reshape(-1, word // 8)
+    return np.packbits(np.unpackbits(raw, axis=1)[:, word - width :]).tobytes()
 
 
 def _unpack_bits(data: np.ndarray, n: int, width: int) -> np.ndarray:
-    out = np.zeros((n, 32), np.uint8)
-    out[:, 32 - width :] = np.unpackbits(data, count=n * width).reshape(n, width)
-    return np.packbits(out, axis=1).view(">u4").ravel().astype(np.uint32)
+    word = 16 if width <= 16 else 32
+    out = np.zeros((n, word), np.uint8)
+    out[:, word - width :] = np.unpackbits(data, count=n * width).reshape(n, width)
+    return np.packbits(out, axis=1).view(f">u{word // 8}").ravel().astype(np.uint32)
 
 
 def encode_blocks(ids: np.ndarray, block: int = BLOCK, percentile: int = PERCENTILE) -> bytes:
@@ -133,10 +135,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, kind: str
             yield done()
 
     rows = docs.select(F.col("doc_id").cast("long"), text_of(docs).alias("text"), F.md5(text_of(docs)).alias("tie"))
-    encoded = rows.mapInArrow(encode, "shard long, doc_id long, tie string, ids binary")
+    encoded = rows.mapInArrow(lean(encode), "shard long, doc_id long, tie string, ids binary")
     # a shard's number says where it lies in the order, so a plain exchange does and no range sample reads texts twice
     dealt = encoded.repartition(partitions(docs), "shard").sortWithinPartitions("shard", "doc_id", "tie").select("shard", "doc_id", "ids")
-    dealt.mapInArrow(shards, SHARD_SCHEMA).write.parquet(path)
+    dealt.mapInArrow(lean(shards), SHARD_SCHEMA).write.parquet(path)
 
 
 def read_token_files(spark, path: str) -> DataFrame:
