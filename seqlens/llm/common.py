@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +48,20 @@ def text_of(df: DataFrame, column: str = "text") -> Column:
     return F.coalesce(df[column].cast("string"), F.lit(""))
 
 
+def lean(fn):
+    """A mapper of batches that gives freed memory back when it ends: workers live on for other stages."""
+
+    def run(batches):
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):
+            pass  # another C library: memory is kept for reuse
+
+    return run
+
+
 def range_bounds(df: DataFrame, column: str, rows_per_bucket: int) -> np.ndarray:
     """Upper bounds that cut a numeric column into buckets of about so many rows: one number a bucket reaches the driver."""
     n = df.agg(F.count(column)).first()[0]

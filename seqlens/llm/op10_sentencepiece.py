@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import lean, text_of
 from .textvec import groups_of
 
 BLANK = "▁"
@@ -195,12 +195,21 @@ class PieceModel:
             return ""
         data = b"".join([self.surface[i] for i in ids])
         first = next((i for i in ids if not self.special[i] or i == self.unknown), None)
-        if first not in (None, self.unknown) and data[:1] == b" " and not self.is_byte[first]:
-            data = data[1:]
+        drop = first not in (None, self.unknown) and data[:1] == b" " and not self.is_byte[first]
         try:
-            return data.decode("utf-8")
+            if not self.special[ids].any():
+                return data.decode("utf-8")[drop:]
         except UnicodeDecodeError:
-            return "".join(self._valid(data))
+            pass
+        # bytes count together only where their pieces follow each other
+        out, run = [], b""
+        for i in ids:
+            if self.is_byte[i]:
+                run += self.surface[i]
+            else:
+                out += [*self._valid(run), self.surface[i].decode()]
+                run = b""
+        return "".join([*out, *self._valid(run)])[drop:]
 
     @staticmethod
     def _valid(data: bytes) -> Iterator[str]:
@@ -244,4 +253,4 @@ def encode_decode(docs: DataFrame, model_path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, range_bounds, text_of
+from .common import lean, partitions, range_bounds, text_of
 from .textvec import groups_of, shingle_hashes
 
 BITS = 2
@@ -95,7 +95,7 @@ def fingerprints(docs: DataFrame, bits: int = BITS, docs_per_bucket: int = 1024)
         yield pa.RecordBatch.from_arrays([pa.array(most.keys(), pa.int64()), pa.array(most.values(), pa.int64())], names=["bucket", "key"])
 
     # one number a bucket reaches the driver
-    found = rows.select("key").mapInArrow(heads, "bucket long, key long").groupBy("bucket").agg(F.max("key").alias("key")).collect()
+    found = rows.select("key").mapInArrow(lean(heads), "bucket long, key long").groupBy("bucket").agg(F.max("key").alias("key")).collect()
     order = sorted((r.bucket, r.key) for r in found)
     to = {k: order[(i + 1) % len(order)][0] for i, (_, k) in enumerate(order)}
     first_keys = np.array(sorted(to), dtype=np.int64)
@@ -158,6 +158,6 @@ def fingerprints(docs: DataFrame, bits: int = BITS, docs_per_bucket: int = 1024)
         if out is not None:
             yield out
 
-    dealt = rows.mapInArrow(deal, "bucket long, copy int, key long, doc_id long, text string")
+    dealt = rows.mapInArrow(lean(deal), "bucket long, copy int, key long, doc_id long, text string")
     in_order = dealt.repartition(partitions(docs), "bucket").sortWithinPartitions("bucket", "copy", F.desc("key"), "text")
-    return in_order.select("bucket", "copy", "doc_id", "text").mapInArrow(run, OUT_SCHEMA)
+    return in_order.select("bucket", "copy", "doc_id", "text").mapInArrow(lean(run), OUT_SCHEMA)

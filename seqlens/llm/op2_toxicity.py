@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_of
+from .common import lean, stored, text_of
 from .op7_near_dedup import COORDS, _band_keys, signatures, weighted_sets
 
 MAX_TRAIN = 10_000
@@ -286,7 +286,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> tuple[di
                 data = [s.tobytes() if s.any() else None for s in sigs]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], names=["digest", "sig"])
 
-    signed = sample.select("digest", "text").mapInArrow(sign, "digest string, sig binary").collect()
+    signed = sample.select("digest", "text").mapInArrow(lean(sign), "digest string, sig binary").collect()
     if not signed:
         return {}, None
     votes = _votes([(r.digest, r.sig) for r in signed])
@@ -316,7 +316,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> tuple[di
         if pos or neg:
             yield out()
 
-    counted = voted.select("text", "toxic", "vote").mapInArrow(count, "name string, pos double, neg double")
+    counted = voted.select("text", "toxic", "vote").mapInArrow(lean(count), "name string, pos double, neg double")
     counted = stored(counted.groupBy("name").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), "toxic-words")
     candidates = counted.count()
     top = counted.filter((F.col("pos") >= 2) & (F.col("pos") >= F.col("neg"))).orderBy(F.desc("pos"), "neg", "name").limit(MAX_LEXEMES).collect()
@@ -331,7 +331,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> tuple[di
             arrays = [pa.array(got, pa.list_(pa.float64())), batch.column(1), batch.column(2)]
             yield pa.RecordBatch.from_arrays(arrays, names=["features", "toxic", "vote"])
 
-    got = voted.select("text", "toxic", "vote").mapInArrow(featured, "features array<double>, toxic int, vote double").collect()
+    got = voted.select("text", "toxic", "vote").mapInArrow(lean(featured), "features array<double>, toxic int, vote double").collect()
     x = np.array([r.features for r in got]).reshape(-1, kinds)
     weights = fit(x, np.array([r.toxic for r in got], float), np.array([r.vote for r in got]))
     return learned, weights.tolist()

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 WINDOW = 3
 SURGE = 60
 
@@ -199,4 +201,4 @@ def main_text(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, names=["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows.mapInArrow(lean(run), "page_id long, url string, text string, n_chars long")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, shared_dir, text_of
+from .common import lean, partitions, shared_dir, text_of
 from .fastenc import encoder
 
 CACHE_SCHEMA = "content_digest string, tokenizer_digest string, n_tokens long"
@@ -66,8 +66,8 @@ def fill_cache(docs: DataFrame, cache_path: str, tokenizer_path: str, kind: str
                 names=["content_digest", "tokenizer_digest", "n_tokens"],
             )
 
-    distinct = keyed.mapInArrow(_first_seen, "content_digest string, text string").repartition(partitions(docs), "content_digest")
-    distinct.mapInArrow(count, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
+    distinct = keyed.mapInArrow(lean(_first_seen), "content_digest string, text string").repartition(partitions(docs), "content_digest")
+    distinct.mapInArrow(lean(count), CACHE_SCHEMA).write.mode("append").parquet(cache_path)
     return cache()
 
 

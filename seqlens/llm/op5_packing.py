@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, text_of
+from .common import lean, stored, text_of
 from .fastenc import encoder
 
 SIZE = 1024
@@ -47,7 +47,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 0, size: int
                 names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), text_of(docs).alias("text")).mapInArrow(run, PIECE_SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), text_of(docs).alias("text")).mapInArrow(lean(run), PIECE_SCHEMA)
 
 
 def shortest_pack_first(histogram: dict[int, int], size: int = SIZE) -> list[tuple[list[int], int]]:

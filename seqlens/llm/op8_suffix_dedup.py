@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, stored, text_of
+from .common import lean, partitions, stored, text_of
 from .textvec import U, mix
 
 LENGTH, GRAM = 200, 64
@@ -427,20 +427,20 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """(t1, t2, spans): the spans of each text (by digest) whose bytes repeat; they may overlap."""
     parts = partitions(docs)
     texts = docs.select(text_of(docs).alias("text"))
-    rows = texts.mapInArrow(_find, ROW_SCHEMA).repartition(parts, "anchor").sortWithinPartitions("anchor", "context")
-    first = stored(rows.mapInArrow(_settle, ROW_SCHEMA), "anchors")
+    rows = texts.mapInArrow(lean(_find), ROW_SCHEMA).repartition(parts, "anchor").sortWithinPartitions("anchor", "context")
+    first = stored(rows.mapInArrow(lean(_settle), ROW_SCHEMA), "anchors")
     wanted = (
         first.filter(F.col("kind") == OPEN)
         .groupBy("t1", "t2")
         .agg(F.collect_list(F.struct("anchor", "at", "lo", "hi")).alias("wanted"))
     )
     keyed = _keyed(docs).select(F.col("__t1").alias("t1"), F.col("__t2").alias("t2"), F.col("__text").alias("text"))
-    sources = keyed.filter(F.octet_length("text") >= LENGTH).mapInArrow(_first_seen, "t1 long, t2 long, text string")
+    sources = keyed.filter(F.octet_length("text") >= LENGTH).mapInArrow(lean(_first_seen), "t1 long, t2 long, text string")
     fetched = sources.join(wanted, ["t1", "t2"]).mapInArrow(
         _fetch, "anchor long, t1 long, t2 long, at long, lo int, hi int, bytes binary"
     )
     dealt = fetched.repartition(parts, "anchor").sortWithinPartitions("anchor")
-    second = stored(dealt.mapInArrow(_sorted_groups, ROW_SCHEMA), "sorted")
+    second = stored(dealt.mapInArrow(lean(_sorted_groups), ROW_SCHEMA), "sorted")
     windows = second.filter(F.col("kind") == OPEN)
     many = windows.groupBy("anchor", "context").agg(F.count("*").alias("times")).filter("times > 1")
     hot = windows.join(many, ["anchor", "context"]).select("t1", "t2", F.col("at").alias("start"), (F.col("at") + LENGTH).alias("end"))
@@ -484,7 +484,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     rows = _with_spans(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "__text", "__spans")
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.mapInArrow(lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:

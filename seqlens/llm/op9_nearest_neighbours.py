@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, stored
+from .common import lean, partitions, stored
 
 K = 20
 EVERY = 20
@@ -156,7 +156,7 @@ def _packed(rows: DataFrame, blocks: int) -> DataFrame:
 
     dealt = rows.select(F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(blocks)).cast("int").alias("block"), "vec_id", "embedding")
     dealt = dealt.repartition(min(blocks, partitions(rows)), "block").sortWithinPartitions("block", "vec_id")
-    return dealt.mapInArrow(run, "block int, ids binary, vectors binary")
+    return dealt.mapInArrow(lean(run), "block int, ids binary, vectors binary")
 
 
 def nearest(embeddings: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
@@ -179,6 +179,6 @@ def nearest(embeddings: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     queries = _packed(asked, query_blocks).select(F.col("ids").alias("qids"), F.col("vectors").alias("queries"))
     queries = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     met = stored(vectors, "vector-blocks").join(stored(queries, "query-blocks"), "block")
-    found = met.select("block", "ids", "vectors", "most", "qids", "queries").mapInArrow(_search, _OUT)
+    found = met.select("block", "ids", "vectors", "most", "qids", "queries").mapInArrow(lean(_search), _OUT)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
