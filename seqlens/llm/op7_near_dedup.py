@@ -6,9 +6,9 @@ rank bound is kept, and each signature coordinate keeps the earliest dart of tho
 text's total weight, so every text keeps about the same number of darts; a text with an empty coordinate doubles its bound.
 
 Steps: texts are grouped by digest into classes; bands of the signatures of classes are joined; in each band every class is
-compared with the least one (a star, never all pairs) by the exact likeness of the texts; components of the links follow.
-Bands that still hold several components are searched for the remaining links: signatures of classes in different
-components are compared in blocks of bounded size, and what comes near the threshold is verified exactly as well.
+compared with the band's centre (a star, never all pairs) by the exact likeness of the texts; components of the links follow.
+Bands that still hold several components are searched for the remaining links: blocks of bounded size, holding the shingles
+of their classes, compare classes of different components exactly and return only links that join components.
 
 Defined results: null counts as empty text; a text without words joins only equal texts; repeated rows and copies share a
 group; a group's id is its smallest doc_id (null only if all are null); an empty table gives no rows.
@@ -23,15 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, stored, text_of
-from .components import connected_components
+from .common import lean, partitions, stored, text_of
+from .components import connected_components, join_components
 from .textvec import U, groups_of, mix, shingle_hashes
 
 BANDS, ROWS = 20, 4
 COORDS = BANDS * ROWS
 THRESHOLD = 0.8
-#: Signatures agree in COORDS places with a deviation of 0.045 at 0.8: five deviations below the threshold.
-NEAR = 0.575
 BLOCK = 2000
 _MULT = U(0x9E3779B97F4A7C15)
 #: Distribution function of the Poisson law with mean 1.
@@ -169,119 +167,211 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(_band_keys(sigs).ravel()), digests], names=["band", "digest"])
 
 
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(digest, text) -> (digest, ids, counts): the weighted shingles of a text."""
+    for batch in batches:
+        digests, at = batch.column(0).to_pylist(), 0
+        for part in groups_of(batch.column(1).to_pylist(), 1_000_000):
+            ids, counts, ends = weighted_sets(part)
+            begins = np.concatenate([[0], ends[:-1]]).tolist()
+            spans = list(zip(begins, ends.tolist(), strict=True))
+            cols = [[x[a:b].tobytes() for a, b in spans] for x in (ids, counts.astype(np.uint32))]
+            arrays = [pa.array(c, pa.binary()) for c in (digests[at : at + len(part)], *cols)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["digest", "ids", "counts"])
+            at += len(part)
+
+
+def _set(ids: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(ids, np.uint64), np.frombuffer(counts, np.uint32).astype(np.int64)
+
+
+def _centres(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (band, part, digest, sig) sorted by (band, part): each class with the centre of its part of a band, which is the
+    class that agrees most with the part's commonest value in each coordinate. (band, part, a: centre, b: class)"""
+
+    def out(band: int, part: int, digests: list[bytes], sigs: list[bytes]) -> pa.RecordBatch:
+        s = np.frombuffer(b"".join(sigs), np.uint32).reshape(-1, COORDS)
+        if len(s) > 2:
+            order = np.sort(s, axis=0)
+            agree = np.zeros(len(s))
+            for j in range(COORDS):
+                values, counts = np.unique(order[:, j], return_counts=True)
+                agree += s[:, j] == values[counts.argmax()]
+            k = int(agree.argmax())
+        else:
+            k = 0
+        n = len(digests)
+        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+        cols = [[band] * n, [part] * n, [digests[k]] * n, digests]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["band", "part", "a", "b"])
+
+    now, held = None, ([], [])
+    for batch in batches:
+        for band, part, digest, sig in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (band, part) != now:
+                if now:
+                    yield out(*now, *held)
+                now, held = (band, part), ([], [])
+            held[0].append(digest)
+            held[1].append(sig)
+    if now:
+        yield out(*now, *held)
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (a, part, b, ids, counts) sorted by (a, part, b is not null): the set of a, then those of the classes b to compare."""
+    now, own = None, None
     for batch in batches:
-        a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        texts = dict(zip(a + b, batch.column(2).to_pylist() + batch.column(3).to_pylist(), strict=True))
-        ids, counts, ends = weighted_sets(list(texts.values())) if texts else (None, None, [])
-        own, at = {}, 0
-        for d, end in zip(texts, ends, strict=True):
-            own[d] = ids[at:end], counts[at:end]
-            at = end
-        like = [likeness(own[x], own[y]) for x, y in zip(a, b, strict=True)]
-        out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(like, pa.float64())], names=["a", "b", "likeness"])
-        yield out
-
-
-def _near_in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (band, x, y, chunk, digest, root, sig) sorted by (band, x, y): pairs of different roots whose signatures are near.
-    A block holds two chunks of about BLOCK classes at most."""
-
-    def pairs(chunk: list, digest: list, root: list, sig: list, x: int, y: int) -> tuple[list, list]:
-        s = np.frombuffer(b"".join(sig), np.uint32).reshape(-1, COORDS)
-        names, number = np.unique(np.array(root, object), return_inverse=True)
-        chunk = np.array(chunk)
-        left, right = [], []
-        if len(names) < 2:
-            return left, right
-        # the largest component is compared from the side of the others
-        rest = np.flatnonzero(number != np.bincount(number).argmax())
-        for i in rest.tolist():
-            other = np.flatnonzero((number != number[i]) & ((chunk != chunk[i]) if x != y else True))
-            near = other[(s[other] == s[i]).mean(1) >= NEAR]
-            left += [digest[i]] * len(near)
-            right += [digest[j] for j in near]
-        return left, right
-
-    def out(left: list, right: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
-
-    now, held = None, [[], [], [], []]
+        left, right, like = [], [], []
+        for a, part, b, ids, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if b is None:
+                now, own = (a, part), _set(ids, counts)
+            elif now == (a, part):
+                x = likeness(own, _set(ids, counts))
+                if x >= THRESHOLD:
+                    left.append(a)
+                    right.append(b)
+                    like.append(x)
+        if left:
+            arrays = [pa.array(left, pa.binary()), pa.array(right, pa.binary()), pa.array(like)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["a", "b", "likeness"])
+
+
+def block_links(digests: list, roots: list, chunk: np.ndarray, sets: list, across: bool) -> list[tuple[bytes, bytes, float]]:
+    """Links that join the components `roots` of a block: all pairs of different components that the threshold's bound on the
+    totals allows are compared exactly, through the block's inverted lists; of the links found, a spanning forest is kept."""
+    names, number = np.unique(np.array(roots, object), return_inverse=True)
+    if len(names) < 2:
+        return []
+    parent = list(range(len(names)))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    ids = np.concatenate([i for i, _ in sets])
+    counts = np.concatenate([c for _, c in sets])
+    owner = np.repeat(np.arange(len(sets)), [len(i) for i, _ in sets])
+    total = np.bincount(owner, counts, len(sets))
+    order = np.argsort(ids, kind="stable")
+    ids, counts, owner = ids[order], counts[order], owner[order]
+    found = []
+    # the largest component is compared from the side of the others
+    for k in np.flatnonzero(number != np.bincount(number).argmax()).tolist():
+        own, c = sets[k]
+        lo, hi = np.searchsorted(ids, own, "left"), np.searchsorted(ids, own, "right")
+        size = hi - lo
+        stop = np.cumsum(size)
+        at = np.arange(int(stop[-1])) - np.repeat(stop - size - lo, size)
+        both = np.bincount(owner[at], np.minimum(counts[at], np.repeat(c, size)), len(sets))
+        like = both / (total + total[k] - both)
+        near = (like >= THRESHOLD) & (number != number[k])
+        if across:
+            near &= chunk != chunk[k]
+        for j in np.flatnonzero(near).tolist():
+            x, y = find(number[k]), find(number[j])
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                found.append((digests[k], digests[j], float(like[j])))
+    return found
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (band, x, y, chunk, digest, root, ids, counts) sorted by (band, x, y)."""
+
+    def out(key: tuple, held: list[list]) -> pa.RecordBatch:
+        chunk, digest, root, ids, counts = held
+        links = block_links(digest, root, np.array(chunk), [_set(i, c) for i, c in zip(ids, counts, strict=True)], key[1] != key[2])
+        cols = list(zip(*links, strict=True)) or [[], [], []]
+        arrays = [pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.binary(), pa.float64()), strict=True)]
+        return pa.RecordBatch.from_arrays(arrays, names=["a", "b", "likeness"])
+
+    now, held = None, [[], [], [], [], []]
     for batch in batches:
         for band, x, y, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if (band, x, y) != now:
                 if now:
-                    yield out(*pairs(*held, *now[1:]))
-                now, held = (band, x, y), [[], [], [], []]
+                    yield out(now, held)
+                now, held = (band, x, y), [[], [], [], [], []]
             for col, v in zip(held, row, strict=True):
                 col.append(v)
     if now:
-        yield out(*pairs(*held, *now[1:]))
+        yield out(now, held)
 
 
-def near_duplicate_links(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """texts: (digest, text), copies allowed. Links (a, b, likeness) between classes, and components (node, root)."""
+def near_duplicate_components(texts: DataFrame) -> DataFrame:
+    """texts: (digest, text), copies allowed. (node, root) of the classes that have a link."""
     parts = partitions(texts)
     signed = stored(
-        texts.mapInArrow(_sign, "digest binary, sig binary").filter("sig is not null").groupBy("digest").agg(F.max("sig").alias("sig")), "signatures"
+        texts.mapInArrow(lean(_sign), "digest binary, sig binary").filter("sig is not null").groupBy("digest").agg(F.max("sig").alias("sig")), "signatures"
+    )
+    bands = signed.mapInArrow(lean(_bands), "band long, digest binary")
+    sizes = bands.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = stored(bands.hint("merge").join(sizes, "band"), "bands")
+    salt = F.pmod(F.xxhash64("digest"), F.ceil(F.col("n") / BLOCK)).cast("int")
+
+    # centres of parts of at most about BLOCK classes; where a band has several parts, their centres meet in the same way
+    parted = shared.hint("merge").join(signed, "digest").select("band", salt.alias("part"), "digest", "sig")
+    dealt = parted.repartition(parts, "band", "part").sortWithinPartitions("band", "part")
+    stars = stored(dealt.mapInArrow(lean(_centres), "band long, part int, a binary, b binary"), "stars")
+    many = shared.filter(F.col("n") > BLOCK).select("band").distinct()
+    tops = stars.select("band", "a").distinct().join(many, "band")
+    top = tops.groupBy("band").agg(F.min("a").alias("top"))
+    across = tops.join(top, "band").select(F.col("top").alias("a"), F.col("a").alias("b"))
+    pairs = stored(stars.select("a", "b").union(across).filter("a <> b").distinct(), "pairs")
+
+    wanted = shared.select("digest").distinct()
+    once = texts.mapInArrow(lean(_first_seen), "digest binary, text string").hint("merge").join(wanted, "digest", "left_semi")
+    sets = once.mapInArrow(lean(_sets), "digest binary, ids binary, counts binary")
+    sets = stored(sets.repartition(parts, "digest").mapInArrow(lean(_first_seen), sets.schema), "sets")
+
+    salts = 8
+    members = pairs.hint("merge").join(sets.withColumnRenamed("digest", "b"), "b")
+    members = members.select("a", F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int").alias("part"), "b", "ids", "counts")
+    centres = sets.hint("merge").join(pairs.select(F.col("a").alias("digest")).distinct(), "digest", "left_semi")
+    centres = centres.select(
+        F.col("digest").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("part"), F.lit(None).cast("binary").alias("b"), "ids", "counts"
     )
-    bands = signed.mapInArrow(_bands, "band long, digest binary")
-    hubs = bands.groupBy("band").agg(F.min("digest").alias("hub"), F.count("*").alias("n")).filter("n > 1")
-    star = bands.join(hubs, "band").filter("digest <> hub").select(F.col("hub").alias("a"), F.col("digest").alias("b")).distinct()
-
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = stored(pairs, f"{name}-pairs")
-        wanted = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
-        once = texts.mapInArrow(_first_seen, "digest binary, text string").join(wanted, "digest", "left_semi")
-        once = stored(once.groupBy("digest").agg(F.first("text").alias("text")), f"{name}-texts")
-        a, b = (once.select(F.col("digest").alias(x), F.col("text").alias(f"{x}_text")) for x in "ab")
-        both = pairs.join(b, "b").join(a, "a").select("a", "b", "a_text", "b_text")
-        return stored(both.mapInArrow(_verify, "a binary, b binary, likeness double").filter(F.col("likeness") >= THRESHOLD), f"{name}-links")
-
-    links = verified(star, "star")
+    met = members.union(centres).repartition(parts, "a", "part").sortWithinPartitions("a", "part", F.col("b").isNotNull())
+    links = stored(met.mapInArrow(lean(_verify), "a binary, b binary, likeness double"), "links")
     roots = connected_components(links, "a", "b")
 
-    # bands of three classes or more whose classes lie in several components may hold links that no star has
-    of = F.coalesce(F.col("root"), F.col("digest"))
-    wide = bands.join(hubs.filter("n > 2").select("band", "n"), "band")
-    labelled = wide.join(roots.withColumnRenamed("node", "digest"), "digest", "left").select("band", "n", "digest", of.alias("root"))
-    labelled = stored(labelled, "labelled")
-    mixed = labelled.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band")
+    # bands whose classes still lie in several components may hold links that no centre has
+    of = F.coalesce(F.col("root"), F.col("digest")).alias("root")
+    named = shared.filter("n > 2").hint("merge").join(roots.withColumnRenamed("node", "digest"), "digest", "left").select("band", "n", "digest", of)
+    named = stored(named, "named")
+    mixed = named.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band")
     chunks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = (
-        labelled.join(mixed, "band")
-        .join(signed, "digest")
+    rest = (
+        named.hint("merge").join(mixed, "band")
         .withColumn("chunk", F.pmod(F.xxhash64("digest"), chunks).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-        .select("band", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), "chunk", "digest", "root", "sig")
+        .select("band", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), "chunk", "digest", "root")
+        .hint("merge").join(sets, "digest")
+        .select("band", "x", "y", "chunk", "digest", "root", "ids", "counts")
     )
-    blocks = dealt.repartition(parts, "band", "x", "y").sortWithinPartitions("band", "x", "y")
-    near = blocks.mapInArrow(_near_in_blocks, "a binary, b binary")
-    more = verified(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "rest")
-    if not more.isEmpty():
-        links = links.unionByName(more)
-        roots = connected_components(links, "a", "b")
-    return links, roots
+    rest = rest.repartition(parts, "band", "x", "y").sortWithinPartitions("band", "x", "y")
+    more = stored(rest.mapInArrow(lean(_blocks), "a binary, b binary, likeness double"), "more-links")
+    return join_components(roots, more, "a", "b")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, group_id, group_size, links (of the document's text with other texts that were verified), keep."""
+    """doc_id, group_id (the class: its smallest doc_id), group_size, keep (one row of each group)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text_of(docs))).alias("digest"), text_of(docs).alias("text"))
-    links, roots = near_duplicate_links(rows.select("digest", "text"))
+    roots = near_duplicate_components(rows.select("digest", "text"))
     classes = rows.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     named = classes.join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     groups = named.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least", "digest")).alias("first"), F.sum("copies").alias("group_size"))
-    degree = links.select(F.col("a").alias("digest")).union(links.select("b")).groupBy("digest").agg(F.count("*").alias("links"))
     of = (
         named.join(groups, "root")
-        .join(degree, "digest", "left")
-        .select("digest", F.col("first.least").alias("group_id"), (F.col("first.digest") == F.col("digest")).alias("leads"), "group_size", "links")
+        .select("digest", F.col("first.least").alias("group_id"), (F.col("first.digest") == F.col("digest")).alias("leads"), "group_size")
     )
     return rows.select("doc_id", "digest").join(of, "digest").select(
         "doc_id",
         "group_id",
         "group_size",
-        F.coalesce("links", F.lit(0)).alias("links"),
         (F.col("leads") & F.col("doc_id").eqNullSafe(F.col("group_id"))).alias("keep"),
     )
 
@@ -290,7 +380,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One document of each group, with all its columns."""
     digest = F.unhex(F.md5(text_of(docs)))
     rows = docs.select(digest.alias("digest"), text_of(docs).alias("text"))
-    _, roots = near_duplicate_links(rows)
+    roots = near_duplicate_components(rows)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest.alias("digest"))
     classes = ids.groupBy("digest").agg(F.min("doc_id").alias("least"))
     named = classes.join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
