@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +51,12 @@ class PieceModel:
         self.is_byte = np.zeros(n, bool)
         self.is_byte[list(self.byte_id.values())] = True
         # symbols: pieces by id, then single characters that are no pieces
-        self.n, self.symbol = n, {p: i for p, i in pieces.items() if len(p) == 1}
+        self.n = n
+        self.of_point = np.arange(n, n + 0x110000, dtype=np.int64)
+        for p, i in pieces.items():
+            if len(p) == 1:
+                self.of_point[ord(p)] = i
+        self.seen: dict[str, tuple[tuple[int, ...], str]] = {}
         score = {p: sp.get_score(i) for p, i in pieces.items()}
         levels = {s: r for r, s in enumerate(sorted(set(score.values()), reverse=True))}
         keys, made, rank = [], [], []
@@ -105,12 +111,11 @@ class PieceModel:
             at[todo] += 1
         return out
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
+    def encode_words(self, words: list[str]) -> list[tuple[int, ...]]:
         """Piece ids of words, each a run of blanks (as ▁) and what follows it."""
         lengths = np.array([len(w) for w in words], np.int64)
         points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        alphabet, at = np.unique(points, return_inverse=True)
-        sym = np.array([self.symbol.get(chr(c), self.n + c) for c in alphabet.tolist()], np.int64)[at]
+        sym = self.of_point[points]
         word = np.repeat(np.arange(len(words)), lengths)
         done_word, done_sym = [], []
         pair = self._pair_of(sym, word)
@@ -141,7 +146,10 @@ class PieceModel:
             keep[hit + 1] = False
             moved = np.cumsum(keep) - 1
             sym, word, pair = sym[keep], word[keep], pair[keep]
-            touched = np.unique(np.concatenate([moved[hit], np.maximum(moved[hit] - 1, 0)]))
+            near = np.zeros(len(sym), bool)
+            near[moved[hit]] = True
+            near[np.maximum(moved[hit] - 1, 0)] = True
+            touched = np.flatnonzero(near)
             nxt = np.minimum(touched + 1, len(sym) - 1)
             again = self.pairs(sym[touched], sym[nxt])
             again[(word[touched] != word[nxt]) | (nxt == touched)] = -1
@@ -155,28 +163,26 @@ class PieceModel:
             pair[:-1][word[1:] != word[:-1]] = -1
         return pair
 
-    def _ids(self, n: int, words: list[np.ndarray], symbols: list[np.ndarray]) -> list[list[int]]:
+    def _ids(self, n: int, words: list[np.ndarray], symbols: list[np.ndarray]) -> list[tuple[int, ...]]:
         if not words:
-            return [[] for _ in range(n)]
+            return [()] * n
         word, sym = np.concatenate(words), np.concatenate(symbols)
         order = np.argsort(word, kind="stable")
         ends = np.searchsorted(word[order], np.arange(n), side="right").tolist()
-        flat = sym[order].tolist()
-        out, at = [], 0
+        flat, at, out = sym[order].tolist(), 0, []
         for end in ends:
-            ids = flat[at:end]
+            out.append(tuple(flat[at:end]))
             at = end
-            if ids and max(ids) >= self.n:
-                ids = [x for s in ids for x in (self._bytes(s - self.n) if s >= self.n else (s,))]
-            out.append(ids)
+        for k in np.unique(word[sym >= self.n]).tolist():
+            out[k] = tuple(x for s in out[k] for x in (self._bytes(s - self.n) if s >= self.n else (s,)))
         return out
 
     def _bytes(self, point: int) -> list[int]:
         data = chr(point).encode("utf-8", "surrogatepass")
         return [self.byte_id[b] for b in data] if self.byte_id else [self.unknown]
 
-    def encode(self, texts: list[str]) -> list[list[list[int]]]:
-        """For each text the ids of its words."""
+    def encode(self, texts: list[str], limit: int = 200_000) -> list[list[tuple[tuple[int, ...], str]]]:
+        """For each text its words' (ids, ids in decimal). Words met are kept up to a limit."""
         cut = []
         for t in texts:
             if not t:
@@ -184,9 +190,17 @@ class PieceModel:
                 continue
             t = BLANK + t.replace(" ", BLANK)
             cut.append(_WORDS.findall(t) if BLANK * 2 in t or t.endswith(BLANK) else [BLANK + w for w in t[1:].split(BLANK)])
-        words = list(set().union(*cut)) if cut else []
-        ids = dict(zip(words, self.encode_words(words), strict=True)) if words else {}
-        return [[ids[w] for w in ws] for ws in cut]
+        if len(self.seen) > limit:
+            self.seen.clear()
+        fresh = list(set().union(*cut) - self.seen.keys()) if cut else []
+        if fresh:
+            ids = self.encode_words(fresh)
+            self.seen.update(zip(fresh, zip(ids, [",".join(map(str, x)) for x in ids], strict=True), strict=True))
+        found = [list(map(self.seen.__getitem__, ws)) for ws in cut]
+        for w in fresh:
+            if len(w) > 64:
+                del self.seen[w]
+        return found
 
     def decode(self, ids: list[int]) -> str:
         """Pieces joined, blanks restored, the blank before the text dropped; each byte that is not part of a valid character
@@ -245,9 +259,9 @@ def encode_decode(docs: DataFrame, model_path: str) -> DataFrame:
             n, ids_sha, text_sha = [], [], []
             for part in groups_of(batch.column(1).to_pylist(), 4_000_000):
                 for words in model.encode(part):
-                    ids = [i for w in words for i in w]
+                    ids = list(chain.from_iterable([w for w, _ in words]))
                     n.append(len(ids))
-                    ids_sha.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+                    ids_sha.append(hashlib.sha256(",".join([d for _, d in words]).encode()).hexdigest())
                     text_sha.append(hashlib.sha256(model.decode(ids).encode("utf-8", "surrogatepass")).hexdigest())
             arrays = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])

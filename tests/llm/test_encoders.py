@@ -43,7 +43,7 @@ def test_sentencepiece():
     sp, model = sentencepiece.SentencePieceProcessor(model_file=path), PieceModel(path)
     all_texts = texts()
     for t, words, want in zip(all_texts, model.encode(all_texts), sp.encode(all_texts), strict=True):
-        ids = [i for w in words for i in w]
+        ids = [i for w, _ in words for i in w]
         assert ids == want, t
         assert model.decode(ids) == sp.decode(ids), t
     rnd = random.Random(1)
