@@ -149,7 +149,7 @@ def prompts(chains: DataFrame) -> DataFrame:
 
 def build_chains(rows: DataFrame, source: str, vocabulary: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(chains, reasons): admitted real chains, and (task_id, reason) of every trajectory: accepted, filter_fail or leakage."""
-    kept = truncate(observe(rows))
+    kept = truncate(observe(rows)).cache()  # read three times
     checked = validity(kept)
     full = assemble(kept.join(checked.filter("valid").select("task_id"), "task_id", "left_semi"))
     named = F.concat(F.lit(f"{source}_"), F.col("task_id").cast("string"))

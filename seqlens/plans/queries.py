@@ -45,14 +45,14 @@ def _milli(c):
 
 
 def _kept(spark, d):
-    return H.truncate(H.observe(_rows(spark, d)))
+    return H.truncate(H.observe(_rows(spark, d))).cache()  # read by validity and by what keeps valid chains
 
 
 def _chain_rows(spark, d):
     """Constraints of valid chains, named as chains."""
     kept = _kept(spark, d)
     good = H.validity(kept).filter("valid").select("task_id")
-    return kept.join(good, "task_id", "left_semi").withColumn("chain_id", F.col("task_id").cast("string")).withColumn("source", F.lit("tb"))
+    return kept.join(good, "task_id", "left_semi").withColumn("chain_id", F.col("task_id").cast("string")).withColumn("source", F.lit("tb")).cache()
 
 
 # --- compression ----------------------------------------------------------------------------------------------------------
