@@ -375,11 +375,22 @@ def layer2_legality(spark, d):
     return _scored(spark, d).select("chain_id", "model", "seed", F.col("temperature").cast("string").alias("temperature"), F.col("legality").cast("bigint").alias("legality"))
 
 
-@query("layer2_optimality")
+@query("layer2_optimality", Q.sql(_RESP + """, av as (select r.task_id, r.model, r.seed, r.t, lower(c.tool) as tool, arg_max(c.state, c.idx) as state
+    from resp r join chain c on c.task_id = r.task_id and c.idx < r.k and c.tool is not null group by all),
+  gone as (select task_id, model, seed, t, list(tool) as tools from av where state = 'unavailable' group by all),
+  hit as (select r.*, coalesce(g.tools, []) as tools, d.entity, d.cnt from resp r
+    join lev l on l.task_id = r.task_id and l.idx = r.k and l.level = 0 join dist d on d.level = 0 and d.key = l.key left join gone g on g.task_id = r.task_id and g.model = r.model and g.seed = r.seed and g.t = r.t),
+  legal as (select *, len(list_filter(tools, lambda u: contains(entity, u))) = 0 as free from hit)""",
+    """select task_id || ':' || model || ':' || seed || ':' || t as query_id, 0 as backoff,
+      cast(round(10000 * coalesce(sum(cnt) filter (where free and contains(response, entity)) / sum(cnt) filter (where free), 0)) as bigint) as optimality,
+      cast(round(10000 * case when len(list_filter(any_value(tools), lambda u: contains(any_value(response), u))) > 0 then 0
+        else coalesce(sum(cnt) filter (where free and contains(response, entity)) / sum(cnt) filter (where free), 0) end) as bigint) as coupled
+    from legal group by task_id, model, seed, t"""))
 def layer2_optimality(spark, d):
     rows = _chain_rows(spark, d)
     out = S.scored(S.synthetic_responses(rows, MODELS), rows, D.build(rows))
-    return out.select("query_id", "backoff", "legality", "optimality", "coupled")
+    tenthousandths = lambda c: F.round(F.col(c) * 10000).cast("bigint").alias(c)
+    return out.select("query_id", "backoff", tenthousandths("optimality"), tenthousandths("coupled"))
 
 
 @query("chain_strata", Q.sql(Q.VALID, """select length_bucket, composition, archetype, count(*) as n from (select task_id,
