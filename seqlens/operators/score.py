@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordering import running_total
@@ -16,14 +16,18 @@ ACTIONABLE = ("ToolAvailability", "InformationState", "SubGoalTransition")
 MARK = "_shuffled_"
 
 
+def _each(df: DataFrame, settings: list[tuple], *names: str) -> DataFrame:
+    """Every row with each of a few settings."""
+    structs = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, x, strict=True)]) for x in settings]
+    return df.withColumn("__x", F.explode(F.array(*structs))).select("*", "__x.*").drop("__x")
+
+
 def evaluation_matrix(chains: DataFrame, models: list[str], configs: list[tuple[float, int]] = CONFIGS, chunk: int = CHUNK) -> DataFrame:
     """chains (chain_id, ...) x models x configs with a sequential id and its chunk."""
-    spark: SparkSession = chains.sparkSession
-    per = [(m, i, t, s, j) for i, m in enumerate(models) for j, (t, s) in enumerate(configs)]
-    wide = F.broadcast(spark.createDataFrame(per, "model string, m int, temperature double, seed int, c int"))  # models x configs rows
+    settings = [(m, i, t, s, j) for i, m in enumerate(models) for j, (t, s) in enumerate(configs)]
     ranked = running_total(chains, "chain_id", F.lit(1), "n")
-    df = ranked.crossJoin(wide)
-    number = F.col("n") * len(per) + F.col("m") * len(configs) + F.col("c")
+    df = _each(ranked, settings, "model", "m", "temperature", "seed", "c")
+    number = F.col("n") * len(settings) + F.col("m") * len(configs) + F.col("c")
     df = df.withColumn("custom_id", F.concat(F.lit("req"), F.lpad(number.cast("string"), 7, "0"))).withColumn("chunk", F.floor(number / chunk))
     return df.drop("n", "m", "c")
 
@@ -182,9 +186,8 @@ def synthetic_responses(rows: DataFrame, models: list[str], configs: list[tuple[
     """A stand-in for a model: it answers with the entity of an earlier step that a digest of its inputs picks."""
     n = Window.partitionBy("chain_id")
     df = rows.withColumn("n", F.count("*").over(n)).withColumn("entity", entity()).withColumn("cutoff_k", F.greatest(F.lit(1), F.expr("n div 2")).cast("int"))
-    per = F.broadcast(df.sparkSession.createDataFrame([(m, t, s) for m in models for t, s in configs], "model string, temperature double, seed int"))
     pick = F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", "chain_id", "model", F.col("seed").cast("string"))), 1, 6), 16, 10).cast("int"), F.col("n"))
-    df = df.crossJoin(per).filter(F.col("idx") == pick)
+    df = _each(df, [(m, t, s) for m in models for t, s in configs], "model", "temperature", "seed").filter(F.col("idx") == pick)
     said = F.concat(F.lit("use "), F.coalesce("entity", F.lit("nothing")))
     return df.select(
         F.concat_ws(":", "chain_id", "model", F.col("seed").cast("string"), F.col("temperature").cast("string")).alias("query_id"),
