@@ -22,14 +22,20 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder named by spark.checkpoint.dir (own temporary folder only where that is unset)."""
+    """A fresh path in the folder named by spark.checkpoint.dir (own temporary folder only where that is unset). What is written
+    there is deleted when the driver's JVM ends."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         base = getattr(shared_dir, "own", None)
         if base is None:
             base = shared_dir.own = tempfile.mkdtemp(prefix="seqlens-")
             atexit.register(shutil.rmtree, base, ignore_errors=True)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(conf).mkdirs(place.getParent())
+    place.getFileSystem(conf).deleteOnExit(place)
+    return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -56,6 +56,7 @@ class PieceModel:
         for p, i in pieces.items():
             if len(p) == 1:
                 self.of_point[ord(p)] = i
+        self.not_text = frozenset(np.flatnonzero(self.special).tolist())
         self.seen: dict[str, tuple[tuple[int, ...], str]] = {}
         score = {p: sp.get_score(i) for p, i in pieces.items()}
         levels = {s: r for r, s in enumerate(sorted(set(score.values()), reverse=True))}
@@ -181,25 +182,27 @@ class PieceModel:
         data = chr(point).encode("utf-8", "surrogatepass")
         return [self.byte_id[b] for b in data] if self.byte_id else [self.unknown]
 
-    def encode(self, texts: list[str], limit: int = 200_000) -> list[list[tuple[tuple[int, ...], str]]]:
-        """For each text its words' (ids, ids in decimal). Words met are kept up to a limit."""
+    def encode(self, texts: list[str], limit: int = 600_000) -> list[list[tuple[tuple[int, ...], str]]]:
+        """For each text its words' (ids, ids in decimal). Words met are kept, without their blank, up to a limit."""
         cut = []
         for t in texts:
             if not t:
                 cut.append([])
-                continue
-            t = BLANK + t.replace(" ", BLANK)
-            cut.append(_WORDS.findall(t) if BLANK * 2 in t or t.endswith(BLANK) else [BLANK + w for w in t[1:].split(BLANK)])
+            elif "  " in t or t[0] == " " or t[-1] == " " or BLANK in t:
+                cut.append([w[1:] for w in _WORDS.findall(BLANK + t.replace(" ", BLANK))])
+            else:
+                cut.append(t.split(" "))
         if len(self.seen) > limit:
             self.seen.clear()
-        fresh = list(set().union(*cut) - self.seen.keys()) if cut else []
+        seen = self.seen
+        fresh = list(set().union(*cut) - seen.keys()) if cut else []
         if fresh:
-            ids = self.encode_words(fresh)
-            self.seen.update(zip(fresh, zip(ids, [",".join(map(str, x)) for x in ids], strict=True), strict=True))
-        found = [list(map(self.seen.__getitem__, ws)) for ws in cut]
+            ids = self.encode_words([BLANK + w for w in fresh])
+            seen.update(zip(fresh, zip(ids, [",".join(map(str, x)) for x in ids], strict=True), strict=True))
+        found = [list(map(seen.__getitem__, ws)) for ws in cut]
         for w in fresh:
             if len(w) > 64:
-                del self.seen[w]
+                del seen[w]
         return found
 
     def decode(self, ids: list[int]) -> str:
@@ -211,7 +214,7 @@ class PieceModel:
         first = next((i for i in ids if not self.special[i] or i == self.unknown), None)
         drop = first not in (None, self.unknown) and data[:1] == b" " and not self.is_byte[first]
         try:
-            if not self.special[ids].any():
+            if self.not_text.isdisjoint(ids):
                 return data.decode("utf-8")[drop:]
         except UnicodeDecodeError:
             pass
@@ -257,11 +260,12 @@ def encode_decode(docs: DataFrame, model_path: str) -> DataFrame:
         model = piece_model(model_path)
         for batch in batches:
             n, ids_sha, text_sha = [], [], []
-            for part in groups_of(batch.column(1).to_pylist(), 4_000_000):
+            for part in groups_of(batch.column(1).to_pylist(), 8_000_000):
                 for words in model.encode(part):
-                    ids = list(chain.from_iterable([w for w, _ in words]))
+                    own, decimal = zip(*words, strict=True) if words else ((), ())
+                    ids = list(chain.from_iterable(own))
                     n.append(len(ids))
-                    ids_sha.append(hashlib.sha256(",".join([d for _, d in words]).encode()).hexdigest())
+                    ids_sha.append(hashlib.sha256(",".join(decimal).encode()).hexdigest())
                     text_sha.append(hashlib.sha256(model.decode(ids).encode("utf-8", "surrogatepass")).hexdigest())
             arrays = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
