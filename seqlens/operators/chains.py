@@ -34,8 +34,14 @@ def observe(rows: DataFrame) -> DataFrame:
     entity = F.when(F.col("type") == "ToolAvailability", F.col("tool")).when(
         (F.col("type") == "ResourceBudget"), F.nullif(F.regexp_extract(F.coalesce("resource", F.lit("")), FILE_ENTITY, 1), F.lit(""))
     )
-    joined = rows.withColumn("entity", entity).join(first_reveals(rows), ["task_id", "entity"], "left")
-    kept = joined.filter("reveal is null or idx >= reveal").drop("entity", "reveal")
+    # each row probes for its entity, and sightings go along as copies: a window instead of a join that reads all rows twice
+    seen = F.when(F.col("type") == "InformationState", F.col("observable_added"))
+    copies = F.coalesce(F.transform(seen, lambda x: F.struct(x.alias("entity"), F.lit(True).alias("copy"))), F.expr("cast(array() as array<struct<entity:string,copy:boolean>>)"))
+    both = F.concat(F.array(F.struct(entity.alias("entity"), F.lit(False).alias("copy"))), copies)
+    df = rows.withColumn("__e", F.explode(both))
+    reveal = F.min(F.when(F.col("__e.copy"), F.col("idx"))).over(Window.partitionBy("task_id", "__e.entity"))
+    df = df.withColumn("__reveal", reveal).filter("not __e.copy and (__reveal is null or idx >= __reveal)")
+    kept = df.drop("__e", "__reveal")
     return kept.withColumnRenamed("idx", "orig_idx").withColumn("idx", F.row_number().over(Window.partitionBy("task_id").orderBy("orig_idx")) - 1)
 
 
