@@ -146,13 +146,15 @@ def condition() -> Column:
 def grouping_families(scored_rows: DataFrame) -> DataFrame:
     """Counts by condition in four groupings at once: model; with source; with config; with both. -- stands for all."""
     df = scored_rows.withColumn("config", config()).withColumn("condition", condition())
-    df.createOrReplaceTempView("__scored")
-    out = df.sparkSession.sql(
-        """select model, coalesce(source, '--') as source, coalesce(config, '--') as config, condition, count(l1) as n, coalesce(sum(l1), 0) as hits,
-             count_if(actionable and l1 is not null) as n_actionable, coalesce(sum(if(actionable, l1, 0)), 0) as hits_actionable
-           from __scored group by grouping sets ((model, condition), (model, source, condition), (model, config, condition), (model, source, config, condition))"""
+    sets = [["model"], ["model", "source"], ["model", "config"], ["model", "source", "config"]]
+    known = F.col("l1").isNotNull()
+    out = df.groupingSets([[*s, "condition"] for s in sets], "model", "source", "config", "condition").agg(
+        F.count("l1").alias("n"),
+        F.coalesce(F.sum("l1"), F.lit(0)).alias("hits"),
+        F.count_if(F.col("actionable") & known).alias("n_actionable"),
+        F.coalesce(F.sum(F.when(F.col("actionable"), F.col("l1"))), F.lit(0)).alias("hits_actionable"),
     )
-    return out
+    return out.fillna("--", ["source", "config"])
 
 
 def by_type(scored_rows: DataFrame) -> DataFrame:
