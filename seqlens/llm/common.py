@@ -22,26 +22,27 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder named by spark.checkpoint.dir (own temporary folder only where that is unset). What is written
-    there is deleted when the driver's JVM ends."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """A fresh path in the folder named by spark.checkpoint.dir (own temporary folder only where that is unset)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         base = getattr(shared_dir, "own", None)
         if base is None:
             base = shared_dir.own = tempfile.mkdtemp(prefix="seqlens-")
             atexit.register(shutil.rmtree, base, ignore_errors=True)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(conf).mkdirs(place.getParent())
-    place.getFileSystem(conf).deleteOnExit(place)
-    return path
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_at_exit(spark: SparkSession, path: str) -> None:
+    """What was written to path is deleted when the driver's JVM ends."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(place)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, survives lost executors, is computed once."""
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
+    drop_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, partitions, shared_dir, text_of
+from .common import drop_at_exit, lean, partitions, shared_dir, text_of
 from .fastenc import encoder
 
 CACHE_SCHEMA = "content_digest string, tokenizer_digest string, n_tokens long"
@@ -75,8 +75,10 @@ def token_counts(
     docs: DataFrame, tokenizer_path: str, cache_path: str | None = None, limit: int = 512, kind: str = "byte"
 ) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row. Without cache_path a fresh cache is used."""
-    cache_path = cache_path or shared_dir(docs.sparkSession, "token-cache")
-    cache = fill_cache(docs, cache_path, tokenizer_path, kind)
+    place = cache_path or shared_dir(docs.sparkSession, "token-cache")
+    cache = fill_cache(docs, place, tokenizer_path, kind)
+    if not cache_path:
+        drop_at_exit(docs.sparkSession, place)
     content = text_of(docs)
     rows = docs.select("doc_id", F.sha2(content, 256).alias("content_digest"), F.octet_length(content).cast("long").alias("n_bytes"))
     # two writers may have appended the same digest: one count for each

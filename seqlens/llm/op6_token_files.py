@@ -15,6 +15,7 @@ Defined results: null and empty texts hold the end id alone; repeated rows give
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lean, partitions, range_bounds, shared_dir, text_of
+from .common import drop_at_exit, lean, partitions, range_bounds, shared_dir, text_of
 from .fastenc import encoder
 
 BLOCK = 8192
@@ -97,15 +98,23 @@ def decode_blocks(payload: bytes, first: int = 0, last: int | None = None) -> np
     return np.concatenate(out) if out else np.array([], np.uint32)
 
 
+def token_bound(tokenizer_path: str) -> int:
+    """Above every id of a tokenizer file."""
+    with open(tokenizer_path, encoding="utf-8") as f:
+        spec = json.load(f)
+    return 1 + max([*spec["model"]["vocab"].values(), *[x["id"] for x in spec["added_tokens"]]])
+
+
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, kind: str, end_id: int, docs_per_shard: int = 2048) -> None:
     """Shards of documents in ascending doc_id at path."""
     bounds = range_bounds(docs, "doc_id", docs_per_shard)
-    end = end_id.to_bytes(4, "little")
+    short = max(token_bound(tokenizer_path), end_id + 1) <= 1 << 16  # then ids travel in two bytes each
+    kind_of_id = "<u2" if short else "<u4"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path, kind)
         for batch in batches:
-            ids = [x + end for x in enc.encode(batch.column(1).to_pylist())]
+            ids = [np.append(np.frombuffer(x, "<u4"), end_id).astype(kind_of_id).tobytes() for x in enc.encode(batch.column(1).to_pylist())]
             doc = batch.column(0)
             shard = np.searchsorted(bounds, np.array(doc.fill_null(np.iinfo(np.int64).min)), side="left")
             yield pa.RecordBatch.from_arrays(
@@ -116,8 +125,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, kind: str
         now, doc_ids, parts = None, [], []
 
         def done() -> pa.RecordBatch:
-            payload = encode_blocks(np.frombuffer(b"".join(parts), "<u4"))
-            lengths = [len(p) // 4 for p in parts]
+            payload = encode_blocks(np.frombuffer(b"".join(parts), kind_of_id))
+            lengths = [len(p) // np.dtype(kind_of_id).itemsize for p in parts]
             row = [[now], [sum(lengths)], [doc_ids], [lengths], [payload]]
             kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
             names = ["shard", "n_ids", "doc_ids", "lengths", "payload"]
@@ -166,6 +175,8 @@ def read_token_files(spark, path: str) -> DataFrame:
 
 
 def token_files(docs: DataFrame, tokenizer_path: str, kind: str = "word", end_id: int = 2, path: str | None = None) -> DataFrame:
-    path = path or shared_dir(docs.sparkSession, "token-files")
-    write_token_files(docs, path, tokenizer_path, kind, end_id)
-    return read_token_files(docs.sparkSession, path)
+    place = path or shared_dir(docs.sparkSession, "token-files")
+    write_token_files(docs, place, tokenizer_path, kind, end_id)
+    if not path:
+        drop_at_exit(docs.sparkSession, place)
+    return read_token_files(docs.sparkSession, place)
