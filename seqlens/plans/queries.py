@@ -321,6 +321,17 @@ def backoff_lookup(spark, d):
     return D.lookup(asked, dist).select("query_id.chain_id", F.col("query_id.idx").cast("bigint").alias("idx"), "level")
 
 
+@query("backoff_lookup_whole", Q.sql(Q.SIG + """, h as (select task_id % 2 <> 0 as half, * from lev),
+    dd as (select half, level, key, count(*) as n from h where entity is not null group by all)""", """select cast(h.task_id as varchar) as chain_id, h.idx, coalesce(min(dd.level), 3) as level
+    from h left join dd on dd.half <> h.half and dd.level = h.level and dd.key = h.key group by all"""))
+def backoff_lookup_whole(spark, d):
+    """Every step of every chain is asked of the distribution of the other half (even trajectories of odd ones, odd of even)."""
+    rows, odd = _chain_rows(spark, d), F.pmod("task_id", F.lit(2))
+    half = lambda h: rows.withColumn("source", F.concat_ws("/", "source", h.cast("string")))
+    asked = D.signatures(half(1 - odd)).withColumn("query_id", F.struct("chain_id", "idx"))
+    return D.lookup(asked, D.build(half(odd))).select("query_id.chain_id", F.col("query_id.idx").cast("bigint").alias("idx"), "level")
+
+
 @query("coverage", Q.sql(Q.SIG, "select 'tb' as source, count(*) as steps, count(*) as covered from sig where entity is not null"))
 def coverage(spark, d):
     rows = _chain_rows(spark, d)
