@@ -39,6 +39,7 @@ from .textvec import U, mix
 LENGTH, GRAM = 200, 64
 SPAN = LENGTH - GRAM + 1  # windows that may name the same anchor
 HOT = 20_000
+PART = 1_000_000  # rows of one anchor held at once
 _BITS = 20
 _CHUNK = 1 << _BITS
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -175,9 +176,10 @@ def _settled(t1: np.ndarray, t2: np.ndarray, start: np.ndarray, end: np.ndarray)
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (anchor, context): settles contexts that repeat, drops lone anchors, passes on the rest."""
+    """Rows sorted by (anchor, context): settles contexts that repeat, drops lone anchors, passes on the rest. An anchor of more
+    than PART rows is worked in parts; no part tells what the others hold, so all its contexts go on."""
 
-    def work(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def work(cols: list[np.ndarray], split: int | None) -> Iterator[pa.RecordBatch]:
         kind, anchor, context, t1, t2, at, lo, hi, n = cols
         done = kind == SETTLED
         if done.any():
@@ -196,11 +198,12 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group = grp[lead]
         kinds = np.bincount(group)
         loose = np.bincount(group, times < 2)
-        on = lead[(kinds[group] > 1) & (loose[group] > 0)]
+        on = lead[(kinds[group] > 1) & (loose[group] > 0) | (anchor[lead] == split)]
         if len(on):
             yield _rows(*(c[on] for c in (kind, anchor, context, t1, t2, at, lo, hi, n)))
 
     held: list[np.ndarray] | None = None
+    split: int | None = None  # the anchor last cut into parts
     for batch in batches:
         cols = [np.asarray(c) for c in batch.columns]
         if not len(cols[0]):
@@ -208,12 +211,12 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if held is not None:
             cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
         cut = int(np.searchsorted(cols[1], cols[1][-1], side="left"))  # the last anchor may go on
-        if not cut and len(cols[0]) > 1_000_000:
-            cut = len(cols[0])  # a part of a very large group; what it leaves open is settled later
-        yield from work([c[:cut] for c in cols])
+        if not cut and len(cols[0]) > PART:
+            cut, split = len(cols[0]), int(cols[1][-1])  # a part of a very large group; what it leaves open is settled later
+        yield from work([c[:cut] for c in cols], split)
         held = [c[cut:] for c in cols]
     if held is not None:
-        yield from work(held)
+        yield from work(held, split)
 
 
 # --- the sort -----------------------------------------------------------------------------------------------------------
