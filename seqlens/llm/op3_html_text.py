@@ -1,10 +1,10 @@
 """Main text of HTML pages by line-block distribution (Chen, 2010).
 
 Markup is stripped into lines: one for each block of the page, with inline markup removed, character references decoded and
-white space made one blank. A line's weight is its text length (without link text, unless the page marks its article); a line of page furniture (by element or by
-the names of its class, id or role) has none, and where the page marks its article, neither has any line outside. Weights are
-summed over sliding windows of lines; text surges where the sums rise above a threshold and dives where they return to
-nothing. The lines between the strongest surge and its dive are kept, but for furniture.
+white space made one blank. Lines of page furniture (by element or by the names of its class, id or role) are left out first.
+Where the page marks its article, all other lines in it are kept and none outside. Elsewhere a line's weight is its text length
+without link text. Weights are summed over sliding windows of lines; text surges where the sums reach a threshold and dives
+where they return to nothing. The lines of every run that surges are kept, or of all runs if none does.
 
 Defined results: null and empty html, and pages without text, give an empty text; repeated rows give a row each; unclosed
 elements end with what encloses them; an empty table gives no rows.
@@ -168,23 +168,21 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
 
 
 def main_lines(lines: list[tuple[str, int, bool, bool]], window: int = WINDOW, surge: int = SURGE) -> list[str]:
-    """The lines between the surge and the dive of the strongest run of window sums."""
-    marked = any(article and not furniture for _, _, furniture, article in lines)
-    out = [furniture or (marked and not article) for _, _, furniture, article in lines]
-    weight = np.array([0 if o else len(t) if marked else max(0, len(t) - links) for (t, links, *_), o in zip(lines, out, strict=True)])
+    """The lines of the article where it is marked, else those of every run of window sums that surges. Furniture counts nowhere."""
+    lines = [line for line in lines if not line[2]]
+    if any(article for *_, article in lines):
+        return [t for t, _, _, article in lines if article]
+    weight = np.array([max(0, len(t) - links) for t, links, *_ in lines], np.int64)
     if not weight.sum():
         return []
     # the sum of the windows of lines that end, centre and begin at a line
     padded = np.concatenate([np.zeros(window - 1, np.int64), weight, np.zeros(window - 1, np.int64)])
     sums = np.convolve(padded, np.ones(window, np.int64), "valid")  # the window that begins at line k - window + 1
     reach = np.array([sums[k : k + window].max() for k in range(len(lines))])
-    least = 1 if marked else min(surge, int(sums.max()))
-    text = reach >= least
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], text.astype(np.int8), [0]])))
-    runs = list(zip(edge[0::2].tolist(), edge[1::2].tolist(), strict=True))
-    # where the page marks its article, all that surges within it is the article
-    begin, end = (runs[0][0], runs[-1][1]) if marked else max(runs, key=lambda r: weight[r[0] : r[1]].sum())
-    return [t for (t, *_), o in zip(lines[begin:end], out[begin:end], strict=True) if not o]
+    least = surge if sums.max() >= surge else 1  # a page of short lines: whatever has text
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], (reach > 0).astype(np.int8), [0]])))
+    runs = zip(edge[0::2].tolist(), edge[1::2].tolist(), strict=True)
+    return [t for begin, end in runs if reach[begin:end].max() >= least for t, *_ in lines[begin:end]]
 
 
 def extract(page: str | None) -> str:

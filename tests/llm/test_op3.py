@@ -31,3 +31,17 @@ def test_edges(spark):
     got = main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert sorted((r.text, r.n_chars) for r in got) == [("", 0), ("x", 1), ("x", 1)]
     assert main_text(spark.createDataFrame([], "page_id long, url string, html string, text string")).collect() == []
+
+
+def test_unmarked_with_an_aside_and_verse():
+    long = "This is a sentence of the story that is told here, and it has some length. " * 3
+    aside = "<aside><ul>" + "".join(f'<li><a href="/{k}">See number {k}</a></li>' for k in range(7)) + "</ul></aside>"
+    verse = [f"Verse line {k}" for k in range(9)]
+    body = f"<div><h1>Title</h1><p>{long}</p>{aside}<p>The lighter part, which tells how the story went on and ended.</p>"
+    body += "".join(f"<p>{v}</p>" for v in verse) + f"<p>{long}</p><p>The</p><p>very</p><p>end</p><p>of</p><p>it</p></div>"
+    want = f"Title {long}The lighter part, which tells how the story went on and ended. {' '.join(verse)} {long}The very end of it"
+    assert extract(PAGE % body) == " ".join(want.split())
+    assert extract("<body>" + "".join(f"<p>{v}</p>" for v in [*verse, "x"]) + "</body>") == " ".join([*verse, "x"])
+    links = "".join(f'<div><a href="/{k}">Section number {k} of the site</a></div>' for k in range(9))
+    got = extract(f"<body>{links}<p>{long}</p></body>")
+    assert got.endswith(long.strip()) and "number 3" not in got
