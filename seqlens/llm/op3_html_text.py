@@ -49,10 +49,13 @@ NAMES = frozenset(
     " related recommended recommendations widget pagination pager contentinfo complementary search searchbox copyright disclaimer".split()
 )
 _HEADER_NAMES = frozenset("header head pageheader siteheader".split())
+#: Elements that hold text: within a marked article only their element can make them furniture, and their id is never read as words.
+_PROSE = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 _WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
 
-def _marked(attrs: str, name: str) -> bool:
+def _marked(attrs: str, name: str, within: bool) -> bool:
+    """Whether the attributes of an element, within a marked article or not, mark it as furniture or hidden."""
     for key, *values in _ATTR.findall(attrs):
         value = next((v for v in values if v), "")
         key = key.lower()
@@ -61,8 +64,10 @@ def _marked(attrs: str, name: str) -> bool:
         if key == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 return True
-        elif key != "aria-label" and name not in ("html", "body", "main", "article"):
-            words = {w.lower() for w in _WORDS.findall(value)}
+        elif key != "aria-label" and name not in ("html", "body", "main", "article") and not (within and name in _PROSE):
+            # an id may be the slug of a heading: it counts as a whole there
+            slug = key == "id" and (within or name in _PROSE)
+            words = {value.strip().lower()} if slug else {w.lower() for w in _WORDS.findall(value)}
             if words & NAMES or (name != "h1" and words & _HEADER_NAMES and not words & {"article", "post", "entry"}):
                 return True
     return False
@@ -144,7 +149,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
                     break
         above = stack[-1] if stack else ("", False, False)
         article = above[2] or name in ("article", "main")
-        furniture = above[1] or name in FURNITURE or (name == "header" and not above[2]) or name == "head" or _marked(m["attrs"], name)
+        furniture = above[1] or name in FURNITURE or (name == "header" and not above[2]) or name == "head" or _marked(m["attrs"], name, above[2])
         if name in BLOCKS:
             stack.append((name, furniture, article))
             new_line()

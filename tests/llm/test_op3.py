@@ -45,3 +45,12 @@ def test_unmarked_with_an_aside_and_verse():
     links = "".join(f'<div><a href="/{k}">Section number {k} of the site</a></div>' for k in range(9))
     got = extract(f"<body>{links}<p>{long}</p></body>")
     assert got.endswith(long.strip()) and "number 3" not in got
+
+
+def test_slug_ids_are_no_furniture():
+    body = '<h2 id="social-effects">Social effects</h2><section id="related-work"><h3 class="side notice">Related</h3><p id="reply-one">Reply.</p></section>'
+    junk = '<div class="related-posts">More</div><div id="comments">Mine</div><div role="navigation">Up</div><p hidden>gone</p>'
+    assert extract(PAGE % f"<article>{body}{junk}<p>End.</p></article>") == "Social effects Related Reply. End."
+    long = "This is a sentence of the story that is told here, and it has some length. " * 3
+    got = extract(PAGE % f'<h2 id="social-effects">Social effects</h2><p>{long}</p><div id="related-posts">More</div>')
+    assert got == f"Social effects {long.strip()}"
