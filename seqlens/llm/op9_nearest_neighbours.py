@@ -9,8 +9,10 @@ or the windows hold all. Blocks of queries meet every block of vectors; the k be
 
 Only the first radius is fitted, on a sample of at most SAMPLE rows of a block; every row is indexed, and nothing is capped.
 
-Defined results: vectors that are null, zero, hold null or non-finite components, or have another length than the longest,
-and rows without vec_id take no part; a repeated query id counts once (its least vector); an empty table gives no rows.
+Vectors of different lengths have no inner product: those of a length have blocks of their own and meet only each other.
+
+Defined results: vectors that are null, zero, or hold null or non-finite components, and rows without vec_id take no part; a
+repeated query id counts once (its least vector), and no row of the query's own id is found; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -129,18 +131,22 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _packed(rows: DataFrame, blocks: int) -> DataFrame:
-    """(block, ids, vectors): about as many rows a block as were asked for, as two binary values."""
+def _packed(rows: DataFrame, first: str, blocks: str, total: int) -> DataFrame:
+    """(block, ids, vectors, length): rows dealt to `blocks` blocks from `first` on (columns, by length), as two binary values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(block, ids, vectors):
-            arrays = [pa.array([block], pa.int32()), pa.array([np.concatenate(ids).tobytes()]), pa.array([np.concatenate(vectors).tobytes()])]
-            return pa.RecordBatch.from_arrays(arrays, names=["block", "ids", "vectors"])
+            ids, vectors = np.concatenate(ids), np.concatenate(vectors)
+            length = pa.array([len(vectors) // len(ids)], pa.int32())
+            arrays = [pa.array([block], pa.int32()), pa.array([ids.tobytes()]), pa.array([vectors.tobytes()]), length]
+            return pa.RecordBatch.from_arrays(arrays, names=["block", "ids", "vectors", "length"])
 
         now, ids, vectors = None, [], []
         for batch in batches:
             block = np.asarray(batch.column(0))
-            flat = np.asarray(batch.column(2).flatten(), np.float32).reshape(len(block), -1)
+            flat = np.asarray(batch.column(2).flatten(), np.float32)
+            starts = np.asarray(batch.column(2).offsets)
+            starts = starts - starts[0]
             edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
             for a, b in zip(edges, edges[1:], strict=False):
                 if a == b:
@@ -150,13 +156,14 @@ def _packed(rows: DataFrame, blocks: int) -> DataFrame:
                         yield out(now, ids, vectors)
                     now, ids, vectors = int(block[a]), [], []
                 ids.append(np.asarray(batch.column(1))[a:b])
-                vectors.append(flat[a:b])
+                vectors.append(flat[starts[a] : starts[b]])
         if ids:
             yield out(now, ids, vectors)
 
-    dealt = rows.select(F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(blocks)).cast("int").alias("block"), "vec_id", "embedding")
-    dealt = dealt.repartition(min(blocks, partitions(rows)), "block").sortWithinPartitions("block", "vec_id")
-    return dealt.mapInArrow(lean(run), "block int, ids binary, vectors binary")
+    block = (F.col(first) + F.pmod(F.xxhash64("vec_id", "embedding"), F.col(blocks))).cast("int")
+    dealt = rows.select(block.alias("block"), "vec_id", "embedding")
+    dealt = dealt.repartition(min(total, partitions(rows)), "block").sortWithinPartitions("block", "vec_id")
+    return dealt.mapInArrow(lean(run), "block int, ids binary, vectors binary, length int")
 
 
 def nearest(embeddings: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
@@ -168,16 +175,24 @@ def nearest(embeddings: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     )
     rows = rows.filter(finite & F.exists(e, lambda x: x != 0))
     squares = F.aggregate(e, F.lit(0.0).cast("double"), lambda s, x: s + x.cast("double") * x.cast("double"))
-    n, most, length = rows.agg(F.count("*"), F.sqrt(F.max(squares)), F.max(F.size(e))).first()
-    if not n:
+    lengths = rows.groupBy(F.size(e).alias("length")).agg(F.count("*").alias("n"), F.sqrt(F.max(squares)).alias("most")).collect()
+    if not lengths:
         empty = embeddings.sparkSession.createDataFrame([], _OUT)
         return empty.select("query_id", F.lit(1).alias("rank"), "vec_id", "score")
-    rows = rows.filter(F.size(e) == length)
+    deals, total, query_total = [], 0, 0
+    for r in lengths:
+        blocks, query_blocks = -(-r.n // BLOCK), -(-r.n // (every * QUERIES))
+        deals.append((r.length, float(r.most) * (1 + 1e-9), total, blocks, query_total, query_blocks))
+        total, query_total = total + blocks, query_total + query_blocks
+    schema = "length int, most double, first int, blocks int, query_first int, query_blocks int"
+    deals = F.broadcast(embeddings.sparkSession.createDataFrame(deals, schema))
     asked = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    blocks, query_blocks = -(-n // BLOCK), -(-n // (every * QUERIES))
-    vectors = _packed(rows, blocks).withColumn("most", F.lit(float(most) * (1 + 1e-9)))
-    queries = _packed(asked, query_blocks).select(F.col("ids").alias("qids"), F.col("vectors").alias("queries"))
-    queries = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    rows, asked = (x.withColumn("length", F.size("embedding")).join(deals, "length") for x in (rows, asked))
+    vectors = _packed(rows, "first", "blocks", total).join(deals, "length").select("block", "ids", "vectors", "most")
+    queries = _packed(asked, "query_first", "query_blocks", query_total).join(deals, "length")
+    queries = queries.select(
+        F.col("ids").alias("qids"), F.col("vectors").alias("queries"), F.explode(F.sequence("first", F.col("first") + F.col("blocks") - 1)).alias("block")
+    )
     met = stored(vectors, "vector-blocks").join(stored(queries, "query-blocks"), "block")
     found = met.select("block", "ids", "vectors", "most", "qids", "queries").mapInArrow(lean(_search), _OUT)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

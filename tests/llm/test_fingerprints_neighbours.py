@@ -195,3 +195,19 @@ def test_nearest(spark):
     few = op9.nearest(spark.createDataFrame(rows[:5], "vec_id long, embedding array<float>, score int")).collect()
     assert len(few) == 4
     assert op9.nearest(df.limit(0)).collect() == []
+
+
+def test_nearest_of_several_lengths(spark):
+    rng = np.random.default_rng(7)
+    x = {i: rng.standard_normal(8 if i < 60 else 5).astype(np.float32) for i in range(100)}
+    x[200] = rng.standard_normal(11).astype(np.float32)  # one longer stray
+    rows = [(i, v.tolist()) for i, v in x.items()]
+    got = op9.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3), k=4).collect()
+    assert {r.query_id for r in got} == {0, 20, 40, 60, 80}
+    hits = 0
+    for q in (0, 20, 40, 60, 80):
+        s = {i: float(v.astype(np.float64) @ x[q].astype(np.float64)) for i, v in x.items() if i != q and len(v) == len(x[q])}
+        found = {r.vec_id: r.score for r in got if r.query_id == q}
+        assert len(found) == 4 and all(abs(s[i] - score) < 1e-9 for i, score in found.items())
+        hits += len(set(found) & set(sorted(s, key=lambda i: (-s[i], i))[:4]))
+    assert hits >= 18
