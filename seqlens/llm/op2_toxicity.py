@@ -6,7 +6,7 @@ scope, reported speech what a sentence attributes to others, and the target tran
 The machine's outputs are matched clauses of a kind; a document's score is a logistic function of their weighted counts.
 
 The lexicon holds a few words of each class and what is learned: words and word beginnings that are significantly more
-frequent in labelled toxic texts (a Chernoff bound over all candidates). The weights of the kinds are fitted by logistic
+frequent in labelled toxic texts (a Chernoff bound over all candidates; two toxic votes at least). The weights of the kinds are fitted by logistic
 regression towards prior weights. Both use at most MAX_TRAIN labelled rows, chosen by a hash of their id, and only rows whose
 crc32(doc_id as text) mod 3 is not 1; near copies among them share one vote. Scores see the text alone.
 
@@ -30,7 +30,6 @@ from .common import lean, stored, text_of
 from .op7_near_dedup import COORDS, _band_keys, signatures, weighted_sets
 
 MAX_TRAIN = 10_000
-MAX_LEXEMES = 2_000
 THRESHOLD = 0.7
 OTHER, INSULT, WEAK, THREAT, TARGET, NOT, SAID, CLAUSE, SENTENCE = "oiwtynrcs"
 
@@ -221,6 +220,11 @@ def word_features(text: str) -> set[str]:
     return {f"={w}" for w in words} | {f"^{w[:n]}" for w in words for n in _PREFIXES if len(w) >= n}
 
 
+def bound(candidates: int) -> float:
+    """What a lexeme's gain has to exceed."""
+    return float(np.log(100.0 * max(candidates, 1)))
+
+
 def choose(counts: list[tuple[str, float, float]], positive: float, negative: float, candidates: int) -> dict[str, str]:
     """Lexemes whose share of toxic votes is above chance by a Chernoff bound over all candidates: insults where the share is
     high, weak ones where it is middling. A beginning covers the words and longer beginnings below it."""
@@ -232,7 +236,7 @@ def choose(counts: list[tuple[str, float, float]], positive: float, negative: fl
         if share <= prior:
             continue
         gain = n * (share * np.log(share / prior) + (1 - share) * np.log((1 - share) / (1 - prior)))
-        if gain > np.log(100.0 * max(candidates, 1)) and share >= 0.5:
+        if gain > bound(candidates) and share >= 0.5:
             good[name] = (share, pos)
     chosen: dict[str, str] = {}
     for name, (share, pos) in sorted(good.items(), key=lambda x: (len(x[0]), x[0])):
@@ -319,8 +323,12 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> tuple[di
     counted = voted.select("text", "toxic", "vote").mapInArrow(lean(count), "name string, pos double, neg double")
     counted = stored(counted.groupBy("name").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), "toxic-words")
     candidates = counted.count()
-    top = counted.filter((F.col("pos") >= 2) & (F.col("pos") >= F.col("neg"))).orderBy(F.desc("pos"), "neg", "name").limit(MAX_LEXEMES).collect()
-    learned = choose([(r.name, r.pos, r.neg) for r in top], positive, negative, candidates)
+    # the tests of choose, with some slack for rounding: only what can pass is sent to the driver
+    n, prior = F.col("pos") + F.col("neg"), positive / (positive + negative)
+    share = F.least(F.col("pos") / n, F.lit(1 - 1e-9))
+    gain = n * (share * F.log(share / prior) + (1 - share) * F.log((1 - share) / (1 - prior)))
+    likely = counted.filter((F.col("pos") >= 2) & (F.col("pos") >= F.col("neg")) & (gain > bound(candidates) - 1e-6)).collect()
+    learned = choose([(r.name, r.pos, r.neg) for r in likely], positive, negative, candidates)
 
     scorer = Scorer(learned)
     kinds = len(KINDS)

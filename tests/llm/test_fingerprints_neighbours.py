@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -211,3 +212,13 @@ def test_nearest_of_several_lengths(spark):
         assert len(found) == 4 and all(abs(s[i] - score) < 1e-9 for i, score in found.items())
         hits += len(set(found) & set(sorted(s, key=lambda i: (-s[i], i))[:4]))
     assert hits >= 18
+
+
+def test_common_words_crowd_out_no_lexeme(spark):
+    rnd = random.Random(3)
+    common = ["".join(rnd.choice("abcdefgh") for _ in range(7)) for _ in range(900)]  # a word and three beginnings each
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 3 != 1][:81]
+    toxic = {i: int(k < 41) for k, i in enumerate(ids)}
+    texts = [(i, " ".join(rnd.sample(common, 900) + ["zorgblat"] * (k < 30))) for k, i in enumerate(ids)]
+    learned, _ = op2.train(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(list(toxic.items()), "doc_id long, toxic int"))
+    assert learned == {"=zorgblat": op2.INSULT}
