@@ -157,6 +157,26 @@ def grouping_families(scored_rows: DataFrame) -> DataFrame:
     return out.fillna("--", ["source", "config"])
 
 
+def by_subset(scored_rows: DataFrame, rows: DataFrame) -> DataFrame:
+    """Layer 1 counts by model, condition and each class of the chain (subset, value); an undefined result counts as a miss,
+    results without a chain are left out."""
+    names = ["length_bucket", "composition", "archetype"]
+    df = scored_rows.withColumn("condition", condition()).join(classify_chains(rows), "chain_id")
+    classes = F.explode(F.array(*[F.struct(F.lit(c).alias("subset"), F.col(c).alias("value")) for c in names]))
+    df = df.select("model", "condition", F.coalesce("l1", F.lit(0)).alias("l1"), classes.alias("c")).select("*", "c.*")
+    return df.groupBy("model", "subset", "value", "condition").agg(F.count("*").alias("n"), F.sum("l1").alias("hits"))
+
+
+def legacy_id(model: Column, seed: Column, chain_id: Column) -> Column:
+    return F.concat_ws("||", model, seed.cast("string"), chain_id)
+
+
+def from_legacy_id(custom_id: Column) -> Column:
+    """(model, seed, chain_id); the chain id may hold the separator."""
+    part = F.split(custom_id, r"\|\|", 3)
+    return F.struct(part[0].alias("model"), part[1].cast("int").alias("seed"), part[2].alias("chain_id"))
+
+
 def by_type(scored_rows: DataFrame) -> DataFrame:
     df = scored_rows.withColumn("condition", condition()).filter("l1 is not null")
     return df.groupBy("model", "source", "gt_type", "condition").agg(F.count("l1").alias("n"), F.sum("l1").alias("hits"))
