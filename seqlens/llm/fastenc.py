@@ -2,7 +2,8 @@
 
 The vocabulary and merges of a tokenizer file are run by the byte-pair core of tiktoken, which applies merges by the rank of
 what they make; that is the order of the file's merges, which is checked when the file is loaded. Texts that hold a special
-string, or a character on whose class or case the libraries' Unicode tables might differ, go to `tokenizers` itself.
+string, a character on whose class or case the libraries' Unicode tables might differ, or a run of RUN blanks or of RUN other
+characters (on which the pattern engine could exhaust its stack), go to `tokenizers` itself.
 
 * byte: byte-level BPE with the file's usual pretoken pattern.
 * word: NFC, lower case, white space dropped, merges up to a word's end. The end is a control character after each pretoken,
@@ -22,6 +23,8 @@ import numpy as np
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_PATTERN = re.compile(r"[a-zªµºß-öø-ſ]+|'s|'t|'re|'ve|'m|'ll|'d|\d|(?:[^\s\w]|_)+")
 END = "\x01"
+RUN = 10_000
+_RUNS = re.compile(rf"\s{{{RUN}}}|\S{{{RUN}}}")
 #: Texts with other characters than these go to the library.
 _BYTE_OTHER = re.compile(r"[^\x00-ԯ֐-׿ؠ-ي٠-٩ऀ-हḀ-῿ -⁯₠-₿℀-⅏←-⏿①-➿　-ゖ゠-ヿ一-龥가-힣！-～\U0001f300-\U0001f64f]")
 _WORD_OTHER = re.compile("[\x00\x01\x1c-\x1f\x7f-\xa0İ²³¹¼-¾]|[^\x00-ſ]")
@@ -83,8 +86,13 @@ class Encoder:
         """Little-endian unsigned 32-bit ids of each text, without special tokens added."""
         return [self._one(t) for t in texts]
 
+    def _unusual(self, text: str) -> bool:
+        if len(text) >= RUN and _RUNS.search(text):
+            return True
+        return bool((not text.isascii() or self.kind == "word") and self.other.search(text) or self.special.search(text))
+
     def _one(self, text: str) -> bytes:
-        if (not text.isascii() or self.kind == "word") and self.other.search(text) or self.special.search(text):
+        if self._unusual(text):
             return array("I", self.lib.encode(text, add_special_tokens=False).ids).tobytes()
         if self.kind == "word":
             text = END.join([*WORD_PATTERN.findall(text.lower()), ""])  # up to U+017F all is in normal form C

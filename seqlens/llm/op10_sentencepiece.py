@@ -2,16 +2,20 @@
 
 A text is cut into words at its blanks (no piece reaches over the start of a run of blanks, which is checked when the model is
 loaded). The distinct words of a batch become flat arrays of symbols. In each round every word finds its pair of best score
-(segmented minimum of ranks) and merges its leftmost occurrence, all words at once; where no pair that the merge can bring
-about has a better rank, all occurrences of the pair in a word are merged from the left. Arrays are compacted, finished words
-leave, and rounds end when no pair is left. Characters without a piece become byte pieces.
+(segmented minimum of ranks) and merges its occurrences from the left, all words at once; a word's last merge of a round is the
+first one that brings about a pair of better rank, as that pair comes next. Arrays are compacted, finished words leave, and
+rounds end when no pair is left. A long word in which SPARE rounds merged less than a SLOW-th of the symbols is finished by a heap
+of its pairs, in the same order, so that no text needs a number of rounds in proportion to its length. Characters without a piece
+become byte pieces.
 
-Defined results: null and empty texts have no ids; repeated rows give a row each; an empty table gives no rows.
+Defined results: null and empty texts have no ids; repeated rows give a row each; an empty table gives no rows; texts without
+blanks, of blanks alone, or of millions of characters are encoded like any other.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from collections.abc import Iterator
 from itertools import chain
@@ -28,6 +32,7 @@ BLANK = "▁"
 _WORDS = re.compile(f"{BLANK}+[^{BLANK}]*")
 _NONE = np.iinfo(np.int32).max
 _MULT = np.uint64(0x9E3779B97F4A7C15)
+SLOW, SPARE = 256, 8
 
 
 class PieceModel:
@@ -72,6 +77,7 @@ class PieceModel:
         self.keys = np.array(keys, np.uint64)
         self.made, self.rank = np.array(made, np.int32), np.array(rank, np.int32)
         self._build_table()
+        self._merges: dict[int, tuple[int, int]] | None = None
         # a merge is safe if every pair with the new symbol ranks no better than the pair merged
         least = np.full(n, _NONE, np.int64)
         for side in (self.keys >> np.uint64(32), self.keys & np.uint64(0xFFFFFFFF)):
@@ -118,7 +124,7 @@ class PieceModel:
         points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         sym = self.of_point[points]
         word = np.repeat(np.arange(len(words)), lengths)
-        done_word, done_sym = [], []
+        done_word, done_sym, spent = [], [], np.zeros(len(words), np.int8)
         pair = self._pair_of(sym, word)
         while len(sym):
             rank = np.where(pair >= 0, self.rank[pair], _NONE)
@@ -133,15 +139,27 @@ class PieceModel:
                 if not len(sym):
                     break
             hit = np.flatnonzero(rank == best)
-            # occurrences: the leftmost of a word, and further ones of the same safe pair that do not overlap
+            # occurrences: the leftmost of a word, and further ones of the same pair that do not overlap
             first = np.concatenate([[True], word[hit[1:]] != word[hit[:-1]]])
             lead = np.maximum.accumulate(np.where(first, np.arange(len(hit)), 0))
-            same = (pair[hit] == pair[hit[lead]]) & self.safe[pair[hit]]
+            same = pair[hit] == pair[hit[lead]]
             chain = np.concatenate([[True], (np.diff(hit) != 1) | first[1:]])
             odd = (np.arange(len(hit)) - np.maximum.accumulate(np.where(chain, np.arange(len(hit)), 0))) % 2 == 1
             # overlapping hits of other pairs of equal rank would upset the parity: then only the leftmost is merged
             clean = np.bincount(word[hit], ~same, word[-1] + 1)[word[hit]] == 0
-            hit = hit[first | (same & ~odd & clean)]
+            hit = self._until_better(hit[first | (same & ~odd & clean)], sym, word, pair, best)
+            if sizes.max() > SLOW:
+                spent[self._slow(word, hit)] += 1
+                slow = np.flatnonzero(spent == SPARE)
+                spent[slow] = 0
+                if len(slow):
+                    out = np.isin(word, slow)
+                    for k in slow.tolist():
+                        ids = self._by_heap(sym[word == k])
+                        done_word.append(np.full(len(ids), k))
+                        done_sym.append(np.array(ids, np.int64))
+                    sym, word, pair = sym[~out], word[~out], pair[~out]
+                    continue
             sym[hit] = self.made[pair[hit]]
             keep = np.ones(len(sym), bool)
             keep[hit + 1] = False
@@ -157,6 +175,62 @@ class PieceModel:
             pair[touched] = again
         return self._ids(len(words), done_word, done_sym)
 
+    def _until_better(self, hit: np.ndarray, sym: np.ndarray, word: np.ndarray, pair: np.ndarray, best: np.ndarray) -> np.ndarray:
+        """Of the places to merge, those of each word up to the first whose merge makes a pair as good as its own or better."""
+        w, made = word[hit], self.made[pair[hit]]
+        k = np.flatnonzero(~self.safe[pair[hit[:-1]]] & (w[1:] == w[:-1]))  # what is safe makes none; the last place is merged anyway
+        if not len(k):
+            return hit
+        at = hit[k]
+        before = np.maximum(at - 1, 0)
+        left = sym[before]
+        merged = (k > 0) & (hit[k - 1] + 1 == before) & (w[k - 1] == w[k])
+        left = np.where(merged, made[k - 1], left)
+        lefts, rights = self.pairs(left, made[k]), self.pairs(made[k], sym[at + 2])
+        lefts[(at == 0) | (word[before] != word[at])] = -1
+        rank = np.minimum(*(np.where(x >= 0, self.rank[x], _NONE) for x in (lefts, rights)))
+        bad = np.zeros(len(hit), np.int64)
+        bad[k] = rank <= best[at]
+        earlier = np.cumsum(bad) - bad
+        return hit[earlier == earlier[np.searchsorted(w, w)]]
+
+    @staticmethod
+    def _slow(word: np.ndarray, hit: np.ndarray) -> np.ndarray:
+        """Long words of which a round would merge too little."""
+        size, merged = np.bincount(word), np.bincount(word[hit], minlength=word[-1] + 1)
+        return np.flatnonzero((size > SLOW) & (merged * SLOW < size))
+
+    def _by_heap(self, start: np.ndarray) -> list[int]:
+        """The symbols of one word after all merges, best rank first, leftmost of equals: pairs that are there are sorted, those
+        that come about wait in a heap. A pair is named by rank << 32 | place, and stands if its place still has that rank."""
+        if self._merges is None:
+            self._merges = dict(zip(self.keys.tolist(), zip(self.rank.tolist(), self.made.tolist(), strict=True), strict=True))
+        find, n = self._merges.get, len(start)
+        pair = self.pairs(start[:-1], start[1:])
+        at = np.flatnonzero(pair >= 0)
+        ready = np.sort(self.rank[pair[at]].astype(np.int64) << 32 | at)[::-1].tolist()
+        sym, nxt, prv = start.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+        heap: list[int] = []
+        while ready or heap:
+            code = heapq.heappop(heap) if heap and (not ready or heap[0] < ready[-1]) else ready.pop()
+            i = code & 0xFFFFFFFF
+            j = nxt[i]
+            if j >= n or sym[i] < 0:
+                continue
+            merge = find(sym[i] << 32 | sym[j])
+            if merge is None or merge[0] != code >> 32:
+                continue
+            sym[i], sym[j] = merge[1], -1
+            nxt[i] = k = nxt[j]
+            if k < n:
+                prv[k] = i
+                if merge := find(sym[i] << 32 | sym[k]):
+                    heapq.heappush(heap, merge[0] << 32 | i)
+            h = prv[i]
+            if h >= 0 and (merge := find(sym[h] << 32 | sym[i])):
+                heapq.heappush(heap, merge[0] << 32 | h)
+        return [s for s in sym if s >= 0]
+
     def _pair_of(self, sym: np.ndarray, word: np.ndarray) -> np.ndarray:
         pair = np.full(len(sym), -1, np.int32)
         if len(sym) > 1:
@@ -219,17 +293,17 @@ class PieceModel:
         except UnicodeDecodeError:
             pass
         # bytes count together only where their pieces follow each other
-        out, run = [], b""
+        out, run = [], bytearray()
         for i in ids:
             if self.is_byte[i]:
                 run += self.surface[i]
             else:
                 out += [*self._valid(run), self.surface[i].decode()]
-                run = b""
+                run.clear()
         return "".join([*out, *self._valid(run)])[drop:]
 
     @staticmethod
-    def _valid(data: bytes) -> Iterator[str]:
+    def _valid(data: bytes | bytearray) -> Iterator[str]:
         at = 0
         while at < len(data):
             for n in (1, 2, 3, 4):
