@@ -1,13 +1,17 @@
 """Main text of HTML pages by line-block distribution (Chen, 2010).
 
 Markup is stripped into lines: one for each block of the page, with inline markup removed, character references decoded and
-white space made one blank. Lines of page furniture (by element or by the names of its class, id or role) are left out first.
-Where the page marks its article, all other lines in it are kept and none outside. Elsewhere a line's weight is its text length
-without link text. Weights are summed over sliding windows of lines; text surges where the sums reach a threshold and dives
-where they return to nothing. The lines of every run that surges are kept, or of all runs if none does.
+white space made one blank. Text of page furniture (by element or by the names of its class, id or role) is left out. A line's
+weight is its text length without link text. Weights are summed over sliding windows of lines; text surges where the sums reach
+a threshold and dives where they return to nothing. The lines of every run that surges are kept, from its first to its last
+line with weight, or of all runs if none surges.
+
+An article or main element weighs in as well: unless over FOREIGN times its weight surges outside it, lines outside weigh
+nothing and are left out, and its own lines have the weight of a surge at least, so that short ones count.
 
 Defined results: null and empty html, and pages without text, give an empty text; repeated rows give a row each; unclosed
-elements end with what encloses them; an empty table gives no rows.
+elements, raw ones such as scripts too, end with what encloses them; a raw element ends only at its own end tag, whatever it
+holds; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ from __future__ import annotations
 import html as htmllib
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,16 +31,20 @@ from .common import lean
 WINDOW = 3
 SURGE = 60
 
+FOREIGN = 8
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)",
+    r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*)(?:>|\Z)",
     re.S,
 )
 _ATTR = re.compile(r"(class|id|role|aria-label|hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _SPACE = re.compile(r"\s+")
-#: Elements whose content is no text, furniture elements, and elements that begin a new block.
-RAW = frozenset("script style noscript template textarea svg math iframe object canvas select title".split())
-FURNITURE = frozenset("nav footer aside form menu dialog button fieldset datalist audio video".split())
+#: Elements whose content is raw text, elements that are no text or furniture, and elements that begin a new block.
+RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
+FURNITURE = frozenset(
+    "nav footer aside form menu dialog button fieldset datalist audio video head noscript template svg math object canvas select".split()
+)
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3"
     " h4 h5 h6 head header hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -73,121 +82,143 @@ def _marked(attrs: str, name: str, within: bool) -> bool:
     return False
 
 
+#: A new element of these ends an open one of those.
+_ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr",), "option": ("option",)}
+_END_P = BLOCKS - frozenset("body caption dd dt head html legend li option search summary tbody td tfoot th thead tr".split())
+_HOLD = frozenset("ul ol dl table div section article main body blockquote aside nav form header footer".split())
+
+
+class Element(NamedTuple):
+    name: str
+    furniture: bool = False
+    article: bool = False
+    link: bool = False
+
+
 class Line:
-    __slots__ = ("parts", "links", "furniture", "article")
+    __slots__ = ("parts", "links", "article")
 
-    def __init__(self, furniture: bool, article: bool):
+    def __init__(self):
         self.parts: list[str] = []
-        self.links = 0
-        self.furniture, self.article = furniture, article
-
-
-def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
-    """(text, length of link text, furniture, within the article) of each line that has text, in page order."""
-    stack: list[tuple[str, bool, bool]] = []  # name, furniture, article
-    out: list[Line] = [Line(False, False)]
-    raw = None
-    at = links = 0
-
-    def put(text: str) -> None:
-        if text and raw is None:
-            out[-1].parts.append(text)
-            if links:
-                out[-1].links += len(text.strip())
-
-    def new_line() -> None:
-        furniture, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-        if out[-1].parts:
-            out.append(Line(furniture, article))
-        else:
-            out[-1].furniture, out[-1].article, out[-1].links = furniture, article, 0
+        self.links, self.article = 0, False
+
+
+class Page:
+    """The lines of a page, gathered tag by tag."""
+
+    def __init__(self):
+        self.stack = [Element("")]
+        self.lines = [Line()]
+
+    def text(self, text: str) -> None:
+        top, line = self.stack[-1], self.lines[-1]
+        if not text or top.furniture:
+            return
+        if not line.parts:
+            line.article = top.article
+        line.parts.append(text)
+        if top.link:
+            line.links += len(text.strip())
+
+    def new_line(self) -> None:
+        if self.lines[-1].parts:
+            self.lines.append(Line())
+
+    def end(self, names: tuple[str, ...], within: frozenset[str] = frozenset()) -> bool:
+        """Ends the innermost open element of these names, unless one of `within` comes first, and all in it."""
+        for k in range(len(self.stack) - 1, 0, -1):
+            if self.stack[k].name in names:
+                del self.stack[k:]
+                return True
+            if self.stack[k].name in within:
+                break
+        return False
+
+    def close(self, name: str) -> None:
+        self.end((name,))
+        if name in BLOCKS:
+            self.new_line()
 
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            put(page[at : m.start()])
+    def open(self, name: str, attrs: str) -> None:
+        if name in _ENDS:
+            self.end(_ENDS[name], _HOLD)
+        if name in _END_P:
+            self.end(("p",), _HOLD | {"button", "td", "th", "li"})
+        if name == "a":
+            self.end(("a",), BLOCKS)
+        above = self.stack[-1]
+        if name in BLOCKS:
+            self.new_line()
+        if name in VOID:
+            if name == "br":
+                self.text(" ")
+            return
+        if attrs.endswith("/") and name not in BLOCKS:
+            return
+        furniture = above.furniture or name in FURNITURE or (name == "header" and not above.article) or _marked(attrs, name, above.article)
+        self.stack.append(Element(name, furniture, above.article or name in ("article", "main"), above.link or name == "a"))
+
+    def after_raw(self, name: str, page: str, at: int) -> int:
+        """Where a raw element ends whose content begins at `at`: behind its own end tag, or with what encloses it."""
+        found = re.compile(rf"</{name}(?![a-zA-Z0-9:-])[^>]*(?:>|\Z)", re.I).search(page, at)
+        if found:
+            return found.end()
+        names = "|".join(re.escape(e.name) for e in self.stack[1:])
+        found = re.compile(rf"</(?:{names})(?![a-zA-Z0-9:-])", re.I).search(page, at) if names else None
+        return found.start() if found else len(page)
+
+
+def lines_of(page: str) -> list[tuple[str, int, bool]]:
+    """(text, length of link text, within the article) of each line that has text and is no furniture, in page order."""
+    made, at = Page(), 0
+    while m := _TOKEN.search(page, at):
+        made.text(page[at : m.start()])
         at = m.end()
-        name = m["name"]
-        if name is None:
+        if m["name"] is None:
             if m[0].startswith("<![CDATA["):
-                put(m[0][9:-3])
-            continue
-        name = name.lower()
-        if raw is not None:
-            if m["close"] and name == raw:
-                raw = None
+                made.text(m[0][9:-3])
             continue
+        name = m["name"].lower()
         if m["close"]:
-            if name == "a":
-                links = 0
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-            if depth is not None:
-                del stack[depth:]
-            if name in BLOCKS:
-                new_line()
-            elif depth is not None and name != "a":
-                out[-1].furniture = out[-1].furniture if out[-1].parts else (stack[-1][1] if stack else False)
-            continue
-        if name in RAW and not m[0].endswith("/>"):
-            raw = name
-            continue
-        if name == "br" or name == "hr":
-            put(" ")
-            if name == "hr":
-                new_line()
-            continue
-        if name in VOID:
-            continue
-        if name == "a":
-            links = 1
-        if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):  # a new one ends the one that is open
-            close = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}.get(name, (name,))
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in close:
-                    del stack[k:]
-                    break
-                if stack[k][0] in ("ul", "ol", "dl", "table", "div", "section", "article", "body", "blockquote"):
-                    break
-        above = stack[-1] if stack else ("", False, False)
-        article = above[2] or name in ("article", "main")
-        furniture = above[1] or name in FURNITURE or (name == "header" and not above[2]) or name == "head" or _marked(m["attrs"], name, above[2])
-        if name in BLOCKS:
-            stack.append((name, furniture, article))
-            new_line()
-        elif not m[0].endswith("/>"):
-            if furniture and not above[1] and out[-1].parts:
-                # inline furniture within a line of text: a line of its own
-                stack.append((name, furniture, article))
-                new_line()
-                continue
-            stack.append((name, furniture, article))
-            if not out[-1].parts:
-                out[-1].furniture, out[-1].article = furniture, article
-    if at < len(page):
-        put(page[at:])
-    found = []
-    for line in out:
-        text = _SPACE.sub(" ", htmllib.unescape("".join(line.parts))).strip()
-        if text:
-            found.append((text, line.links, line.furniture, line.article))
-    return found
-
-
-def main_lines(lines: list[tuple[str, int, bool, bool]], window: int = WINDOW, surge: int = SURGE) -> list[str]:
-    """The lines of the article where it is marked, else those of every run of window sums that surges. Furniture counts nowhere."""
-    lines = [line for line in lines if not line[2]]
-    if any(article for *_, article in lines):
-        return [t for t, _, _, article in lines if article]
-    weight = np.array([max(0, len(t) - links) for t, links, *_ in lines], np.int64)
+            made.close(name)
+        elif name in RAW:
+            if not m["attrs"].endswith("/"):
+                at = made.after_raw(name, page, at)
+        else:
+            made.open(name, m["attrs"])
+    made.text(page[at:])
+    found = ((_SPACE.sub(" ", htmllib.unescape("".join(x.parts))).strip(), x.links, x.article) for x in made.lines)
+    return [x for x in found if x[0]]
+
+
+def runs(weight: np.ndarray, window: int, surge: int) -> list[tuple[int, int]]:
+    """[begin, end) of each run of lines between a surge and the dives around it; of all runs with text where none surges."""
     if not weight.sum():
         return []
     # the sum of the windows of lines that end, centre and begin at a line
-    padded = np.concatenate([np.zeros(window - 1, np.int64), weight, np.zeros(window - 1, np.int64)])
-    sums = np.convolve(padded, np.ones(window, np.int64), "valid")  # the window that begins at line k - window + 1
-    reach = np.array([sums[k : k + window].max() for k in range(len(lines))])
+    pad = np.zeros(window - 1, np.int64)
+    sums = np.convolve(np.concatenate([pad, weight, pad]), np.ones(window, np.int64), "valid")  # window k begins at line k - window + 1
+    reach = np.max([sums[k : k + len(weight)] for k in range(window)], axis=0)
     least = surge if sums.max() >= surge else 1  # a page of short lines: whatever has text
     edge = np.flatnonzero(np.diff(np.concatenate([[0], (reach > 0).astype(np.int8), [0]])))
-    runs = zip(edge[0::2].tolist(), edge[1::2].tolist(), strict=True)
-    return [t for begin, end in runs if reach[begin:end].max() >= least for t, *_ in lines[begin:end]]
+    out = []
+    for begin, end in zip(edge[0::2].tolist(), edge[1::2].tolist(), strict=True):
+        if reach[begin:end].max() >= least:
+            full = np.flatnonzero(weight[begin:end])
+            out.append((begin + int(full[0]), begin + int(full[-1]) + 1))
+    return out
+
+
+def main_lines(lines: list[tuple[str, int, bool]], window: int = WINDOW, surge: int = SURGE) -> list[str]:
+    """The lines of every run that surges, where lines within the article weigh more and others nothing unless they prevail."""
+    weight = np.array([max(0, len(t) - links) for t, links, _ in lines], np.int64)
+    article = np.array([x for *_, x in lines], bool)
+    if article.any():
+        foreign = sum(int((weight[a:b] * ~article[a:b]).sum()) for a, b in runs(weight, window, surge))
+        if foreign <= FOREIGN * max(surge, int(weight[article].sum())):
+            lines = [x for x in lines if x[2]]
+            weight = np.maximum(weight[article], surge)
+    return [t for a, b in runs(weight, window, surge) for t, *_ in lines[a:b]]
 
 
 def extract(page: str | None) -> str:

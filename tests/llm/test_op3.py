@@ -1,6 +1,8 @@
 """HTML extraction on pages whose article is known."""
 
-from seqlens.llm.op3_html_text import extract, main_text
+import random
+
+from seqlens.llm.op3_html_text import extract, main_lines, main_text
 
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</style><script>var a="</p><p>no</p>";</script></head>
 <body class="home sidebar-right"><header><h2>Site name and a very long slogan that goes on and on</h2></header>
@@ -54,3 +56,71 @@ def test_slug_ids_are_no_furniture():
     long = "This is a sentence of the story that is told here, and it has some length. " * 3
     got = extract(PAGE % f'<h2 id="social-effects">Social effects</h2><p>{long}</p><div id="related-posts">More</div>')
     assert got == f"Social effects {long.strip()}"
+
+
+def test_raw_elements_end_at_their_own_tag():
+    long = "This is a sentence of the story that is told here, and it has some length."
+    for raw in ('<script>for(i=0;i<n;i++){x()}</script>', '<script>s="<!--";</script>', '<script>if(a<b&&c>d)t="</p>"</script >', "<style>a>b{}</style>", "<SCRIPT>x<y</script>"):
+        assert extract(f"{raw}<article><p>{long}</p>{raw}<p>End.</p></article>") == f"{long} End.", raw
+    for open_ in ("<select><option>one<option>two", "<svg><text>no</text>", "<script>x<y", "<button>press", "<noscript><p>no", "<textarea>no<p>"):
+        assert extract(f"<article><p>{long}</p><div>{open_}</div><p>End.</p></article>") == f"{long} End.", open_
+    assert extract(f"<article><p>{long}</p></article><script>x") == long
+    assert extract("<article><p>if i<3 it's so</p><p title=it's>yes</p></article>") == "if i<3 it's so yes"
+
+
+def test_inline_furniture_leaves_the_rest_of_its_line():
+    assert extract("<article><p>Hello <button>press</button> world<svg><path/></svg>.</p><p hidden>Buy<div>Text.</div></article>") == "Hello world. Text."
+    assert extract("<article><p><a href=x>Open link <p>and text that is no link</article>") == "Open link and text that is no link"
+
+
+def test_two_runs_and_link_lines_at_their_edges():
+    long = "This is a sentence of the story that is told here, and it has some length. " * 2
+    links = "".join(f'<div><a href="/{k}">Section {k}</a></div>' for k in range(6))
+    got = extract(f"<body>{links}<div><p>{long}</p><p>Yes.</p></div>{links}<div><p>And so on.</p><p>{long}</p></div>{links}</body>")
+    assert got == f"{long.strip()} Yes. And so on. {long.strip()}"
+
+
+def test_distribution_may_overrule_the_tag():
+    long = "This is a sentence of the story that is told here, and it has some length. " * 30
+    assert extract(f"<body><article><p>Teaser text.</p></article><div><p>{long}</p></div></body>") == f"Teaser text. {long.strip()}"
+    assert extract(f"<body><article><p>{long}</p></article><div><p>{long}</p></div></body>") == long.strip()
+
+
+def brute(lines, window, surge):
+    """Runs by the definition: a line is reached by each window of lines that holds it."""
+    weight = [max(0, len(t) - links) for t, links, _ in lines]
+    n = len(lines)
+    sums = {k: sum(weight[max(0, k) : max(0, k + window)]) for k in range(1 - window, n)}
+    reach = [max(sums[k] for k in range(i - window + 1, i + 1)) for i in range(n)]
+    least = surge if max(sums.values(), default=0) >= surge else 1
+    out, run = [], []
+    for i in range(n + 1):
+        if i < n and reach[i] > 0:
+            run.append(i)
+            continue
+        if run and max(reach[k] for k in run) >= least:
+            while not weight[run[0]]:
+                run.pop(0)
+            while not weight[run[-1]]:
+                run.pop()
+            out += [lines[k][0] for k in run]
+        run = []
+    return out
+
+
+def test_brute_force():
+    rnd = random.Random(7)
+    for _ in range(500):
+        lines = []
+        for _ in range(rnd.randint(0, 25)):
+            text = "x" * rnd.choice([1, 5, 30, 80, 300])
+            lines.append((text, rnd.choice([0, 0, len(text)]), False))
+        for window, surge in ((3, 60), (1, 60), (5, 200)):
+            assert main_lines(lines, window, surge) == brute(lines, window, surge)
+
+
+def test_table_without_its_tags(spark):
+    """The pages with the tag that marks the article taken away: the distribution alone finds it."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()
+    same = sum(extract(r.html) == extract(r.html.replace("<article>", "<div>").replace("</article>", "</div>")) for r in rows)
+    assert same >= 0.98 * len(rows)
