@@ -214,6 +214,33 @@ def test_nearest_of_several_lengths(spark):
     assert hits >= 18
 
 
+def test_few_pairs_are_verified():
+    """On random vectors, the hardest case, a few per cent reach the threshold; in clusters less than one."""
+    rng = np.random.default_rng(1)
+    unit = lambda x: (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    clusters = rng.standard_normal((100, 64))[rng.integers(0, 100, 8192)] + 0.3 * rng.standard_normal((8192, 64))
+    for x, most in ((unit(rng.standard_normal((16384, 64))), 0.05), (unit(clusters), 0.02)):
+        n = len(x)
+        index = op9.BlockIndex(np.arange(n), x, 1.0 + 1e-6)
+        asked = np.arange(0, n, n // 100)
+        qi, vi, score, verified = index.search(asked, x[asked])
+        assert verified / (len(asked) * n) <= most
+        hits = 0
+        for i, a in enumerate(asked.tolist()):
+            s = x.astype(np.float64) @ x[a].astype(np.float64)
+            s[a] = -np.inf
+            assert np.allclose(score[qi == i], s[vi[qi == i]])
+            hits += int((s[vi[qi == i]] >= np.partition(s, n - 20)[n - 20] - 1e-9).sum())
+        assert hits >= 0.94 * 20 * len(asked)
+
+
+def test_double_vectors_keep_their_precision(spark):
+    rows = [(i, [1.0 + i * 1e-12, 1.0]) for i in range(40)]
+    got = op9.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=3).collect()
+    assert {r.vec_id for r in got if r.query_id == 0} == {37, 38, 39}
+    assert all(r.score == rows[r.vec_id][1][0] * rows[r.query_id][1][0] + 1.0 for r in got)
+
+
 def test_common_words_crowd_out_no_lexeme(spark):
     rnd = random.Random(3)
     common = ["".join(rnd.choice("abcdefgh") for _ in range(7)) for _ in range(900)]  # a word and three beginnings each
