@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import re
 import shutil
 import tempfile
 import uuid
@@ -14,6 +15,9 @@ from pyspark.sql import functions as F
 
 from ..ship import ship
 
+#: Buckets of a range at most, whatever the number of rows.
+MAX_BUCKETS = 20_000
+
 
 def prepare(spark: SparkSession) -> None:
     """Executors can import the package; Arrow batches are small, as rows hold whole texts."""
@@ -22,9 +26,12 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder named by spark.checkpoint.dir (own temporary folder only where that is unset)."""
+    """A fresh path in the folder named by spark.checkpoint.dir. Where that is unset, a temporary folder of its own if the
+    executors are threads of the driver, as in tests; a cluster has to name one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = getattr(shared_dir, "own", None)
         if base is None:
             base = shared_dir.own = tempfile.mkdtemp(prefix="seqlens-")
@@ -32,10 +39,15 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), place
+
+
 def drop_at_exit(spark: SparkSession, path: str) -> None:
     """What was written to path is deleted when the driver's JVM ends."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(place)
+    system, place = _file_system(spark, path)
+    system.deleteOnExit(place)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -43,7 +55,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
     drop_at_exit(df.sparkSession, path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._seqlens_place = path
+    return out
+
+
+def drop(*frames: DataFrame) -> None:
+    """Deletes what stored() wrote for these frames, once nothing that is still to be computed reads it."""
+    for df in frames:
+        system, place = _file_system(df.sparkSession, df._seqlens_place)
+        system.delete(place, True)
 
 
 def partitions(df: DataFrame) -> int:
@@ -69,12 +90,18 @@ def lean(fn):
     return run
 
 
-def range_bounds(df: DataFrame, column: str, rows_per_bucket: int) -> np.ndarray:
-    """Upper bounds that cut a numeric column into buckets of about so many rows: one number a bucket reaches the driver."""
+def range_bounds(df: DataFrame, column: str, rows_per_bucket: int, most: int = MAX_BUCKETS) -> np.ndarray:
+    """Upper bounds that cut a numeric column into buckets of about so many rows, or into `most` larger ones: one number a bucket
+    reaches the driver and is sent to tasks, so that neither grows beyond `most` numbers."""
     n = df.agg(F.count(column)).first()[0]
-    buckets = -(-n // rows_per_bucket)
+    buckets = min(most, -(-n // rows_per_bucket))
     if buckets < 2:
         return np.array([], dtype=np.int64)
     cuts = [i / buckets for i in range(1, buckets)]
     got = df.agg(F.percentile_approx(column, cuts, max(10_000, 20 * buckets))).first()[0]
     return np.unique(np.array(got, dtype=np.int64))
+
+
+def row_of(df: DataFrame) -> Column:
+    """All columns as one struct, which no other column's name can clash with."""
+    return F.struct(*[df[f"`{c}`"].alias(c) for c in df.columns])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import drop, stored
 
 #: Edges a task holds at least: few edges are not spread over many tasks.
 EDGES_A_TASK = 20_000
@@ -47,7 +47,8 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
             break
         before = state
         steps = _Steps(state[0])
-        now = stored(steps.small_star(steps.large_star(now)), "edges")
+        last, now = now, stored(steps.small_star(steps.large_star(now)), "edges")
+        drop(last)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
         now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )

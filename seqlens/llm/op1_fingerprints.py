@@ -94,7 +94,7 @@ def fingerprints(docs: DataFrame, bits: int = BITS, docs_per_bucket: int = 1024)
                 most[b] = max(k, most.get(b, k))
         yield pa.RecordBatch.from_arrays([pa.array(most.keys(), pa.int64()), pa.array(most.values(), pa.int64())], names=["bucket", "key"])
 
-    # one number a bucket reaches the driver
+    # one number a bucket reaches the driver, and buckets are bounded in number
     found = rows.select("key").mapInArrow(lean(heads), "bucket long, key long").groupBy("bucket").agg(F.max("key").alias("key")).collect()
     order = sorted((r.bucket, r.key) for r in found)
     to = {k: order[(i + 1) % len(order)][0] for i, (_, k) in enumerate(order)}

@@ -1,6 +1,7 @@
 """Token ids as files of patched frame-of-reference blocks.
 
-A shard holds the ids of consecutive documents (ascending doc_id, ties by the text's digest, null first). Its payload:
+A shard holds the ids of consecutive documents (ascending doc_id, ties by the text's digest, null first): shards of a range of
+doc_ids follow each other, each of SHARD ids or the last document's more. Its payload:
 
     header   magic "PFR1", block size (u32), number of ids (u64), number of blocks (u32)
     index    for each block: start of its packed bits in the payload (u64)
@@ -19,10 +20,11 @@ import json
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_at_exit, lean, partitions, range_bounds, shared_dir, text_of
@@ -30,8 +32,9 @@ from .fastenc import encoder
 
 BLOCK = 8192
 PERCENTILE = 90
+SHARD = 1 << 21
 _HEAD = struct.Struct("<4sIQI")
-SHARD_SCHEMA = "shard long, n_ids long, doc_ids array<bigint>, lengths array<bigint>, payload binary"
+SHARD_SCHEMA = "range long, first long, n_ids long, doc_ids array<bigint>, lengths array<bigint>, payload binary"
 
 
 def _widths(x: np.ndarray) -> np.ndarray:
@@ -105,9 +108,9 @@ def token_bound(tokenizer_path: str) -> int:
     return 1 + max([*spec["model"]["vocab"].values(), *[x["id"] for x in spec["added_tokens"]]])
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, kind: str, end_id: int, docs_per_shard: int = 2048) -> None:
+def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, kind: str, end_id: int, docs_per_range: int = 2048, most: int = SHARD) -> None:
     """Shards of documents in ascending doc_id at path."""
-    bounds = range_bounds(docs, "doc_id", docs_per_shard)
+    bounds = range_bounds(docs, "doc_id", docs_per_range)
     short = max(token_bound(tokenizer_path), end_id + 1) <= 1 << 16  # then ids travel in two bytes each
     kind_of_id = "<u2" if short else "<u4"
 
@@ -116,37 +119,38 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, kind: str
         for batch in batches:
             ids = [np.append(np.frombuffer(x, "<u4"), end_id).astype(kind_of_id).tobytes() for x in enc.encode(batch.column(1).to_pylist())]
             doc = batch.column(0)
-            shard = np.searchsorted(bounds, np.array(doc.fill_null(np.iinfo(np.int64).min)), side="left")
+            of = np.searchsorted(bounds, np.array(doc.fill_null(np.iinfo(np.int64).min)), side="left")
             yield pa.RecordBatch.from_arrays(
-                [pa.array(shard, pa.int64()), doc, batch.column(2), pa.array(ids, pa.binary())], names=["shard", "doc_id", "tie", "ids"]
+                [pa.array(of, pa.int64()), doc, batch.column(2), pa.array(ids, pa.binary())], names=["range", "doc_id", "tie", "ids"]
             )
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, doc_ids, parts = None, [], []
+        now, first, size, doc_ids, parts = None, 0, 0, [], []
 
         def done() -> pa.RecordBatch:
             payload = encode_blocks(np.frombuffer(b"".join(parts), kind_of_id))
             lengths = [len(p) // np.dtype(kind_of_id).itemsize for p in parts]
-            row = [[now], [sum(lengths)], [doc_ids], [lengths], [payload]]
-            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
-            names = ["shard", "n_ids", "doc_ids", "lengths", "payload"]
+            row = [[now], [first], [size], [doc_ids], [lengths], [payload]]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+            names = ["range", "first", "n_ids", "doc_ids", "lengths", "payload"]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names=names)
 
         for batch in batches:
-            for shard, doc, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if shard != now:
+            for of, doc, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if of != now or size >= most:
                     if parts:
                         yield done()
-                    now, doc_ids, parts = shard, [], []
+                    now, first, size, doc_ids, parts = of, (first + size if of == now else 0), 0, [], []
                 doc_ids.append(doc)
                 parts.append(ids)
+                size += len(ids) // np.dtype(kind_of_id).itemsize
         if parts:
             yield done()
 
     rows = docs.select(F.col("doc_id").cast("long"), text_of(docs).alias("text"), F.md5(text_of(docs)).alias("tie"))
-    encoded = rows.mapInArrow(lean(encode), "shard long, doc_id long, tie string, ids binary")
-    # a shard's number says where it lies in the order, so a plain exchange does and no range sample reads texts twice
-    dealt = encoded.repartition(partitions(docs), "shard").sortWithinPartitions("shard", "doc_id", "tie").select("shard", "doc_id", "ids")
+    encoded = rows.mapInArrow(lean(encode), "range long, doc_id long, tie string, ids binary")
+    # a range's number says where it lies in the order, so a plain exchange does and no range sample reads texts twice
+    dealt = encoded.repartition(partitions(docs), "range").sortWithinPartitions("range", "doc_id", "tie").select("range", "doc_id", "ids")
     dealt.mapInArrow(lean(shards), SHARD_SCHEMA).write.parquet(path)
 
 
@@ -156,22 +160,23 @@ def read_token_files(spark, path: str) -> DataFrame:
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, doc_ids, lengths, payload in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for of, first, doc_ids, lengths, payload in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 data = memoryview(decode_blocks(payload).astype("<u4").tobytes())
                 ends = np.cumsum(lengths)
                 starts = ends - lengths
                 crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                cols = [[shard] * len(doc_ids), doc_ids, starts, lengths, crc]
-                names = ["shard", "doc_id", "own_start", "n_tokens", "ids_crc32"]
+                cols = [[of] * len(doc_ids), doc_ids, first + starts, lengths, crc]
+                names = ["range", "doc_id", "own_start", "n_tokens", "ids_crc32"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
 
-    rows = files.select("shard", "doc_ids", "lengths", "payload").mapInArrow(
-        decode, "shard long, doc_id long, own_start long, n_tokens long, ids_crc32 long"
+    rows = files.select("range", "first", "doc_ids", "lengths", "payload").mapInArrow(
+        decode, "range long, doc_id long, own_start long, n_tokens long, ids_crc32 long"
     )
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    # one row a shard of thousands of documents: few, whatever the number of documents
-    bases = files.select("shard", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
-    return rows.join(bases, "shard").select("doc_id", (F.col("base") + F.col("own_start")).alias("start"), "n_tokens", "ids_crc32")
+    # at most MAX_BUCKETS ranges, whatever the number of documents
+    sizes = sorted((r["range"], r["n"]) for r in files.groupBy("range").agg(F.sum("n_ids").alias("n")).collect())
+    bases = list(zip([k for k, _ in sizes], [0, *accumulate(n for _, n in sizes)], strict=False))
+    base = F.broadcast(spark.createDataFrame(bases, "range long, base long"))
+    return rows.join(base, "range").select("doc_id", (F.col("base") + F.col("own_start")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def token_files(docs: DataFrame, tokenizer_path: str, kind: str = "word", end_id: int = 2, path: str | None = None) -> DataFrame:
