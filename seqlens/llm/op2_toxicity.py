@@ -10,7 +10,10 @@ frequent in labelled toxic texts (a Chernoff bound over all candidates; two toxi
 regression towards prior weights. Both use at most MAX_TRAIN labelled rows, chosen by a hash of their id, and only rows whose
 crc32(doc_id as text) mod 3 is not 1; near copies among them share one vote. Scores see the text alone.
 
+A line break ends a sentence.
+
 Defined results: null counts as empty text; a text without a match gets the score of the bias; repeated rows give a row each;
+equal texts have equal scores; other columns, whatever their names, are left alone;
 a label other than 0 or 1 is no label; several labels of one id: the largest; without labels the prior weights hold; a null
 doc_id is scored and not held out; an empty table gives no rows.
 """
@@ -23,7 +26,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import lean, stored, text_of
@@ -145,7 +148,7 @@ def grammar() -> tuple[dict, dict]:
 
 
 class Lexicon(dict):
-    """Word (as cut at white space) -> symbols; filled as words come, emptied at a size."""
+    """Word (as cut at blanks and line breaks) -> symbols; filled as words come, emptied at a size."""
 
     def __init__(self, learned: dict[str, str], limit: int = 300_000):
         super().__init__()
@@ -166,7 +169,7 @@ class Lexicon(dict):
     def __missing__(self, token: str) -> str:
         if len(self) > self.limit:
             self.clear()
-        got = "".join(map(self.symbol, _WORD.findall(token))) or OTHER
+        got = "".join(map(self.symbol, _WORD.findall(token))) or (OTHER if token.strip() else "")
         if len(token) < 80:
             self[token] = got
         return got
@@ -181,7 +184,7 @@ class Scorer:
 
     def features(self, text: str) -> list[float]:
         """log(1 + matched clauses) of each kind."""
-        tape = "".join(map(self.lexicon.__getitem__, text.lower().split()))
+        tape = "".join(map(self.lexicon.__getitem__, text.lower().replace("\n", " \n ").split(" ")))
         if not self.hit.search(tape):
             return [0.0] * len(KINDS)
         state, out = 0, []
@@ -345,8 +348,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> tuple[di
     return learned, weights.tolist()
 
 
-def with_scores(docs: DataFrame, learned: dict[str, str], weights: list[float] | None, name: str = "score") -> DataFrame:
-    """All columns and the score of the text."""
+def scores(docs: DataFrame, learned: dict[str, str], weights: list[float] | None) -> Column:
+    """The score of each row's text."""
     made: list[Scorer] = []
 
     @F.pandas_udf("double")
@@ -357,18 +360,17 @@ def with_scores(docs: DataFrame, learned: dict[str, str], weights: list[float] |
             made.append(Scorer(learned, weights))
         return pd.Series(made[0].score(np.array([made[0].features(t) for t in texts]).reshape(-1, len(KINDS))))
 
-    return docs.withColumn(name, of(text_of(docs)))
+    return of(text_of(docs))
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every row."""
-    scored = with_scores(docs, *train(docs, labels))
-    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
-    return scored.select(
-        F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
-    )
+    doc = docs["doc_id"].cast("long")
+    held_out = F.coalesce(F.crc32(docs["doc_id"].cast("string")) % 3 == 1, F.lit(False))
+    scored = docs.select(doc.alias("doc_id"), held_out.alias("held_out"), scores(docs, *train(docs, labels)).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows, with their columns, whose score is below the threshold."""
-    return with_scores(docs, *train(docs, labels), "__score").filter(F.col("__score") < THRESHOLD).drop("__score")
+    return docs.filter(scores(docs, *train(docs, labels)) < THRESHOLD)

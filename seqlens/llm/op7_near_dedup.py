@@ -11,7 +11,8 @@ Bands that still hold several components are searched for the remaining links: b
 of their classes, compare classes of different components exactly and return only links that join components.
 
 Defined results: null counts as empty text; a text without words joins only equal texts; repeated rows and copies share a
-group; a group's id is its smallest doc_id (null only if all are null); an empty table gives no rows.
+group, of which one row is kept; a group's id is its smallest doc_id (null only if all are null); an empty table gives no rows;
+columns of any name go along.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lean, partitions, stored, text_of
+from .common import drop, lean, partitions, row_of, stored, text_of
 from .components import connected_components, join_components
 from .textvec import U, groups_of, mix, shingle_hashes
 
@@ -354,39 +355,37 @@ def near_duplicate_components(texts: DataFrame) -> DataFrame:
     )
     rest = rest.repartition(parts, "band", "x", "y").sortWithinPartitions("band", "x", "y")
     more = stored(rest.mapInArrow(lean(_blocks), "a binary, b binary, likeness double"), "more-links")
+    drop(signed, shared, stars, pairs, sets, links, named)
     return join_components(roots, more, "a", "b")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, group_id (the class: its smallest doc_id), group_size, keep (one row of each group)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text_of(docs))).alias("digest"), text_of(docs).alias("text"))
-    roots = near_duplicate_components(rows.select("digest", "text"))
-    classes = rows.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+def _leaders(ids: DataFrame, roots: DataFrame) -> DataFrame:
+    """ids: (doc_id, digest). (digest, group_id, leads, group_size) of each class: leads where the group's first row has its text."""
+    classes = ids.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     named = classes.join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     groups = named.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least", "digest")).alias("first"), F.sum("copies").alias("group_size"))
-    of = (
-        named.join(groups, "root")
-        .select("digest", F.col("first.least").alias("group_id"), (F.col("first.digest") == F.col("digest")).alias("leads"), "group_size")
-    )
-    return rows.select("doc_id", "digest").join(of, "digest").select(
-        "doc_id",
-        "group_id",
-        "group_size",
-        (F.col("leads") & F.col("doc_id").eqNullSafe(F.col("group_id"))).alias("keep"),
+    return named.join(groups, "root").select(
+        "digest", F.col("first.least").alias("group_id"), (F.col("first.digest") == F.col("digest")).alias("leads"), "group_size"
     )
 
 
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, group_id (the class: its smallest doc_id), group_size, keep (one row of each group)."""
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.unhex(F.md5(text_of(docs))).alias("digest"), text_of(docs).alias("text"))
+    ids = rows.select("doc_id", "digest")
+    of = _leaders(ids, near_duplicate_components(rows.select("digest", "text")))
+    first = F.col("leads") & F.col("doc_id").eqNullSafe(F.col("group_id"))
+    # rows that repeat are counted, so that one of them is kept
+    times = ids.join(of, "digest").groupBy("doc_id", "group_id", "group_size", first.alias("first")).agg(F.count("*").alias("n"))
+    each = times.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    return each.select("doc_id", "group_id", "group_size", (F.col("first") & (F.col("k") == 1)).alias("keep"))
+
+
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One document of each group, with all its columns."""
-    digest = F.unhex(F.md5(text_of(docs)))
-    rows = docs.select(digest.alias("digest"), text_of(docs).alias("text"))
-    roots = near_duplicate_components(rows)
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest.alias("digest"))
-    classes = ids.groupBy("digest").agg(F.min("doc_id").alias("least"))
-    named = classes.join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    first = named.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least", "digest")).alias("first"))
-    kept = first.select(F.col("first.digest").alias("__digest"), F.col("first.least").alias("__doc_id"))
-    same = (F.col("__own") == F.col("__digest")) & F.col("doc_id").eqNullSafe(F.col("__doc_id"))
-    once = Window.partitionBy("__digest").orderBy("doc_id")
-    found = docs.withColumn("__own", digest).join(kept, same).withColumn("__row", F.row_number().over(once)).filter("__row = 1")
-    return found.select(*docs.columns)
+    rows = docs.select(docs["doc_id"].cast("long").alias("id"), F.unhex(F.md5(text_of(docs))).alias("digest"), row_of(docs).alias("row"), text_of(docs).alias("text"))
+    roots = near_duplicate_components(rows.select("digest", "text"))
+    of = _leaders(rows.select(F.col("id").alias("doc_id"), "digest"), roots).filter("leads").select("digest", "group_id")
+    once = Window.partitionBy("digest").orderBy("id")
+    found = rows.select("id", "digest", "row").join(of, "digest").filter(F.col("id").eqNullSafe(F.col("group_id")))
+    return found.withColumn("n", F.row_number().over(once)).filter("n = 1").select("row.*")

@@ -5,32 +5,37 @@ their suffixes, so places that can match are brought together first, without los
 
 1. Each window of `length` bytes names an anchor: its least hash of `gram` bytes (the leftmost of equals). The choice depends
    on the window's bytes alone, so equal windows name anchors of equal bytes at the same distance. The windows of an anchor
-   are consecutive; its context is all their bytes. Rows (anchor hash, context digest, place) are dealt by anchor hash. Equal
-   contexts repeat as a whole and are settled; anchors that occur once are dropped.
+   are consecutive; its context is all their bytes. Rows (anchor hash, 128-bit context digest, place) are dealt by anchor hash,
+   those of a heavy anchor by context digest too. Equal contexts repeat as a whole and are settled; anchors that occur once are
+   dropped.
 2. What is left are anchors with different contexts. Their bytes are fetched, and in each group of equal anchors the suffixes
    right of the anchor, and the reversed prefixes left of it, are sorted by a mergesort. Two suffixes are compared through
    prefix polynomial hashes: binary search finds their common extension, the byte after it their order. Neighbours' common
    extensions are verified byte by byte; on a collision the sort is repeated on bytes. Windows at distance d are equal exactly
    if the left extension is d at least and the right one reaches the window's end, so windows are compared by their places in
    both orders.
-3. A group of more than HOT different contexts is not sorted in one task: its windows are dealt by a 128-bit digest instead and
-   counted, which settles them as exactly.
+3. A group of more than HOT different contexts, or of a heavy anchor, is not sorted in one task: its windows are dealt by a
+   128-bit digest instead and counted, which settles them as exactly.
 
-Settled windows become spans, which are gathered by text digest and cut from the texts.
+Heavy anchors are those with a SHARE-th of all contexts and HEAVY at least: found by counting all rows, where each task reports
+what is frequent in it. Settled windows become spans, which are gathered by text digest and cut from the texts. Texts and whole
+contexts are told apart by 128-bit digests, extensions in a sort by their bytes.
 
-Defined results: null counts as empty text; texts shorter than `length` bytes keep all; copies of a text (repeated rows too)
-of `length` bytes at least lose all; an empty table gives no rows; a null doc_id is kept.
+Defined results: null counts as empty text, and stays null where texts are cut; texts shorter than `length` bytes keep all;
+copies of a text (repeated rows too) of `length` bytes at least lose all; an empty table gives no rows; a null doc_id is kept;
+columns of any name go along.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import lean, partitions, stored, text_of
@@ -40,12 +45,14 @@ LENGTH, GRAM = 200, 64
 SPAN = LENGTH - GRAM + 1  # windows that may name the same anchor
 HOT = 20_000
 PART = 1_000_000  # rows of one anchor held at once
+HEAVY, SHARE = 2_000, 1_000  # contexts of a heavy anchor at least, and the part of all contexts
+SALTS = 64  # tasks that a heavy anchor is dealt to at most
 _BITS = 20
 _CHUNK = 1 << _BITS
 _BASE = 0x9E3779B97F4A7C15 | 1
-ROW_SCHEMA = "kind int, anchor long, context long, t1 long, t2 long, at long, lo int, hi int, n int"
-_NAMES = ["kind", "anchor", "context", "t1", "t2", "at", "lo", "hi", "n"]
-_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+ROW_SCHEMA = "kind int, anchor long, context long, more long, t1 long, t2 long, at long, lo int, hi int, n int"
+_NAMES = ["kind", "anchor", "context", "more", "t1", "t2", "at", "lo", "hi", "n"]
+_TYPES = [pa.int32(), *[pa.int64()] * 6, *[pa.int32()] * 3]
 SETTLED, OPEN = 0, 1
 
 
@@ -126,8 +133,7 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [t.encode("utf-8", "surrogatepass") for t in batch.column(0).to_pylist()]
         keys = [text_key(t) for t in texts]
-        group: list[bytes] = []
-        cols: list[list] = [[] for _ in range(8)]
+        cols: list[list] = [[] for _ in range(7)]
         for data, ends, who in _chunks(texts):
             b = np.frombuffer(data, np.uint8)
             ends = np.array(ends)
@@ -138,27 +144,23 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             whose = np.array([i for i, _ in who])[owner]
             lo, hi = place - last, place - first
             start, stop = first, last + LENGTH
-            digest = [xxhash.xxh3_64_intdigest(data[s:e], seed=d) for s, e, d in zip(start.tolist(), stop.tolist(), hi.tolist(), strict=True)]
-            cols[0].append(hashes.view(np.int64))
-            cols[1].append(np.array(digest, np.uint64).view(np.int64))
-            cols[2].append(whose)
-            cols[3].append(place + offset[owner])
-            cols[4].append(lo)
-            cols[5].append(hi)
-        del group
+            digest = [xxhash.xxh3_128_digest(data[s:e], seed=d) for s, e, d in zip(start.tolist(), stop.tolist(), hi.tolist(), strict=True)]
+            halves = np.frombuffer(b"".join(digest), ">i8").astype(np.int64).reshape(-1, 2)
+            for c, v in zip(cols, (hashes.view(np.int64), halves[:, 0], halves[:, 1], whose, place + offset[owner], lo, hi), strict=True):
+                c.append(v)
         if not cols[0]:
             continue
-        anchor, context, whose, at, lo, hi = (np.concatenate(c) for c in cols[:6])
+        anchor, context, more, whose, at, lo, hi = (np.concatenate(c) for c in cols)
         k = np.array(keys, np.int64).reshape(-1, 2)[whose]
         # equal contexts within the batch are settled here; one of them goes on for all
-        order = np.lexsort((context, anchor))
+        order = np.lexsort((more, context, anchor))
         new = np.ones(len(order), bool)
-        new[1:] = (np.diff(anchor[order]) != 0) | (np.diff(context[order]) != 0)
+        new[1:] = (np.diff(anchor[order]) != 0) | (np.diff(context[order]) != 0) | (np.diff(more[order]) != 0)
         group_of = np.cumsum(new) - 1
         n = np.bincount(group_of)
         lead = order[new]
         many = order[n[group_of] > 1]
-        yield _rows(np.full(len(lead), OPEN), anchor[lead], context[lead], k[lead, 0], k[lead, 1], at[lead], lo[lead], hi[lead], n)
+        yield _rows(np.full(len(lead), OPEN), anchor[lead], context[lead], more[lead], k[lead, 0], k[lead, 1], at[lead], lo[lead], hi[lead], n)
         if len(many):
             yield _settled(k[many, 0], k[many, 1], at[many] - hi[many], at[many] - lo[many] + LENGTH)
 
@@ -172,23 +174,37 @@ def _settled(t1: np.ndarray, t2: np.ndarray, start: np.ndarray, end: np.ndarray)
     n = len(t1)
     zero = np.zeros(n, np.int32)
     anchor = mix(t1.view(np.uint64) + start.view(np.uint64)).view(np.int64) if n else t1
-    return _rows(np.full(n, SETTLED), anchor, end, t1, t2, start, zero, zero, zero)
+    return _rows(np.full(n, SETTLED), anchor, end, anchor, t1, t2, start, zero, zero, zero)
 
 
-def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Anchors that make up half a SHARE-th of a task's rows, with their numbers: an anchor with a SHARE-th of all rows is reported
+    by the tasks that hold half of them at least."""
+    every = [np.asarray(batch.column(0)) for batch in batches]  # a task's part of one column
+    values, counts = np.unique(np.concatenate([np.array([], np.int64), *every]), return_counts=True)
+    total = counts.sum()
+    often = counts * 2 * SHARE >= total
+    yield pa.RecordBatch.from_arrays([pa.array(values[often], pa.int64()), pa.array(counts[often], pa.int64())], names=["anchor", "n"])
+
+
+def heavy_anchors(rows: DataFrame) -> list[int]:
+    """At most 2 * SHARE anchors, whatever the number of rows."""
+    total = rows.count()
+    found = rows.select("anchor").mapInArrow(lean(_frequent), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    return [r.anchor for r in found.filter((F.col("n") * 2 * SHARE >= total) & (F.col("n") * 2 >= HEAVY)).select("anchor").collect()]
+
+
+def _settle(heavy: list[int] | None = None):
     """Rows sorted by (anchor, context): settles contexts that repeat, drops lone anchors, passes on the rest. An anchor of more
-    than PART rows is worked in parts; no part tells what the others hold, so all its contexts go on."""
+    than PART rows is worked in parts, a heavy one in several tasks; none tells what the others hold, so all its contexts go on."""
+    spread = np.sort(np.array(heavy or [], np.int64))
 
     def work(cols: list[np.ndarray], split: int | None) -> Iterator[pa.RecordBatch]:
-        kind, anchor, context, t1, t2, at, lo, hi, n = cols
-        done = kind == SETTLED
-        if done.any():
-            yield _rows(*(c[done] for c in cols))
-        kind, anchor, context, t1, t2, at, lo, hi, n = (c[~done] for c in cols)
+        kind, anchor, context, more, t1, t2, at, lo, hi, n = cols
         if not len(kind):
             return
         new_anchor = np.concatenate([[True], np.diff(anchor) != 0])
-        new_class = new_anchor | np.concatenate([[True], np.diff(context) != 0])
+        new_class = new_anchor | np.concatenate([[True], (np.diff(context) != 0) | (np.diff(more) != 0)])
         cls, grp = np.cumsum(new_class) - 1, np.cumsum(new_anchor) - 1
         times = np.bincount(cls, n)
         many = times[cls] > 1
@@ -198,25 +214,28 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group = grp[lead]
         kinds = np.bincount(group)
         loose = np.bincount(group, times < 2)
-        on = lead[(kinds[group] > 1) & (loose[group] > 0) | (anchor[lead] == split)]
+        on = lead[(kinds[group] > 1) & (loose[group] > 0) | (anchor[lead] == split) | np.isin(anchor[lead], spread)]
         if len(on):
-            yield _rows(*(c[on] for c in (kind, anchor, context, t1, t2, at, lo, hi, n)))
+            yield _rows(*(c[on] for c in cols))
 
-    held: list[np.ndarray] | None = None
-    split: int | None = None  # the anchor last cut into parts
-    for batch in batches:
-        cols = [np.asarray(c) for c in batch.columns]
-        if not len(cols[0]):
-            continue
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        split: int | None = None  # the anchor last cut into parts
+        for batch in batches:
+            cols = [np.asarray(c) for c in batch.columns]
+            if not len(cols[0]):
+                continue
+            if held is not None:
+                cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
+            cut = int(np.searchsorted(cols[1], cols[1][-1], side="left"))  # the last anchor may go on
+            if not cut and len(cols[0]) > PART:
+                cut, split = len(cols[0]), int(cols[1][-1])  # a part of a very large group; what it leaves open is settled later
+            yield from work([c[:cut] for c in cols], split)
+            held = [c[cut:] for c in cols]
         if held is not None:
-            cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
-        cut = int(np.searchsorted(cols[1], cols[1][-1], side="left"))  # the last anchor may go on
-        if not cut and len(cols[0]) > PART:
-            cut, split = len(cols[0]), int(cols[1][-1])  # a part of a very large group; what it leaves open is settled later
-        yield from work([c[:cut] for c in cols], split)
-        held = [c[cut:] for c in cols]
-    if held is not None:
-        yield from work(held, split)
+            yield from work(held, split)
+
+    return run
 
 
 # --- the sort -----------------------------------------------------------------------------------------------------------
@@ -345,9 +364,10 @@ def _spans(t1: list, t2: list, at: np.ndarray, found: np.ndarray) -> pa.RecordBa
     return _settled(np.array(t1, np.int64)[row], np.array(t2, np.int64)[row], at[row] - (last - 1), at[row] - first + LENGTH)
 
 
-def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sorted_groups(heavy: list[int] | None = None):
     """Rows (anchor, t1, t2, at, lo, hi, bytes) sorted by anchor. Groups are sorted some thousand contexts at a time; the
-    windows of a hot group are passed on, each with its digest."""
+    windows of a hot group or a heavy anchor are passed on, each with its digest."""
+    spread = frozenset(heavy or [])
 
     def work(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         if len(rows) < 2:
@@ -360,39 +380,43 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
     def windows(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         for i in range(0, len(rows), 500):
-            cols: list[list] = [[], [], [], [], []]
+            digests, cols = [], [[], [], []]
             for _, t1, t2, at, lo, hi, data in rows[i : i + 500]:
                 for d in range(lo, hi + 1):
-                    x = xxhash.xxh3_128_digest(data[hi - d : hi - d + LENGTH])
-                    for c, v in zip(cols, (int.from_bytes(x[:8], "big", signed=True), int.from_bytes(x[8:], "big", signed=True), t1, t2, at - d), strict=True):
+                    digests.append(xxhash.xxh3_128_digest(data[hi - d : hi - d + LENGTH]))
+                    for c, v in zip(cols, (t1, t2, at - d), strict=True):
                         c.append(v)
-            zero = np.zeros(len(cols[0]), np.int32)
-            yield _rows(np.full(len(zero), OPEN), *cols, zero, zero, zero)
+            half = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
+            zero = np.zeros(len(half), np.int32)
+            yield _rows(np.full(len(zero), OPEN), half[:, 0], half[:, 1], zero, *cols, zero, zero, zero)
 
-    ready: list[tuple] = []
-    group: list[tuple] = []
-    hot, now = False, None
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if row[0] != now:
-                if hot:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready: list[tuple] = []
+        group: list[tuple] = []
+        hot, now = False, None
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[0] != now:
+                    if hot:
+                        yield from windows(group)
+                    else:
+                        ready += group
+                    if len(ready) > 4000:
+                        yield from work(ready)
+                        ready = []
+                    group, hot, now = [], row[0] in spread, row[0]
+                group.append(row)
+                if len(group) > (500 if hot else HOT):
+                    hot = True
                     yield from windows(group)
-                else:
-                    ready += group
-                if len(ready) > 4000:
-                    yield from work(ready)
-                    ready = []
-                group, hot, now = [], False, row[0]
-            group.append(row)
-            if len(group) > HOT:
-                hot = True
-                yield from windows(group)
-                group = []
-    if hot:
-        yield from windows(group)
-    else:
-        ready += group
-    yield from work(ready)
+                    group = []
+        if hot:
+            yield from windows(group)
+        else:
+            ready += group
+        yield from work(ready)
+
+    return run
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -420,35 +444,42 @@ def _first_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(keep, pa.bool_()))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def _keyed(docs: DataFrame, *others: Column) -> DataFrame:
+    """(t1, t2, text, ...): texts with their digests."""
     digest = F.md5(text_of(docs))
-    half = [F.conv(F.substring(digest, k, 16), 16, -10).cast("long") for k in (1, 17)]
-    return docs.withColumn("__text", text_of(docs)).withColumn("__t1", half[0]).withColumn("__t2", half[1])
+    half = [F.conv(F.substring(digest, k, 16), 16, -10).cast("long").alias(n) for k, n in ((1, "t1"), (17, "t2"))]
+    return docs.select(*half, text_of(docs).alias("text"), *others)
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(t1, t2, spans): the spans of each text (by digest) whose bytes repeat; they may overlap."""
     parts = partitions(docs)
-    texts = docs.select(text_of(docs).alias("text"))
-    rows = texts.mapInArrow(lean(_find), ROW_SCHEMA).repartition(parts, "anchor").sortWithinPartitions("anchor", "context")
-    first = stored(rows.mapInArrow(lean(_settle), ROW_SCHEMA), "anchors")
+    found = stored(docs.select(text_of(docs).alias("text")).mapInArrow(lean(_find), ROW_SCHEMA), "contexts")
+    rows = found.filter(F.col("kind") == OPEN)
+    heavy = heavy_anchors(rows)
+
+    def part(by: Column) -> Column:
+        """A heavy anchor is dealt to several tasks."""
+        return F.when(F.col("anchor").isin(heavy), F.pmod(by, F.lit(SALTS))).otherwise(F.lit(0)) if heavy else F.lit(0)
+
+    dealt = rows.withColumn("part", part(F.col("context"))).repartition(parts, "anchor", "part").sortWithinPartitions("anchor", "context", "more")
+    first = stored(dealt.drop("part").mapInArrow(lean(_settle(heavy)), ROW_SCHEMA), "anchors")
     wanted = (
         first.filter(F.col("kind") == OPEN)
         .groupBy("t1", "t2")
         .agg(F.collect_list(F.struct("anchor", "at", "lo", "hi")).alias("wanted"))
     )
-    keyed = _keyed(docs).select(F.col("__t1").alias("t1"), F.col("__t2").alias("t2"), F.col("__text").alias("text"))
-    sources = keyed.filter(F.octet_length("text") >= LENGTH).mapInArrow(lean(_first_seen), "t1 long, t2 long, text string")
+    sources = _keyed(docs).filter(F.octet_length("text") >= LENGTH).mapInArrow(lean(_first_seen), "t1 long, t2 long, text string")
     fetched = sources.join(wanted, ["t1", "t2"]).mapInArrow(
         _fetch, "anchor long, t1 long, t2 long, at long, lo int, hi int, bytes binary"
     )
-    dealt = fetched.repartition(parts, "anchor").sortWithinPartitions("anchor")
-    second = stored(dealt.mapInArrow(lean(_sorted_groups), ROW_SCHEMA), "sorted")
+    dealt = fetched.withColumn("part", part(F.xxhash64("t1", "at"))).repartition(parts, "anchor", "part").sortWithinPartitions("anchor")
+    second = stored(dealt.drop("part").mapInArrow(lean(_sorted_groups(heavy)), ROW_SCHEMA), "sorted")
     windows = second.filter(F.col("kind") == OPEN)
     many = windows.groupBy("anchor", "context").agg(F.count("*").alias("times")).filter("times > 1")
     hot = windows.join(many, ["anchor", "context"]).select("t1", "t2", F.col("at").alias("start"), (F.col("at") + LENGTH).alias("end"))
-    spans = [x.filter(F.col("kind") == SETTLED).select("t1", "t2", F.col("at").alias("start"), F.col("context").alias("end")) for x in (first, second)]
-    every = spans[0].unionByName(spans[1]).unionByName(hot)
+    settled = [x.filter(F.col("kind") == SETTLED).select("t1", "t2", F.col("at").alias("start"), F.col("context").alias("end")) for x in (found, first, second)]
+    every = reduce(DataFrame.unionByName, settled, hot)
     return every.groupBy("t1", "t2").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
@@ -467,11 +498,6 @@ def _cut(data: bytes, spans: list | None) -> tuple[bytes, int]:
     return b"".join(kept), runs
 
 
-def _with_spans(docs: DataFrame) -> DataFrame:
-    found = repeated_spans(docs).select(F.col("t1").alias("__t1"), F.col("t2").alias("__t2"), F.col("spans").alias("__spans"))
-    return _keyed(docs).join(found, ["__t1", "__t2"], "left")
-
-
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
 
@@ -486,12 +512,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [*[pa.int64()] * 4, pa.string()], strict=True)]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    rows = _with_spans(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "__text", "__spans")
+    rows = _keyed(docs, docs["doc_id"].cast("long").alias("doc_id")).join(repeated_spans(docs), ["t1", "t2"], "left").select("doc_id", "text", "spans")
     return rows.mapInArrow(lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
-    """All rows and columns, with repeated bytes cut from text (a character that is cut in part goes) and n_chars renewed."""
+    """All rows and columns, with repeated bytes cut from text (a character that is cut in part goes) and n_chars renewed. A row
+    without text stays as it is."""
 
     @F.pandas_udf("string")
     def cut(text, spans):
@@ -505,7 +532,14 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
                 out.append(_cut(t.encode("utf-8", "surrogatepass"), list(s))[0].decode("utf-8", "ignore"))
         return pd.Series(out, dtype=object)
 
-    got = _with_spans(docs).withColumn("text", cut("__text", "__spans"))
-    if "n_chars" in docs.columns:
-        got = got.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return got.select(*docs.columns)
+    # the text itself does not travel in the row as well
+    others = F.struct(*[docs[f"`{c}`"].alias(c) for c in docs.columns if c != "text"])
+    keyed = _keyed(docs, others.alias("row"), docs["text"].isNull().alias("none"))
+    got = keyed.join(repeated_spans(docs), ["t1", "t2"], "left").select("row", "none", cut("text", "spans").alias("text"))
+    columns = []
+    for c in docs.columns:
+        out = F.col(f"row.`{c}`") if c != "text" else F.when(~F.col("none"), F.col("text"))
+        if c == "n_chars":
+            out = F.when(F.col("none"), out).otherwise(F.char_length("text").cast(docs.schema[c].dataType))
+        columns.append(out.alias(c))
+    return got.select(*columns)

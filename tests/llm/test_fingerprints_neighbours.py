@@ -49,6 +49,41 @@ def test_fingerprints(spark):
     assert len(same) == 4
 
 
+def plain_sketch(text):
+    """The kept hashes by their definition, one word and one shingle at a time."""
+    mask = 2**64 - 1
+
+    def mix(x):
+        for shift, mult in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ x >> shift) * mult & mask
+        return x ^ x >> 31
+
+    odd = 0x9E3779B97F4A7C15
+    words = []
+    for w in text.lower().encode().split():
+        h = sum((b + 1) * (mix((i % 4096 + 1) * odd & mask) | 1) for i, b in enumerate(w)) & mask
+        words.append(mix((h + len(w) * odd) & mask))
+    step = [mix(k * odd & mask) | 1 for k in range(101, 106)]
+    if not words:
+        return []
+    parts = [words[i : i + 5] for i in range(max(1, len(words) - 4))]
+    hashes = [mix((sum(w * s for w, s in zip(p, step, strict=False)) + (len(p) if len(p) < 5 else 0)) & mask) for p in parts]
+    return sorted({h >> 30 & 0xFFFFFFFF for h in hashes if h < 1 << 62})
+
+
+def test_fingerprints_by_brute_force(spark):
+    rnd = random.Random(6)
+    base = prose(rnd, 300)
+    texts = [" ".join(base[: rnd.randint(0, 300)] + prose(rnd, rnd.randint(0, 60))) for _ in range(60)] + ["a b", "", "é É x", "same", "same"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = [plain_sketch(t) for t in texts]
+    for r in op1.fingerprints(docs, docs_per_bucket=10).collect():
+        assert r.fingerprint.split(":")[2] == "".join(f"{h:08x}" for h in want[r.doc_id])
+        a, b = set(want[r.doc_id]), set(want[r.doc_id - 1])
+        like = 1.0 if texts[r.doc_id] == texts[r.doc_id - 1] else len(a & b) / len(a | b) if a | b else 0.0
+        assert np.isclose(r.near_next, like), r.doc_id
+
+
 def test_sketch_merge():
     rnd = random.Random(2)
     a, b = prose(rnd, 3000), prose(rnd, 300)
@@ -118,6 +153,21 @@ def test_dart_signatures_are_unbiased():
     assert abs(np.mean(found)) < 0.03
 
 
+def test_repeated_rows_and_clashing_names(spark):
+    names = ["doc_id", "text", "digest", "row", "id", "n", "group_id", "a.b", "__own", "__digest", "__row"]
+    schema = ", ".join(f"`{n}` {'long' if n == 'doc_id' else 'string'}" for n in names)
+    text = " ".join(prose(random.Random(9), 80))
+    texts = [(3, "a b c"), (3, "a b c"), (3, "a b c"), (5, "a b c"), (1, text), (2, text + " x"), (None, None), (None, None), (None, "")]
+    docs = spark.createDataFrame([(d, t, *"abcdefghi") for d, t in texts], schema).repartition(3)
+    got = op7.near_duplicates(docs).collect()
+    assert len(got) == len(texts)
+    kept = Counter(r.group_id for r in got if r.keep)
+    assert kept == Counter({3: 1, 1: 1, None: 1}) and {r.group_id: r.group_size for r in got} == {3: 4, 1: 2, None: 3}
+    left = op7.drop_near_duplicates(docs)
+    assert left.columns == names
+    assert sorted((r[0] or 0, *r[2:]) for r in left.collect()) == [(k, *"abcdefghi") for k in (0, 1, 3)]
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (4, 5), (6, 6)] + [(k, k + 1) for k in range(100, 180)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
@@ -170,6 +220,60 @@ def test_grammar():
     assert kinds("nice day") == set()
 
 
+def by_definition(tape):
+    """Counts of kinds, each match judged by what stands around it."""
+    out = {k: 0 for k in op2.KINDS}
+    hits, ends = {op2.INSULT, op2.WEAK, op2.THREAT}, {op2.CLAUSE, op2.SENTENCE}
+    for i, x in enumerate(tape):
+        if x not in hits:
+            continue
+        sentence = max((k for k in range(i) if tape[k] == op2.SENTENCE), default=-1) + 1
+        clause = max((k for k in range(i) if tape[k] in ends), default=-1) + 1
+        if op2.NOT in tape[max(clause, i - 3) : i]:
+            out["negated"] += 1
+        elif op2.SAID in tape[sentence:i]:
+            out["reported"] += 1
+        elif x == op2.WEAK:
+            out["weak"] += 1
+        else:
+            after = tape[i + 1 : i + 3]
+            stop = next((k for k, y in enumerate(after) if y in hits | ends), len(after))
+            directed = op2.TARGET in tape[max(sentence, i - 3) : i] or op2.TARGET in after[:stop]
+            out[("insult" if x == op2.INSULT else "threat") + ("_at" if directed else "")] += 1
+    return out
+
+
+def test_grammar_by_brute_force():
+    rnd = random.Random(8)
+    word = {op2.OTHER: "word", op2.INSULT: "idiot", op2.WEAK: "weakling", op2.THREAT: "kill", op2.TARGET: "you", op2.NOT: "not", op2.SAID: "said", op2.CLAUSE: ",", op2.SENTENCE: "."}
+    s = op2.Scorer({"=weakling": op2.WEAK})
+    for _ in range(3000):
+        tape = "".join(rnd.choices(list(word), weights=[6, 3, 2, 2, 3, 2, 1, 1, 1], k=rnd.randint(0, 25)))
+        text = " ".join(rnd.choice([word[x], "\n"]) if x == op2.SENTENCE else word[x] for x in tape)
+        want = by_definition(tape + op2.SENTENCE)
+        assert np.allclose(s.features(text), [np.log1p(want[k]) for k in op2.KINDS]), text
+        x = s.features(text)
+        assert np.isclose(s.score(np.array([x]))[0], 1 / (1 + np.exp(-(op2.BIAS + sum(w * v for w, v in zip(op2.KINDS.values(), x, strict=True))))))
+
+
+def test_toxicity_ties_and_clashing_names(spark):
+    texts = ["you are an idiot", "nice day", "you are an idiot", None]
+    rows = [(i, t, 9.0, "x", 7, "y") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double, __score string, predicted int, held_out string")
+    labels = spark.createDataFrame([(0, 1, 1), (0, 1, 0), (1, 1, 0)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in op2.score(docs, labels).collect()}
+    assert got[0].score == got[2].score > got[1].score == got[3].score
+    kept = op2.reject_toxic(docs, labels.limit(0))
+    assert kept.columns == docs.columns and {tuple(r)[2:] for r in kept.collect()} <= {(9.0, "x", 7, "y")}
+
+
+def test_line_breaks_end_sentences():
+    s = op2.Scorer({})
+    kinds = lambda t: {k for k, v in zip(op2.KINDS, s.features(t), strict=True) if v}
+    assert kinds("he said hello\nyou are an idiot") == {"insult_at"}
+    assert kinds("he said  hello \t you are an idiot") == {"reported"}
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(4)
     x = rng.standard_normal((3000, 24)).astype(np.float32) * rng.uniform(0.5, 2, (3000, 1)).astype(np.float32)

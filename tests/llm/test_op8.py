@@ -45,9 +45,10 @@ def made(seed):
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
-@pytest.mark.parametrize("hot", [20_000, 3])
-def test_brute_force(spark, monkeypatch, seed, hot):
+@pytest.mark.parametrize(("hot", "heavy"), [(20_000, 2_000), (3, 2_000), (20_000, 4)])
+def test_brute_force(spark, monkeypatch, seed, hot, heavy):
     monkeypatch.setattr(op, "HOT", hot)
+    monkeypatch.setattr(op, "HEAVY", heavy)
     texts = made(seed)
     docs = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, spans string").repartition(5)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in op.remove_repeats(docs).collect()}
@@ -73,4 +74,16 @@ def test_edges(spark):
     got = sorted((r.n_bytes, r.n_removed, r.n_spans) for r in op.remove_repeats(spark.createDataFrame(rows, schema)).collect())
     assert got == [(0, 0, 0), (0, 0, 0), (250, 250, 1), (250, 250, 1)]
     cut = op.cut_repeats(spark.createDataFrame(rows, schema))
-    assert cut.columns == ["doc_id", "text", "n_chars"] and cut.count() == 4
+    assert cut.columns == ["doc_id", "text", "n_chars"]
+    assert sorted(map(tuple, cut.collect()), key=str) == sorted([(None, None, 0), (1, None, None), (1, "", 0), (1, "", 0)], key=str)
+
+
+def test_clashing_names(spark):
+    names = ["text", "t1", "t2", "spans", "row", "none", "part", "a.b", "__text", "__t1", "n_chars", "doc_id"]
+    rows = [("z" * 250 + "é", *"123456789", 251, 1), ("y" * 90, *"123456789", 90, 2)]
+    docs = spark.createDataFrame(rows, ", ".join(f"`{n}` {'long' if n in ('n_chars', 'doc_id') else 'string'}" for n in names))
+    cut = op.cut_repeats(docs)
+    assert cut.columns == names
+    got = sorted(map(tuple, cut.collect()))
+    assert got == [("y" * 90, *"123456789", 90, 2), ("é", *"123456789", 1, 1)]
+    assert op.remove_repeats(docs).count() == 2
