@@ -35,7 +35,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("suffix_dedup", suffix_dedup), ("packing", packing)]
 
-#: No stage but the first could be said in SQL; tests hold the pipeline against a brute-force version.
+#: No stage could be said in SQL. tests/llm hold each stage's operator against a brute-force version, and the pipeline against its stages.
 ORACLE_SQL = None
 
 
