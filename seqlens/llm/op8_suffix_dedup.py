@@ -45,7 +45,7 @@ LENGTH, GRAM = 200, 64
 SPAN = LENGTH - GRAM + 1  # windows that may name the same anchor
 HOT = 20_000
 PART = 1_000_000  # rows of one anchor held at once
-HEAVY, SHARE = 2_000, 1_000  # contexts of a heavy anchor at least, and the part of all contexts
+HEAVY, SHARE = HOT, 1_000  # contexts of a heavy anchor at least, and the part of all contexts
 SALTS = 64  # tasks that a heavy anchor is dealt to at most
 _BITS = 20
 _CHUNK = 1 << _BITS
