@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 
 def running_total(df: DataFrame, order: str, value: Column, name: str) -> DataFrame:
     """Sum of `value` over all rows before, in the order of a column with distinct values.
 
     Rows are dealt by range and summed within each range; a range's base is the sum of the ranges before, one row a range.
-    The dealt rows are cached, so that both uses see the same ranges."""
+    The dealt rows are stored, so that both uses see the same ranges even where a lost task is run again."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.withColumn("__v", value).repartitionByRange(n, order).withColumn("__part", F.spark_partition_id()).cache()
+    dealt = stored(df.withColumn("__v", value).repartitionByRange(n, order).withColumn("__part", F.spark_partition_id()), "ranges")
     sums = dealt.groupBy("__part").agg(F.sum("__v").alias("__s"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select("__part", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__base"))

@@ -5,8 +5,8 @@ Patterns are written for Java: (?U) gives Unicode classes where the semantics ne
 
 from __future__ import annotations
 
-import builtins
-import keyword
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -71,18 +71,45 @@ TURN_HEADER = r"(?imdU)^##\s+(User|Assistant|Agent|Human|AI|Copilot|System)\s*$"
 ACTION_FENCE = r"(?sU)```(?:\w+)?\n?(.*?)\n?```"
 
 
+# Terms that must not show in rendered chains, by field; some stand in several.
+KEYWORDS = (
+    "def class import return async await yield lambda raise except finally with pass global nonlocal elif else while assert del exec print"
+    " stdin stdout stderr traceback"
+).split()
+EXCEPTIONS = (
+    "TypeError ValueError KeyError AttributeError ImportError RuntimeError IndexError NameError OSError FileNotFoundError PermissionError"
+    " TimeoutError StopIteration AssertionError NotImplementedError RecursionError MemoryError OverflowError ZeroDivisionError"
+    " UnicodeDecodeError UnicodeEncodeError ConnectionError BrokenPipeError FileExistsError IsADirectoryError ModuleNotFoundError"
+    " SyntaxError IndentationError SystemExit Exception BaseException Traceback"
+).split()
+PACKAGES = (
+    "django flask fastapi starlette uvicorn gunicorn numpy pandas scipy sklearn scikit matplotlib torch tensorflow keras jax transformers"
+    " huggingface requests httpx aiohttp urllib pydantic sqlalchemy alembic pymongo motor celery redis kafka rabbitmq boto3 botocore s3"
+    " lambda pytest unittest mock fixtures click typer argparse yaml toml json csv xml html asyncio threading multiprocessing subprocess"
+    " pathlib shutil tempfile logging traceback"
+).split()
+COMMANDS = (
+    "grep find sed awk sort uniq wc cut tr curl wget ssh scp rsync nc netcat git svn hg make cmake ninja bazel pip pip3 conda virtualenv"
+    " venv npm yarn pnpm node npx bun cargo rustc rustup gcc clang javac java kotlin go docker podman kubectl helm terraform ansible ps top"
+    " htop kill killall pkill chmod chown chgrp ln ls pwd cd mv cp rm mkdir rmdir touch cat less more head tail echo printf export source"
+    " env set unset tee xargs parallel nohup screen tmux"
+).split()
+TERMS = (
+    "function method module package library framework variable parameter argument constant attribute property interface protocol abstract"
+    " inherit override decorator iterator generator coroutine callback closure database schema migration query transaction endpoint route"
+    " middleware handler controller serializer test unittest coverage fixture assertion compiler interpreter runtime bytecode binary thread"
+    " process daemon signal socket token api sdk cli ide github gitlab bitbucket jira commit branch merge rebase stash checkout build deploy"
+    " release version tag config environment dotenv secret stdout stderr stdin pipe redirect"
+).split()
+FILE_TERMS = (
+    "python py js ts jsx tsx java cpp hpp rb go rs cs swift kotlin html css scss sass less sql sh bash zsh fish txt md rst json yaml toml"
+    " xml ini cfg dockerfile makefile requirements setup pyproject package"
+).split()
+
+
 def default_vocabulary() -> list[str]:
-    """Programming terms that must not show in rendered chains: by rule the language's keywords and exceptions, and a list of
-    tools and terms; callers may pass their own list instead."""
-    exceptions = [n for n, v in vars(builtins).items() if isinstance(v, type) and issubclass(v, BaseException)]
-    named = (
-        "stdin stdout stderr traceback numpy pandas django flask pytest unittest asyncio json yaml toml csv xml html grep sed awk curl wget"
-        " ssh git make cmake pip conda npm yarn node cargo rustc gcc clang java docker kubectl chmod mkdir touch cat echo printf export"
-        " function method module package library variable parameter argument attribute interface decorator iterator callback database schema"
-        " query endpoint middleware compiler interpreter runtime bytecode binary thread daemon socket api sdk cli commit branch merge rebase"
-        " config dotenv python py js ts cpp rb sql sh bash dockerfile makefile"
-    ).split()
-    return sorted({*keyword.kwlist, *exceptions, *named} - {"True", "False", "None", "in", "is", "as", "or", "and", "not", "if", "for", "from", "to"})
+    """Terms that must not show in rendered chains; callers may pass their own list instead."""
+    return list(dict.fromkeys(KEYWORDS + EXCEPTIONS + PACKAGES + COMMANDS + TERMS + FILE_TERMS))
 
 
 def py_strip(c: Column) -> Column:
@@ -103,10 +130,21 @@ def normalize_action(c: Column) -> Column:
     return F.trim(F.regexp_replace(kept, " +", " "))
 
 
-def classify_command(c: Column) -> Column:
-    return (
-        F.when(c.rlike(TEST_RUN), "test_run").when(c.rlike(FILE_EDIT), "file_edit").when(c.rlike(FILE_READ), "file_read").otherwise("bash_call")
-    )
+def folded(c: Column) -> Column:
+    """Case folded as the patterns' case-insensitive mode does it, letter by letter."""
+    return F.lower(F.upper(c))
+
+
+def any_of(c: Column, *words: str) -> Column:
+    return reduce(or_, [c.contains(w) for w in words])
+
+
+def classify_command(c: Column, low: Column | None = None) -> Column:
+    """low: folded(c), where the caller has it. Plain words that each pattern needs are looked for before the pattern is tried."""
+    low = folded(c) if low is None else low
+    test = any_of(low, "test", "rspec") & c.rlike(TEST_RUN)
+    edit = any_of(low, ">", "sed", "tee", "touch", "mv", "cp", "rm", "patch", "_file") & c.rlike(FILE_EDIT)
+    return F.when(test, "test_run").when(edit, "file_edit").when(c.rlike(FILE_READ), "file_read").otherwise("bash_call")
 
 
 def classify_patch_command(c: Column) -> Column:
@@ -115,16 +153,14 @@ def classify_patch_command(c: Column) -> Column:
 
 def framework(c: Column) -> Column:
     x = F.lower(c)
-    has = lambda *words: [x.contains(w) for w in words]
-    any_of = lambda *words: F.array_contains(F.array(*has(*words)), True)
     return (
-        F.when(any_of("pytest"), "pytest")
-        .when(any_of("unittest"), "unittest")
-        .when(any_of("jest", "npm", "yarn"), "jest")
-        .when(any_of("go test"), "go")
-        .when(any_of("cargo test"), "cargo")
-        .when(any_of("rspec"), "rspec")
-        .when(any_of("mvn", "gradle"), "junit")
+        F.when(x.contains("pytest"), "pytest")
+        .when(x.contains("unittest"), "unittest")
+        .when(any_of(x, "jest", "npm", "yarn"), "jest")
+        .when(x.contains("go test"), "go")
+        .when(x.contains("cargo test"), "cargo")
+        .when(x.contains("rspec"), "rspec")
+        .when(any_of(x, "mvn", "gradle"), "junit")
         .otherwise("unknown")
     )
 
@@ -141,8 +177,10 @@ def human_framework(c: Column) -> Column:
     )
 
 
-def test_outcome(c: Column) -> Column:
-    return F.when(c.rlike(TEST_FAIL), "fail").when(c.rlike(TEST_PASS), "pass").otherwise("fail")
+def test_outcome(c: Column, low: Column | None = None) -> Column:
+    low = folded(c) if low is None else low
+    failed = any_of(low, "fail", "error") & c.rlike(TEST_FAIL)
+    return F.when(failed, "fail").when(any_of(low, "pass", "ok") & c.rlike(TEST_PASS), "pass").otherwise("fail")
 
 
 def test_count(c: Column) -> Column:
@@ -150,7 +188,7 @@ def test_count(c: Column) -> Column:
 
 
 def error_class(c: Column) -> Column:
-    return F.coalesce(truthy(F.regexp_extract(c, ERROR_CLASS, 1)), F.lit("RuntimeError"))
+    return F.when(any_of(c, "Error", "Exception"), F.coalesce(truthy(F.regexp_extract(c, ERROR_CLASS, 1)), F.lit("RuntimeError"))).otherwise("RuntimeError")
 
 
 def has_error(c: Column) -> Column:
@@ -182,8 +220,12 @@ def licence_ok(c: Column) -> Column:
 def leaked_terms(c: Column, vocabulary: list[str] | None = None) -> Column:
     """Terms of the vocabulary (single words) that the text holds as whole words, whatever their case; in vocabulary order."""
     vocabulary = default_vocabulary() if vocabulary is None else vocabulary
-    words = F.array_distinct(F.split(F.lower(c), r"(?U)\W+"))
-    return F.filter(F.array(*map(F.lit, vocabulary)) if vocabulary else F.array().cast("array<string>"), lambda t: F.array_contains(words, F.lower(t)))
+    if not vocabulary:
+        return F.array().cast("array<string>")
+    # few texts hold any term: words are looked up in a set first
+    hits = F.filter(F.array_distinct(F.split(F.lower(c), r"(?U)\W+")), lambda w: w.isin(sorted({t.lower() for t in vocabulary})))
+    terms = F.filter(F.array(*map(F.lit, vocabulary)), lambda t: F.array_contains(hits, F.lower(t)))
+    return F.when(F.size(hits) > 0, terms).when(c.isNotNull(), F.array().cast("array<string>"))
 
 
 def flatten_content(c: Column) -> Column:

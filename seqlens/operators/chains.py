@@ -10,10 +10,25 @@ from pyspark.sql import functions as F
 from ..functions.text import leaked_terms
 from ..schemas import CONSTRAINT_FIELDS
 
-# Lengths, counts and seeds.
+# Lengths, counts, seeds and the prompt that goes with every request.
 LEAST, MOST = 20, 40
 LEAST_SUBGOALS, LEAST_UNAVAILABLE, LEAST_BUDGETS = 2, 1, 10
 SEEDS = (42, 1337, 7919)
+PROMPT_VERSION = "v2.0-code"
+SYSTEM_PROMPT = """You are reasoning about an adaptive pipeline that operates under
+a sequence of changing constraints. At each step, new constraints
+may appear, existing constraints may change, and resources may
+be depleted. Your job is to propose the correct adaptation at
+each step, given the full prior history.
+
+At each step you receive a partially-observable state: you see
+the constraints and resource levels that have been revealed, but
+some entities remain hidden until they are explicitly surfaced
+through an action or information event.
+
+Constraints carry forward unless explicitly superseded. Treat
+"tool UNAVAILABLE" as persistent unless a later event makes it
+available again."""
 FILE_ENTITY = r"(file_[A-Z](?:_OVERFLOW_\d+)?)"
 
 FIELDS = [n for n, _ in CONSTRAINT_FIELDS]
@@ -53,19 +68,26 @@ def resource_bucket(amount: Column) -> Column:
     return F.when(amount <= 0, 0.0).when(amount <= 0.25, 0.25).when(amount <= 0.5, 0.5).when(amount <= 0.75, 0.75).otherwise(1.0)
 
 
-def validity(rows: DataFrame) -> DataFrame:
-    """(task_id, n, subgoals, unavailable, budgets, ordered, distinct, valid) of each chain."""
+def _compared(rows: DataFrame) -> DataFrame:
+    """Each row with whether it is late enough and the same as the one before it."""
     same = F.struct(*FIELDS).eqNullSafe(F.lag(F.struct(*FIELDS)).over(order()))
-    df = rows.withColumn("__late", F.coalesce(F.col("timestamp") >= F.lag("timestamp").over(order()), F.lit(True))).withColumn("__same", same)
-    out = df.groupBy("task_id").agg(
-        F.count("*").alias("n"),
-        F.count_if(F.col("type") == "SubGoalTransition").alias("subgoals"),
-        F.count_if((F.col("type") == "ToolAvailability") & (F.col("state") == "unavailable")).alias("unavailable"),
-        F.count_if(F.col("type") == "ResourceBudget").alias("budgets"),
-        F.bool_and("__late").alias("ordered"),
-        F.bool_and(~F.col("__same")).alias("distinct"),
-    )
-    valid = (
+    return rows.withColumn("__late", F.coalesce(F.col("timestamp") >= F.lag("timestamp").over(order()), F.lit(True))).withColumn("__same", same)
+
+
+def _counts() -> dict[str, Column]:
+    """What is counted of a chain."""
+    return {
+        "n": F.count("*"),
+        "subgoals": F.count_if(F.col("type") == "SubGoalTransition"),
+        "unavailable": F.count_if((F.col("type") == "ToolAvailability") & (F.col("state") == "unavailable")),
+        "budgets": F.count_if(F.col("type") == "ResourceBudget"),
+        "ordered": F.bool_and("__late"),
+        "distinct": F.bool_and(~F.col("__same")),
+    }
+
+
+def _is_valid() -> Column:
+    return (
         F.col("n").between(LEAST, MOST)
         & (F.col("subgoals") >= LEAST_SUBGOALS)
         & (F.col("unavailable") >= LEAST_UNAVAILABLE)
@@ -73,14 +95,27 @@ def validity(rows: DataFrame) -> DataFrame:
         & F.col("ordered")
         & F.col("distinct")
     )
-    return out.withColumn("valid", valid)
+
+
+def validity(rows: DataFrame) -> DataFrame:
+    """(task_id, n, subgoals, unavailable, budgets, ordered, distinct, valid) of each chain."""
+    out = _compared(rows).groupBy("task_id").agg(*[c.alias(n) for n, c in _counts().items()])
+    return out.withColumn("valid", _is_valid())
+
+
+def valid_rows(rows: DataFrame) -> DataFrame:
+    """The constraints of valid chains, by windows that share the rows' partitioning: nothing is read twice or joined."""
+    whole = Window.partitionBy("task_id")
+    df = _compared(rows)
+    df = df.select("*", *[c.over(whole).alias(n) for n, c in _counts().items()])
+    return df.filter(_is_valid()).select(*rows.columns)
 
 
 def assemble(rows: DataFrame) -> DataFrame:
-    """(task_id, constraints, active_pairs): a row a chain."""
+    """(task_id, constraints, active_pairs, valid): a row a chain."""
     item = F.struct("idx", F.struct(*FIELDS).alias("c"), F.array("phase", "cmd_label").alias("pair"))
-    sets = rows.groupBy("task_id").agg(F.sort_array(F.collect_list(item)).alias("x"))
-    return sets.select("task_id", F.expr("transform(x, y -> y.c)").alias("constraints"), F.expr("transform(x, y -> y.pair)").alias("active_pairs"))
+    sets = _compared(rows).groupBy("task_id").agg(F.sort_array(F.collect_list(item)).alias("x"), *[c.alias(n) for n, c in _counts().items()])
+    return sets.select("task_id", F.expr("transform(x, y -> y.c)").alias("constraints"), F.expr("transform(x, y -> y.pair)").alias("active_pairs"), _is_valid().alias("valid"))
 
 
 def permutation(n: int, seed: int) -> list[int]:
@@ -140,10 +175,15 @@ def render(chains: DataFrame, perspective: str = "agent", vocabulary: list[str]
     return df.withColumn("leaked", leaked_terms(F.col("rendered"), vocabulary))
 
 
+def first_steps(k: Column) -> Column:
+    """The text of the first k steps of `constraints`; empty where k is not positive."""
+    return F.when(k <= 0, F.lit("")).otherwise(F.array_join(F.slice(step_lines(), 1, F.greatest(k, F.lit(0))), "\n"))
+
+
 def prompts(chains: DataFrame) -> DataFrame:
     """cutoff_k and the user's prompt: the first k steps and the question for the next."""
     k = F.greatest(F.lit(1), F.expr("size(constraints) div 2")).cast("int")
-    shown = F.array_join(F.slice(step_lines(), 1, F.col("cutoff_k")), "\n")
+    shown = first_steps(F.col("cutoff_k"))
     question = F.concat(
         F.lit("\n\n---\n\nGiven the state above, propose the next action for your pipeline at\nstep "),
         (F.col("cutoff_k") + 1).cast("string"),
@@ -155,13 +195,9 @@ def prompts(chains: DataFrame) -> DataFrame:
 
 def build_chains(rows: DataFrame, source: str, vocabulary: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(chains, reasons): admitted real chains, and (task_id, reason) of every trajectory: accepted, filter_fail or leakage."""
-    kept = truncate(observe(rows)).cache()  # read three times
-    checked = validity(kept)
-    full = assemble(kept.join(checked.filter("valid").select("task_id"), "task_id", "left_semi"))
     named = F.concat(F.lit(f"{source}_"), F.col("task_id").cast("string"))
-    drawn = render(full.withColumn("chain_id", named).withColumn("match_id", named).withColumn("source", F.lit(source)), source, vocabulary)
-    chains = prompts(drawn.filter(F.size("leaked") == 0)).drop("leaked")
-    leaks = drawn.select("task_id", (F.size("leaked") > 0).alias("leaks"))
-    reasons = checked.select("task_id", "valid").join(leaks, "task_id", "left")
-    reason = F.when(~F.col("valid"), "filter_fail").when(F.col("leaks"), "leakage").otherwise("accepted")
-    return chains, reasons.select("task_id", reason.alias("reason"))
+    full = assemble(truncate(observe(rows))).withColumn("chain_id", named).withColumn("match_id", named).withColumn("source", F.lit(source))
+    chains = prompts(render(full.filter("valid"), source, vocabulary).filter(F.size("leaked") == 0)).drop("leaked", "valid")
+    drawn = render(full, source, vocabulary)
+    reason = F.when(~F.col("valid"), "filter_fail").when(F.size("leaked") > 0, "leakage").otherwise("accepted")
+    return chains, drawn.select("task_id", reason.alias("reason"))

@@ -64,19 +64,20 @@ def signatures(rows: DataFrame, exclusive: bool = False) -> DataFrame:
 
 def with_levels(signed: DataFrame) -> DataFrame:
     """A row for each backoff level, its key as text: level 1 drops field, 2 turn too, 3 status too."""
-    df = signed.withColumn("level", F.explode(F.array(*map(F.lit, LEVELS))))
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("level"), level_key(n).alias("key")) for n in LEVELS]))
+    return signed.withColumn("__level", each).select("*", "__level.*").drop("__level")
+
+
+def level_key(level: int) -> Column:
     joined = lambda c: F.concat(F.lit("["), F.array_join(c, ","), F.lit("]"))
-    key = F.concat_ws(
-        "|",
-        "phase_now",
-        "command_now",
-        F.col("context_bracket").cast("string"),
-        F.col("patience_bracket").cast("string"),
-        F.when(F.col("level") < 3, joined("status")),
-        F.when(F.col("level") < 1, joined("field")),
-        F.when(F.col("level") < 2, F.col("turn").cast("string")),
-    )
-    return df.withColumn("key", key)
+    parts = [F.col("phase_now"), F.col("command_now"), F.col("context_bracket").cast("string"), F.col("patience_bracket").cast("string")]
+    if level < 3:
+        parts.append(joined("status"))
+    if level < 1:
+        parts.append(joined("field"))
+    if level < 2:
+        parts.append(F.col("turn").cast("string"))
+    return F.concat_ws("|", *parts)
 
 
 def build(rows: DataFrame) -> DataFrame:
@@ -108,15 +109,27 @@ def stats(dist: DataFrame) -> DataFrame:
 def lookup(queries: DataFrame, dist: DataFrame) -> DataFrame:
     """queries: rows with (query_id, source) and signature columns. (query_id, level, entities): the distribution at the first
     level that has the key, best first, each with its share; queries without one get level 3 and none."""
+    best = first_levels(queries, dist)
     shares = with_shares(dist).groupBy("source", "level", "key").agg(F.sort_array(F.collect_list(F.struct("rank", "entity", "p"))).alias("entities"))
-    hits = with_levels(queries).join(shares, ["source", "level", "key"])
-    best = hits.groupBy("query_id").agg(F.min_by(F.struct("level", "entities"), "level").alias("b"))
-    out = queries.select("query_id").join(best, "query_id", "left")
-    return out.select("query_id", F.coalesce("b.level", F.lit(3)).alias("level"), F.col("b.entities").alias("entities"))
+    out = best.join(shares, ["source", "level", "key"], "left")
+    return out.select("query_id", F.coalesce("level", F.lit(3)).alias("level"), "entities")
+
+
+def first_levels(queries: DataFrame, dist: DataFrame) -> DataFrame:
+    """(query_id, source, level, key): the first level of each query that the distribution knows, null if none. Only keys meet
+    here; a query's four keys lie in one row, so no row is shuffled by its query."""
+    known = dist.select("source", "level", "key").distinct()
+    df = queries.select("query_id", "source", *[level_key(n).alias(f"__k{n}") for n in LEVELS])
+    for n in LEVELS:
+        own = known.filter(F.col("level") == n).select("source", F.col("key").alias(f"__k{n}"), F.lit(n).alias(f"__l{n}"))
+        df = df.join(own, ["source", f"__k{n}"], "left")
+    level = F.coalesce(*[F.col(f"__l{n}") for n in LEVELS])
+    key = F.coalesce(*[F.when(F.col(f"__l{n}").isNotNull(), F.col(f"__k{n}")) for n in LEVELS])
+    return df.select("query_id", "source", level.alias("level"), key.alias("key"))
 
 
 def coverage(rows: DataFrame, dist: DataFrame) -> DataFrame:
     """Share of all steps whose lookup needs no maximum backoff, by source."""
     steps = signatures(rows).withColumn("query_id", F.struct("chain_id", "idx"))
-    found = lookup(steps, dist).select("query_id.*", "level").join(rows.select("chain_id", "idx", "source"), ["chain_id", "idx"])
+    found = first_levels(steps, dist)
     return found.groupBy("source").agg(F.count("*").alias("steps"), F.count_if(F.col("level") < 3).alias("covered"))

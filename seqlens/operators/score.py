@@ -28,7 +28,7 @@ def evaluation_matrix(chains: DataFrame, models: list[str], configs: list[tuple[
     ranked = running_total(chains, "chain_id", F.lit(1), "n")
     df = _each(ranked, settings, "model", "m", "temperature", "seed", "c")
     number = F.col("n") * len(settings) + F.col("m") * len(configs) + F.col("c")
-    df = df.withColumn("custom_id", F.concat(F.lit("req"), F.lpad(number.cast("string"), 7, "0"))).withColumn("chunk", F.floor(number / chunk))
+    df = df.withColumn("custom_id", F.format_string("req%07d", number)).withColumn("chunk", F.floor(number / chunk))
     return df.drop("n", "m", "c")
 
 
@@ -195,7 +195,7 @@ def paired_cells(aligned: DataFrame, actionable: str = "both") -> DataFrame:
 
 def bonferroni(cells: DataFrame, p: str = "p_value", by: list[str] | None = None) -> DataFrame:
     """The p-value, already rounded to 4 places, times the number of cells, at most 1."""
-    n = F.count("*").over(Window.partitionBy(*[F.col(c) for c in by or []])) if by else F.lit(cells.count())
+    n = F.count("*").over(Window.partitionBy(*[F.col(c) for c in by or []]))  # cells are few: a window over all of them will do
     return cells.withColumn("p_bonferroni", F.least(F.lit(1.0), F.col(p) * n))
 
 

@@ -1,13 +1,17 @@
 """Translation of events into typed constraints.
 
 Windows compute what is not truly sequential: labels by first appearance, the context used, failed tests, the parity of errors.
-One fold a trajectory carries what is: phase, first edit and the clamped walk of uncertainty, in order and in IEEE arithmetic.
+One pass over a trajectory carries what is: phase, first edit and the clamped walk of uncertainty, in order and in IEEE
+arithmetic. Spark has no running fold that is linear in the length of a trajectory, so the pass is an Arrow function of a group;
+it needs no exchange, as the windows have dealt the rows already.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import tokens
 from ..schemas import CONSTRAINT_FIELDS
@@ -89,23 +93,36 @@ def with_budgets(df: DataFrame) -> DataFrame:
     return df.drop("__epoch", "__used", "__max", "__low", "__lows")
 
 
-_VOCABULARY = "array(" + ",".join(f"'{p}'" for p in PHASES) + ")"
-_FROM = f"if(array_contains({_VOCABULARY}, e.from_phase), e.from_phase, s.phase)"
-_TO = f"if(array_contains({_VOCABULARY}, e.to_phase), e.to_phase, 'exploration')"
-_NEXT = f"""case
-  when e.type = 'file_edit' then if(not s.edited or s.phase not in ('implementation', 'debugging'), 'implementation', s.phase)
-  when e.type = 'test_run' then if(e.outcome = 'pass', 'validation', 'debugging')
-  when e.type = 'task_transition' then if({_FROM} = {_TO}, if(s.phase = 'exploration', 'hypothesis', 'exploration'), {_TO})
-  else s.phase end"""
-_WALK = """case when e.type = 'file_read' then greatest(0D, s.u - 0.04D)
-  when e.type = 'error_reveal' then least(1D, s.u + 0.08D) else s.u end"""
-_LEFT = f"if(e.type = 'task_transition' and {_FROM} <> {_TO}, {_FROM}, s.phase)"
-FOLD = f"""aggregate(ev,
-  named_struct('phase', 'exploration', 'edited', false, 'u', 0.5D,
-    'out', cast(array() as array<struct<left:string,edited:boolean,phase:string,u:double>>)),
-  (s, e) -> named_struct('phase', {_NEXT}, 'edited', s.edited or coalesce(e.type = 'file_edit', false), 'u', {_WALK},
-    'out', concat(s.out, array(named_struct('left', {_LEFT}, 'edited', s.edited, 'phase', {_NEXT}, 'u', {_WALK})))),
-  s -> s.out)"""
+def _moves(kind: str, passed: bool, named: tuple[str | None, str | None], phase: str, edited: bool) -> tuple[str, str]:
+    """(phase left, phase entered) at an event."""
+    if kind == "file_edit":
+        return phase, "implementation" if not edited or phase not in ("implementation", "debugging") else phase
+    if kind == "test_run":
+        return phase, "validation" if passed else "debugging"
+    if kind == "task_transition":
+        source, target = (x if x in PHASES else other for x, other in zip(named, (phase, "exploration"), strict=True))
+        if source != target:
+            return source, target
+        return phase, "hypothesis" if phase == "exploration" else "exploration"
+    return phase, phase
+
+
+def walk(group: pa.Table) -> pa.Table:
+    """Adds to the events of one trajectory: the phase left and entered, whether a file was edited before, and the uncertainty."""
+    group = group.sort_by("seq")
+    phase, edited, u = "exploration", False, 0.5
+    out: list[tuple] = []
+    for kind, outcome, source, target in zip(*(group[c].to_pylist() for c in ("type", "outcome", "from_phase", "to_phase")), strict=True):
+        left, phase = _moves(kind, outcome == "pass", (source, target), phase, edited)
+        if kind == "file_read":
+            u = max(0.0, u - 0.04)
+        elif kind == "error_reveal":
+            u = min(1.0, u + 0.08)
+        out.append((left, edited, phase, u))
+        edited = edited or kind == "file_edit"
+    for name, values, of in zip(("left", "edited", "phase", "u"), zip(*out, strict=True), (pa.string(), pa.bool_(), pa.string(), pa.float64()), strict=True):
+        group = group.append_column(name, pa.array(values, of))
+    return group
 
 
 def constraint(kind: str, **fields: str) -> str:
@@ -153,10 +170,10 @@ def translate(events: DataFrame) -> DataFrame:
     nonempty = lambda c: F.nullif(F.col(c), F.lit(""))
     df = df.withColumn("trigger", F.coalesce(nonempty("reason"), nonempty("trigger"), F.lit("task_transition")))
     df = df.withColumn("outcome", F.when(F.col("outcome") == "pass", "pass").otherwise("fail"))
-    folded = df.groupBy("task_id").agg(F.sort_array(F.collect_list(F.struct(*_KEEP))).alias("ev"))
-    rows = folded.select("task_id", F.explode(F.expr(f"arrays_zip(ev, {FOLD})")).alias("z")).select(
-        "task_id", F.col("z.ev").alias("e"), F.col("z.1").alias("f")
-    )
+    kept = df.select("task_id", *_KEEP)
+    schema = T.StructType(list(kept.schema.fields)).add("left", "string").add("edited", "boolean").add("phase", "string").add("u", "double")
+    walked = kept.groupBy("task_id").applyInArrow(walk, schema)
+    rows = walked.select("task_id", F.struct(*_KEEP).alias("e"), F.struct("left", "edited", "phase", "u").alias("f"))
     made = rows.select("task_id", F.col("e.seq").alias("seq"), "f", F.col("e.cmd_label").alias("cmd_label"), F.posexplode(F.expr(_emitted())).alias("pos", "c"))
     by_place = Window.partitionBy("task_id").orderBy("seq", "pos")
     return made.select("task_id", (F.row_number().over(by_place) - 1).alias("idx"), "c.*", F.col("f.phase").alias("phase"), "cmd_label")

@@ -45,14 +45,12 @@ def _milli(c):
 
 
 def _kept(spark, d):
-    return H.truncate(H.observe(_rows(spark, d))).cache()  # read by validity and by what keeps valid chains
+    return H.truncate(H.observe(_rows(spark, d)))
 
 
 def _chain_rows(spark, d):
     """Constraints of valid chains, named as chains."""
-    kept = _kept(spark, d)
-    good = H.validity(kept).filter("valid").select("task_id")
-    return kept.join(good, "task_id", "left_semi").withColumn("chain_id", F.col("task_id").cast("string")).withColumn("source", F.lit("tb")).cache()
+    return H.valid_rows(_kept(spark, d)).withColumn("chain_id", F.col("task_id").cast("string")).withColumn("source", F.lit("tb"))
 
 
 # --- compression ----------------------------------------------------------------------------------------------------------
@@ -244,9 +242,9 @@ def action_normalise(spark, d):
         when regexp_matches(lower(line), 'jest|npm|yarn') then 'jest' when contains(lower(line), 'go test') then 'go' when contains(lower(line), 'cargo test') then 'cargo'
         when contains(lower(line), 'rspec') then 'rspec' when regexp_matches(lower(line), 'mvn|gradle') then 'junit' else 'unknown' end as framework from l) group by all""")
 def line_classify(spark, d):
-    lines = table(spark, d, "documents").select(F.explode(F.split("text", "\n")).alias("line"))
-    c = F.col("line")
-    df = lines.select(X.classify_command(c).alias("kind"), X.test_outcome(c).alias("outcome"), X.error_class(c).alias("error_class"), X.framework(c).alias("framework"))
+    lines = table(spark, d, "documents").select(F.explode(F.split("text", "\n")).alias("line")).withColumn("low", X.folded(F.col("line")))
+    c, low = F.col("line"), F.col("low")
+    df = lines.select(X.classify_command(c, low).alias("kind"), X.test_outcome(c, low).alias("outcome"), X.error_class(c).alias("error_class"), X.framework(c).alias("framework"))
     return df.groupBy("kind", "outcome", "error_class", "framework").agg(F.count("*").alias("n"))
 
 
@@ -310,21 +308,10 @@ def refdist_topk(spark, d):
     return D.top_k(_dist(spark, d)).select("level", "key", "entity", F.col("rank").cast("bigint").alias("rank"), F.round(F.col("p") * 10000).cast("bigint").alias("p"))
 
 
-@query("backoff_lookup", Q.sql(Q.SIG + """, h as (select task_id % 2 = 0 as half, * from lev),
-    dd as (select level, key, count(*) as n from h where half and entity is not null group by all)""", """select cast(h.task_id as varchar) as chain_id, h.idx, coalesce(min(dd.level), 3) as level
-    from h left join dd on dd.level = h.level and dd.key = h.key where not half group by all"""))
-def backoff_lookup(spark, d):
-    """The distribution of even trajectories is asked for the states of odd ones (two halves of one table, both used whole)."""
-    rows = _chain_rows(spark, d)
-    dist = D.build(rows.filter("task_id % 2 = 0"))
-    asked = D.signatures(rows.filter("task_id % 2 = 1")).withColumn("query_id", F.struct("chain_id", "idx"))
-    return D.lookup(asked, dist).select("query_id.chain_id", F.col("query_id.idx").cast("bigint").alias("idx"), "level")
-
-
-@query("backoff_lookup_whole", Q.sql(Q.SIG + """, h as (select task_id % 2 <> 0 as half, * from lev),
+@query("backoff_lookup", Q.sql(Q.SIG + """, h as (select task_id % 2 <> 0 as half, * from lev),
     dd as (select half, level, key, count(*) as n from h where entity is not null group by all)""", """select cast(h.task_id as varchar) as chain_id, h.idx, coalesce(min(dd.level), 3) as level
     from h left join dd on dd.half <> h.half and dd.level = h.level and dd.key = h.key group by all"""))
-def backoff_lookup_whole(spark, d):
+def backoff_lookup(spark, d):
     """Every step of every chain is asked of the distribution of the other half (even trajectories of odd ones, odd of even)."""
     rows, odd = _chain_rows(spark, d), F.pmod("task_id", F.lit(2))
     half = lambda h: rows.withColumn("source", F.concat_ws("/", "source", h.cast("string")))
@@ -352,7 +339,7 @@ def entropy_top3(spark, d):
 
 @query("evaluation_matrix", """with c as (select doc_id, row_number() over (order by doc_id) - 1 as n from documents),
     w(model, m, c, seed) as (values ('model_a', 0, 0, 42), ('model_a', 0, 1, 42), ('model_a', 0, 2, 1337), ('model_b', 1, 0, 42), ('model_b', 1, 1, 42), ('model_b', 1, 2, 1337))
-    select doc_id as chain_id, model, seed, 'req' || lpad(cast(n * 6 + m * 3 + c as varchar), 7, '0') as custom_id, (n * 6 + m * 3 + c) // 10000 as chunk from c, w""")
+    select doc_id as chain_id, model, seed, printf('req%07d', n * 6 + m * 3 + c) as custom_id, (n * 6 + m * 3 + c) // 10000 as chunk from c, w""")
 def evaluation_matrix(spark, d):
     chains = table(spark, d, "documents").select(F.col("doc_id").alias("chain_id"))
     return S.evaluation_matrix(chains, MODELS).select("chain_id", "model", "seed", "custom_id", "chunk")

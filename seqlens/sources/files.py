@@ -20,9 +20,11 @@ def scan_records(spark: SparkSession, path: str, unwrap: bool = True) -> DataFra
 
 
 def read_trajectories(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(records, rejected lines)."""
-    df = spark.read.schema(TRAJECTORY).option("columnNameOfCorruptRecord", "_corrupt_record").json(path).cache()
-    return df.filter("_corrupt_record is null").drop("_corrupt_record"), df.filter("_corrupt_record is not null").select(F.col("_corrupt_record").alias("line"))
+    """(records, rejected lines); blank lines are neither."""
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    df = lines.select("value", F.from_json("value", TRAJECTORY, {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"))
+    bad = F.col("r._corrupt_record").isNotNull()
+    return df.filter(~bad).select("r.*").drop("_corrupt_record"), df.filter(bad).select(F.col("value").alias("line"))
 
 
 def event_rows(records: DataFrame) -> DataFrame:
@@ -32,11 +34,14 @@ def event_rows(records: DataFrame) -> DataFrame:
 
 
 def read_chains(spark: SparkSession, path: str, first_line_only: bool = False) -> DataFrame:
-    df = spark.read.schema(CHAIN).option("recursiveFileLookup", True).json(path).withColumn("__file", F.col("_metadata.file_path"))
-    df = df.filter("_corrupt_record is null and chain_id is not null")
+    """All chains of all files, or only the one on the first line of each file. Lines that hold none are left out."""
+    lines = spark.read.option("recursiveFileLookup", True).text(path)
     if first_line_only:
-        df = df.dropDuplicates(["__file"])
-    return df.drop("_corrupt_record", "__file")
+        # a file's first line lies at the start of its first block; numbers grow along a task's part of a file
+        at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+        lines = lines.select(F.col("_metadata.file_path").alias("file"), at.alias("at"), "value").groupBy("file").agg(F.min_by("value", "at").alias("value"))
+    df = lines.select(F.from_json("value", CHAIN, {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("c")).select("c.*")
+    return df.filter("_corrupt_record is null and chain_id is not null").drop("_corrupt_record")
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:

@@ -10,11 +10,10 @@ import base64
 import importlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-PAGES = 10
-
 
 @dataclass
 class Month(InputPartition):
@@ -40,7 +39,7 @@ class SearchReader(DataSourceReader):
     def read(self, partition: Month) -> Iterator[tuple]:
         module, name = self.options["client"].split(":")
         client = getattr(importlib.import_module(module), name)
-        for page in range(1, PAGES + 1):
+        for page in count(1):
             rows = client(self.options.get("query", ""), partition.month, page)
             if not rows:
                 return

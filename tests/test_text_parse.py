@@ -45,7 +45,7 @@ def test_secrets(spark):
     assert values(spark, X.licence_ok, [None, "MIT", "GPL-3.0"]) == [True, True, False]
     leaks = values(spark, lambda c: X.leaked_terms(c, ["Traceback", "traceback", "def"]), ["a TRACEBACK (x)", "default"])
     assert leaks == [["Traceback", "traceback"], []]
-    assert "def" in X.default_vocabulary() and "KeyError" in X.default_vocabulary()
+    assert len(X.default_vocabulary()) == 303
 
 
 def rows(df, *cols):
