@@ -100,10 +100,12 @@ def decoded_arguments(arguments: Column) -> Column:
 
 
 def command_of_arguments(arguments: Column) -> Column:
-    """The first of the usual names, else the first text value in the object's order."""
+    """The first of the usual names, even if empty, else the first text value in the object's order."""
     args = decoded_arguments(arguments)
-    usual = [X.truthy(F.get_json_object(args, f"$.{n}")) for n in ("cmd", "command", "input", "bash_command", "code")]
-    anything = F.try_element_at(F.map_values(F.from_json(args, "map<string,string>")), F.lit(1))
+    usual = [F.get_json_object(args, f"$.{n}") for n in ("cmd", "command", "input", "bash_command", "code")]
+    keys = F.json_object_keys(args)
+    texts = F.filter(F.regexp_extract_all(args, F.lit(r'"((?:[^"\\]|\\.)*)"\s*:\s*"'), F.lit(1)), lambda k: F.array_contains(keys, k))
+    anything = F.try_element_at(F.from_json(args, "map<string,string>"), F.try_element_at(texts, F.lit(1)))
     return X.py_strip(F.coalesce(*usual, anything, F.lit("")))
 
 

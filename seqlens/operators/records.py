@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import truthy
+from ..storage import stored
 from . import parse as P
 
 _TURNS = "array<struct<role:string,content:string>>"
@@ -60,7 +61,7 @@ def heads(records: DataFrame, terminal: bool) -> DataFrame:
     if terminal:
         name = F.when(F.col("format") == "chat", field("id", "task_id", "sample_id")).otherwise(name)
     model = field("output.model", "model", "eval.model") if terminal else field("model_name_or_path", "model_name", "selected_models[0]", "model")
-    agent = F.coalesce(field("agent"), F.lit("terminal" if terminal else "patch"))
+    agent = F.coalesce(field("agent"), F.when(F.col("format") == "terminal", "terminus").otherwise("inspect-ai" if terminal else "swe-agent"))
     df = records.withColumn("format", record_format(terminal))
     return df.select("key", R, "format", F.coalesce(name, F.lit("unknown")).alias("name"), F.coalesce(model, F.lit("unknown")).alias("model"), agent.alias("agent"))
 
@@ -104,9 +105,9 @@ def events(head: DataFrame) -> DataFrame:
 
 def trajectories(records: DataFrame, terminal: bool, least: int = 15) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(admitted heads with outcome, their events, rejected records with a reason)."""
-    head = heads(records, terminal)
+    head = stored(heads(records, terminal), "heads")
     good = head.filter("format is not null")
-    made = events(good)
+    made = stored(events(good), "events")  # counted, admitted and returned
     ok = P.admitted(made, outcomes(good), least)
     kept = good.drop(R).join(ok.withColumnRenamed("task_id", "key"), "key")
     lost = head.join(ok.select(F.col("task_id").alias("key")), "key", "left_anti")
