@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ordering import running_total
 from ..functions.text import normalize_action
+from .chains import PROMPT_VERSION, SYSTEM_PROMPT
 from .refdist import entity, lookup, signatures
 
 # Evaluation settings, chunk, and the types that call for an action.
@@ -32,6 +33,17 @@ def evaluation_matrix(chains: DataFrame, models: list[str], configs: list[tuple[
     return df.drop("n", "m", "c")
 
 
+def requests(chains: DataFrame, models: list[str], configs: list[tuple[float, int]] = CONFIGS) -> DataFrame:
+    """The evaluation matrix of chains with their prompts: what a dry run shows and a client sends. Seeds are not sent."""
+    made = evaluation_matrix(chains, models, configs)
+    return made.select("custom_id", "chunk", "chain_id", "source", "cutoff_k", "model", "temperature", "seed", F.lit(SYSTEM_PROMPT).alias("system"), "prompt", F.lit(PROMPT_VERSION).alias("prompt_version"))
+
+
+def route(made: DataFrame, results: DataFrame) -> DataFrame:
+    """Requests with their responses by custom_id; null where none came or it failed."""
+    return made.join(results.select("custom_id", "response"), "custom_id", "left")
+
+
 def base_id() -> Column:
     return F.substring_index("chain_id", MARK, 1)
 
