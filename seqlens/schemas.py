@@ -32,6 +32,7 @@ CONSTRAINT_FIELDS = [
     ("objective", "string"),
     ("weight_shift", "string"),
 ]
+CONSTRAINT_TYPES = ("ResourceBudget", "ToolAvailability", "SubGoalTransition", "InformationState", "CoordinationDependency", "OptimizationCriterion")
 CONSTRAINT = "struct<" + ",".join(f"{n}:{t}" for n, t in CONSTRAINT_FIELDS) + ">"
 CHAIN = (
     f"chain_id string, match_id string, source string, task_id string, constraints array<{CONSTRAINT}>,"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schemas import CHAIN, RESPONSE, TRAJECTORY
+from ..schemas import CHAIN, CONSTRAINT, CONSTRAINT_TYPES, RESPONSE, TRAJECTORY
 
 
 def scan_records(spark: SparkSession, path: str, unwrap: bool = True) -> DataFrame:
@@ -45,8 +45,27 @@ def read_chains(spark: SparkSession, path: str, first_line_only: bool = False) -
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
-    df = spark.read.schema(RESPONSE).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("multiLine", True).json(path)
-    return df.filter("chain_id is not null")
+    """One response of each *.json file below path; files that hold something else than an object with a chain_id are left out."""
+    whole = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("wholetext", True).text(path)
+    objects = whole.filter(F.startswith(F.ltrim(F.regexp_replace("value", r"^\s+", "")), F.lit("{")))
+    return objects.select(F.from_json("value", RESPONSE).alias("r")).select("r.*").filter("chain_id is not null")
+
+
+def write_results(responses: DataFrame, blinded: DataFrame, path: str) -> None:
+    """All responses, and those of blinded(), which name neither model nor settings."""
+    write_json(responses, f"{path}/raw")
+    write_json(blinded, f"{path}/blinded")
+
+
+def constraint_json(c: Column) -> Column:
+    """A constraint with its type; fields that it does not have are left out."""
+    return F.to_json(c)
+
+
+def constraint_of_json(json: Column) -> Column:
+    """The constraint of a JSON object; raises where the type is unknown."""
+    c = F.from_json(json, CONSTRAINT)
+    return F.when(c["type"].isin(*CONSTRAINT_TYPES), c).otherwise(F.raise_error(F.concat(F.lit("Unknown constraint: "), json)).cast(CONSTRAINT))
 
 
 def write_chains(chains: DataFrame, path: str) -> None:
