@@ -127,18 +127,19 @@ def split_sides(scored_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def pairs(scored_rows: DataFrame) -> DataFrame:
-    """Real and shuffled results aligned on (base chain, model, seed), every shuffle a pair; side: both, real_only, shuffled_only.
+    """Real and shuffled results aligned on (base chain, model, seed), every shuffle a pair; side: both, real_only, shuffled_only
+    (a result that one shuffle lacks is real_only for that shuffle; a chain without shuffles is real_only once, without seed).
     Shuffles of bases without a real chain are left out."""
     real, other = split_sides(scored_rows)
     cols = ["l1", "actionable", "gt_type", "optimality", "coupled", "source", "temperature"]
     cols = [c for c in cols if c in scored_rows.columns]
-    a = real.select("base_id", "model", "seed", F.lit(True).alias("__a"), *[F.col(c).alias(f"real_{c}") for c in cols])
-    b = other.join(real.select("base_id").distinct(), "base_id", "left_semi").select(
-        "base_id", "model", "seed", "shuffle_seed", F.lit(True).alias("__b"), *[F.col(c).alias(f"shuffled_{c}") for c in cols]
-    )
-    df = a.join(b, ["base_id", "model", "seed"], "full_outer")
+    other = other.join(real.select("base_id").distinct(), "base_id", "left_semi").withColumn("variant", F.col("chain_id"))
+    variants = other.select("base_id", "variant", F.col("shuffle_seed").alias("__seed")).distinct()
+    a = real.select("base_id", "model", "seed", F.lit(True).alias("__a"), *[F.col(c).alias(f"real_{c}") for c in cols]).join(variants, "base_id", "left")
+    b = other.select("base_id", "model", "seed", "variant", "shuffle_seed", F.lit(True).alias("__b"), *[F.col(c).alias(f"shuffled_{c}") for c in cols])
+    df = a.join(b, ["base_id", "variant", "model", "seed"], "full_outer").withColumn("shuffle_seed", F.coalesce("shuffle_seed", "__seed"))
     side = F.when(F.col("__a") & F.col("__b"), "both").when(F.col("__a"), "real_only").otherwise("shuffled_only")
-    return df.withColumn("side", side).drop("__a", "__b")
+    return df.withColumn("side", side).drop("__a", "__b", "__seed", "variant")
 
 
 def unpaired_bases(scored_rows: DataFrame) -> DataFrame:

@@ -79,10 +79,12 @@ def entropy_summary(dist: DataFrame) -> DataFrame:
 
 
 def concentration(dist: DataFrame) -> DataFrame:
-    """Mean best share of keys whose best entity is about tests or commands; of all keys where there are none."""
-    df = with_shares(dist).filter("rank = 1")
-    about = F.col("entity").contains("test") | F.col("entity").contains("command")
-    return df.groupBy("source").agg(F.coalesce(F.avg(F.when(about, F.col("p"))), F.avg("p")).alias("concentration"))
+    """Number of keys whose best entity is about tests or commands (all keys of a source where there are none), mean and median
+    of what their three best entities cover."""
+    df = key_entropy(dist)
+    about = F.col("best").contains("test") | F.col("best").contains("command")
+    df = df.withColumn("about", about).withColumn("any", F.bool_or("about").over(Window.partitionBy("source"))).filter("about or not any")
+    return df.groupBy("source").agg(F.count("*").alias("n_signatures"), F.avg("top3").alias("mean_top3"), F.median("top3").alias("median_top3"))
 
 
 def gap_interval(df: DataFrame, z: float = 1.96) -> DataFrame:
@@ -91,6 +93,23 @@ def gap_interval(df: DataFrame, z: float = 1.96) -> DataFrame:
     return df.withColumn("gap_low", F.col("gap") - z * se).withColumn("gap_high", F.col("gap") + z * se)
 
 
+#: The types among which a carrier is looked for, and the one that is tested against the others.
+CARRIERS = ("ResourceBudget", "ToolAvailability", "InformationState", "SubGoalTransition", "CoordinationDependency")
+TESTED = "InformationState"
+
+
+def carrier_table(cells: DataFrame, least: int = 10) -> DataFrame:
+    """cells (model, source, gt_type, n_real, real_rate, gap): hits of the tested type (rate times n) and of the others (gap times
+    n of those with a gap above 0 and enough real rows), by model and source."""
+    of = cells.filter(F.col("gt_type").isin(*CARRIERS))
+    tested, n = F.col("gt_type") == TESTED, F.col("n_real")
+    other = ~tested & (n >= least) & (F.col("gap") > 0)
+    return of.groupBy("model", "source").agg(
+        F.coalesce(F.sum(F.when(tested, F.rint(F.round("real_rate", 4) * n))), F.lit(0)).cast("bigint").alias("tested_hits"),
+        F.coalesce(F.sum(F.when(other, F.rint(F.round("gap", 4) * n))), F.lit(0)).cast("bigint").alias("other_hits"),
+    )
+
+
 def carrier(cells: DataFrame, least: int = 10) -> DataFrame:
     """The type with the largest gap of each model and source among those with enough real rows."""
     return cells.filter(F.col("n_real") >= least).groupBy("model", "source").agg(F.max_by("gt_type", "gap").alias("carrier"), F.max("gap").alias("gap"))
@@ -103,7 +122,7 @@ def inverse_variance_pool(cells: DataFrame, by: str) -> DataFrame:
 
 
 def with_p_values(cells: DataFrame, fn: Callable[..., float], inputs: list[str], name: str = "p_value") -> DataFrame:
-    """fn of a few columns for each cell; cells are groups, not rows of data."""
+    """fn of a few columns for each cell, one by one in Python: for cells of a report, not for rows of data."""
 
     @F.pandas_udf("double")
     def of(*cols):

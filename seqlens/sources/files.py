@@ -95,3 +95,17 @@ def months(spark: SparkSession, start: str, end: str) -> DataFrame:
 def decoded_blob(content: Column) -> Column:
     """Base64 text to text; bad bytes are replaced."""
     return F.decode(F.unbase64(F.regexp_replace(content, r"\s", "")), "UTF-8")
+
+
+def results_status(spark: SparkSession, path: str) -> DataFrame:
+    """(status, files): complete where there are result files with content below path."""
+    from ..storage import file_system
+
+    system, top = file_system(spark, path)
+    files = 0
+    if system.exists(top):
+        found = system.listFiles(top, True)
+        while found.hasNext():
+            f = found.next()
+            files += f.getPath().getName().endswith(".json") and f.getLen() > 0
+    return spark.createDataFrame([("complete" if files else "raw_results_not_available", int(files))], "status string, files bigint")
