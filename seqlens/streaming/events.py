@@ -20,6 +20,6 @@ def sessions(stream: DataFrame, key: str = "user_id", time: str = "ts", gap: str
     return stream.withWatermark(time, late).groupBy(key, s.alias("s")).agg(F.count("*").alias("n")).select(key, "s.start", "s.end", "n")
 
 
-def by_batch(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+def by_batch(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Each micro-batch through a batch plan; the checkpoint makes restarts resume where they were."""
-    return stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.outputMode(mode).foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
