@@ -328,12 +328,12 @@ def near_duplicate_components(texts: DataFrame) -> DataFrame:
     sets = once.mapInArrow(lean(_sets), "digest binary, ids binary, counts binary")
     sets = stored(sets.repartition(parts, "digest").mapInArrow(lean(_first_seen), sets.schema), "sets")
 
-    salts = 8
-    members = pairs.hint("merge").join(sets.withColumnRenamed("digest", "b"), "b")
-    members = members.select("a", F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int").alias("part"), "b", "ids", "counts")
-    centres = sets.hint("merge").join(pairs.select(F.col("a").alias("digest")).distinct(), "digest", "left_semi")
-    centres = centres.select(
-        F.col("digest").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("part"), F.lit(None).cast("binary").alias("b"), "ids", "counts"
+    # a centre goes to as many tasks as it has BLOCKs of classes to compare
+    spread = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    placed = pairs.hint("merge").join(spread, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
+    members = placed.hint("merge").join(sets.withColumnRenamed("digest", "b"), "b").select("a", "part", "b", "ids", "counts")
+    centres = sets.hint("merge").join(spread.withColumnRenamed("a", "digest"), "digest").select(
+        F.col("digest").alias("a"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("binary").alias("b"), "ids", "counts"
     )
     met = members.union(centres).repartition(parts, "a", "part").sortWithinPartitions("a", "part", F.col("b").isNotNull())
     links = stored(met.mapInArrow(lean(_verify), "a binary, b binary, likeness double"), "links")
