@@ -1,19 +1,18 @@
-"""Helpers shared by the training-data operators: shared storage, range buckets, Arrow mapping."""
+"""Helpers shared by the training-data operators: range buckets, Arrow mapping."""
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import re
-import shutil
-import tempfile
-import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..ship import ship
+from ..storage import drop, drop_at_exit, shared_dir, stored
+
+__all__ = ["drop", "drop_at_exit", "lean", "partitions", "prepare", "range_bounds", "row_of", "shared_dir", "stored", "text_of"]
 
 #: Buckets of a range at most, whatever the number of rows.
 MAX_BUCKETS = 20_000
@@ -25,48 +24,6 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder named by spark.checkpoint.dir. Where that is unset, a temporary folder of its own if the
-    executors are threads of the driver, as in tests; a cluster has to name one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = getattr(shared_dir, "own", None)
-        if base is None:
-            base = shared_dir.own = tempfile.mkdtemp(prefix="seqlens-")
-            atexit.register(shutil.rmtree, base, ignore_errors=True)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def _file_system(spark: SparkSession, path: str):
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), place
-
-
-def drop_at_exit(spark: SparkSession, path: str) -> None:
-    """What was written to path is deleted when the driver's JVM ends."""
-    system, place = _file_system(spark, path)
-    system.deleteOnExit(place)
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage, survives lost executors, is computed once."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    drop_at_exit(df.sparkSession, path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._seqlens_place = path
-    return out
-
-
-def drop(*frames: DataFrame) -> None:
-    """Deletes what stored() wrote for these frames, once nothing that is still to be computed reads it."""
-    for df in frames:
-        system, place = _file_system(df.sparkSession, df._seqlens_place)
-        system.delete(place, True)
-
-
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

@@ -56,6 +56,57 @@ def test_stages(spark, tmp_path):
     assert op8_suffix_dedup.LENGTH == 200
 
 
+def brute_force(texts, toxic):
+    """The pipeline by plain means: (doc_id, start, length, crc32) of all pieces."""
+    import zlib
+    from array import array
+    from collections import Counter
+
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    docs = {i: t for i, t in enumerate(texts + toxic) if "idiot" not in t}  # planted words tell toxic ones
+    sets = {}
+    for i, t in docs.items():
+        w = t.lower().split()
+        sets[i] = Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4)))
+    root = {i: i for i in docs}
+    for i in docs:
+        for j in docs:
+            both = (sets[i] & sets[j]).total()
+            if j < i and both / (sets[i].total() + sets[j].total() - both) >= 0.8:
+                old, new = root[i], root[j]
+                root = {k: min(old, new) if r in (old, new) else r for k, r in root.items()}
+    data = {i: docs[i].encode() for i in docs if root[i] == i}
+    places = {}
+    for i, d in data.items():
+        for s in range(len(d) - 199):
+            places.setdefault(d[s : s + 200], []).append((i, s))
+    cover = {i: np.zeros(len(d), bool) for i, d in data.items()}
+    for found in places.values():
+        if len(found) > 1:
+            for i, s in found:
+                cover[i][s : s + 200] = True
+    byte, out = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), set()
+    for i, d in data.items():
+        kept = bytes(np.frombuffer(d, np.uint8)[~cover[i]]).decode("utf-8", "ignore")
+        ids = [*byte.encode(kept, add_special_tokens=False).ids, 0]
+        out |= {(i, s, len(p), zlib.crc32(array("I", p).tobytes())) for s in range(0, len(ids), 1024) for p in [ids[s : s + 1024]]}
+    return out
+
+
+def test_brute_force(spark, tmp_path):
+    texts, toxic, _ = write(spark, tmp_path)
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.start, r.length, r.ids_crc32) for r in got} == brute_force(texts, toxic)
+    places = {}
+    for r in got:
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for p in places.values():
+        assert sum(n for _, n in p) <= 1024 and sorted(p) == [(sum(n for _, n in sorted(p)[:k]), n) for k, (_, n) in enumerate(sorted(p))]
+
+
 def test_registry():
     names = __spark_entry__.queries()
     assert "pipeline" in names
