@@ -175,6 +175,16 @@ def render(chains: DataFrame, perspective: str = "agent", vocabulary: list[str]
     return df.withColumn("leaked", leaked_terms(F.col("rendered"), vocabulary))
 
 
+def render_source(chains: DataFrame, source: str = "tb", vocabulary: list[str] | None = None) -> DataFrame:
+    """A chain of a source is seen from that source's perspective."""
+    return render(chains, source, vocabulary)
+
+
+def shuffled(chains: DataFrame, source: str, vocabulary: list[str] | None = None, seeds: tuple[int, ...] = SEEDS) -> DataFrame:
+    """The permutations of real chains, each rendered anew; one that leaks is left out, its chain and the others stay."""
+    return render_source(permute(chains, seeds), source, vocabulary).filter(F.size("leaked") == 0).drop("leaked")
+
+
 def first_steps(k: Column) -> Column:
     """The text of the first k steps of `constraints`; empty where k is not positive."""
     return F.when(k <= 0, F.lit("")).otherwise(F.array_join(F.slice(step_lines(), 1, F.greatest(k, F.lit(0))), "\n"))
@@ -197,7 +207,7 @@ def build_chains(rows: DataFrame, source: str, vocabulary: list[str] | None = No
     """(chains, reasons): admitted real chains, and (task_id, reason) of every trajectory: accepted, filter_fail or leakage."""
     named = F.concat(F.lit(f"{source}_"), F.col("task_id").cast("string"))
     full = assemble(truncate(observe(rows))).withColumn("chain_id", named).withColumn("match_id", named).withColumn("source", F.lit(source))
-    chains = prompts(render(full.filter("valid"), source, vocabulary).filter(F.size("leaked") == 0)).drop("leaked", "valid")
-    drawn = render(full, source, vocabulary)
+    chains = prompts(render_source(full.filter("valid"), source, vocabulary).filter(F.size("leaked") == 0)).drop("leaked", "valid")
+    drawn = render_source(full, source, vocabulary)
     reason = F.when(~F.col("valid"), "filter_fail").when(F.size("leaked") > 0, "leakage").otherwise("accepted")
     return chains, drawn.select("task_id", reason.alias("reason"))

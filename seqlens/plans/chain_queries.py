@@ -180,15 +180,11 @@ def prefix_cuts(spark, d):
     return df.select("chain_id", "k", F.md5(H.first_steps(F.col("k"))).alias("shown"))
 
 
-@query("leaking_permutations", Q.sql(Q.VALID + f""", perm(n, seed, p) as (values {_PERM}), places as (select n, seed, unnest(p) as from_idx, generate_subscripts(p, 1) - 1 as idx from perm)""",
-    """select 'tb_' || c.task_id || '_shuffled_' || q.seed as chain_id from chain c join places q on q.n = c.n and q.from_idx = c.idx
-    group by c.task_id, q.seed having count(*) filter (where q.idx = 4 and c.ctype = 'ToolAvailability') = 0"""))
+@query("leaking_permutations", Q.sql(Q.VALID, """select 'tb_' || task_id || '_shuffled_' || seed as chain_id from (select task_id from chain group by task_id having count(*) filter (where 'file_C' in (added, tool, dependency)) = 0), (values (42), (1337), (7919)) s(seed)"""))
 def leaking_permutations(spark, d):
-    """Permutations whose text leaks are left out alone: here those with a tool in the fifth place, as "ToolAvailability" after
-    "Step 5" is made to leak."""
+    """Permutations whose text leaks are left out alone, their chains stay: here "file_C" leaks."""
     chains, _ = H.build_chains(_rows(spark, d), "tb")
-    marked = H.permute(chains).withColumn("constraints", F.slice("constraints", 5, 1))
-    return H.render(marked, "tb", ["ToolAvailability"]).filter(F.size("leaked") == 0).select("chain_id")
+    return H.shuffled(chains, "tb", ["file_C"]).select("chain_id")
 
 
 @query("distribution_update", Q.sql(Q.SIG, "select level, key, entity, cnt, cast(first_seen[1] as varchar) as first_chain from (select level, key, entity, count(*) as cnt, min((cast(task_id as varchar), idx)) as first_seen from lev where entity is not null group by all)"))

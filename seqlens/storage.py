@@ -47,8 +47,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    system, place = file_system(spark, path)
+    system.delete(place, True)
+
+
 def drop(*frames: DataFrame) -> None:
     """Deletes what stored() wrote for these frames, once nothing that is still to be computed reads it."""
     for df in frames:
-        system, place = file_system(df.sparkSession, df._seqlens_place)
-        system.delete(place, True)
+        delete(df.sparkSession, df._seqlens_place)
