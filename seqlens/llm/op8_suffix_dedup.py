@@ -38,6 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import delete, drop_at_exit, shared_dir
 from .common import lean, partitions, stored, text_of
 from .textvec import U, mix
 
@@ -454,7 +455,10 @@ def _keyed(docs: DataFrame, *others: Column) -> DataFrame:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(t1, t2, spans): the spans of each text (by digest) whose bytes repeat; they may overlap."""
     parts = partitions(docs)
-    found = stored(docs.select(text_of(docs).alias("text")).mapInArrow(lean(_find), ROW_SCHEMA), "contexts")
+    spark, place = docs.sparkSession, shared_dir(docs.sparkSession, "contexts")
+    docs.select(text_of(docs).alias("text")).mapInArrow(lean(_find), ROW_SCHEMA).write.partitionBy("kind").parquet(place)
+    drop_at_exit(spark, place)
+    found = spark.read.schema(ROW_SCHEMA).parquet(place).select(*_NAMES)
     rows = found.filter(F.col("kind") == OPEN)
     heavy = heavy_anchors(rows)
 
@@ -464,6 +468,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     dealt = rows.withColumn("part", part(F.col("context"))).repartition(parts, "anchor", "part").sortWithinPartitions("anchor", "context", "more")
     first = stored(dealt.drop("part").mapInArrow(lean(_settle(heavy)), ROW_SCHEMA), "anchors")
+    delete(spark, f"{place}/kind={OPEN}")  # what is settled stays
     wanted = (
         first.filter(F.col("kind") == OPEN)
         .groupBy("t1", "t2")
