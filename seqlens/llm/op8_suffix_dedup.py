@@ -172,10 +172,8 @@ def _rows(*cols) -> pa.RecordBatch:
 
 def _settled(t1: np.ndarray, t2: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
     """A span [start, end) of a text whose bytes all repeat."""
-    n = len(t1)
-    zero = np.zeros(n, np.int32)
-    anchor = mix(t1.view(np.uint64) + start.view(np.uint64)).view(np.int64) if n else t1
-    return _rows(np.full(n, SETTLED), anchor, end, anchor, t1, t2, start, zero, zero, zero)
+    zero, none = np.zeros(len(t1), np.int64), np.zeros(len(t1), np.int32)
+    return _rows(np.full(len(t1), SETTLED), zero, end, zero, t1, t2, start, none, none, none)
 
 
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
