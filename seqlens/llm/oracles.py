@@ -40,4 +40,9 @@ select n.doc_id, n as n_bytes, cast(coalesce(removed, 0) as bigint) as n_removed
   sha256(case when removed is null then b else unhex(h) end) as kept_sha256
 from n left join c using (doc_id) left join kept using (doc_id)"""
 
-ORACLES = {"op3_html_text": OP3, "op7_near_dedup": OP7, "op8_suffix_dedup": OP8}
+#: Normalised texts grouped as they are.
+OP12 = r"""with t as (select doc_id, coalesce(text, '') as text, length(coalesce(text, '')) as n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as x from documents),
+g as (select x, arg_min(doc_id, (-n, doc_id)) as keep_id, max(n) as most, count(*) as group_size from t group by x)
+select doc_id, keep_id, group_size, doc_id is not distinct from keep_id and n = most as kept, sha256(x) as text_sha256 from t join g using (x)"""
+
+ORACLES = {"op3_html_text": OP3, "op7_near_dedup": OP7, "op8_suffix_dedup": OP8, "op12_exact_dedup": OP12}
