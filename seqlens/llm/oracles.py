@@ -40,9 +40,27 @@ select n.doc_id, n as n_bytes, cast(coalesce(removed, 0) as bigint) as n_removed
   sha256(case when removed is null then b else unhex(h) end) as kept_sha256
 from n left join c using (doc_id) left join kept using (doc_id)"""
 
+#: All phrases of one to four words of all pieces, counted as they are.
+OP11 = r"""with d as (select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as x from documents),
+p as (select lang, unnest(string_split_regex(x, '[.,;:!?\x0A-\x0D]')) as piece from d),
+w as materialized (select lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda y: y <> '') as ws from p),
+g as (select lang, len, unnest(list_transform(range(1, len(ws) - len + 2), lambda i: array_to_string(ws[i:i + len - 1], ' '))) as phrase from w, (select unnest([1, 2, 3, 4]) as len)),
+f as materialized (select lang, len, phrase, count(*) as f from g group by all having count(*) >= 30),
+t as (select lang, sum(len(ws)) as n from w group by lang),
+c as (select lang, phrase, f as a, len, string_split(phrase, ' ') as ws from f where len > 1),
+k as (select c.*, unnest(range(1, len)) as k from c),
+s as (select k.lang, k.phrase, a, k.len, k, l.f as l, r.f as r, cast(cast(2000000 as hugeint) * a // (cast(l.f as hugeint) + r.f) as bigint) as score from k
+  join f l on l.lang = k.lang and l.phrase = array_to_string(ws[1:k], ' ') join f r on r.lang = k.lang and r.phrase = array_to_string(ws[k + 1:], ' ')),
+b as (select lang, phrase, a, arg_min(l, (score, k)) as l, arg_min(r, (score, k)) as r, min(score) as score from s group by lang, phrase, a),
+i as (select lang, a as f, ws, unnest(range(2, len)) as k, len from c),
+j as (select lang, array_to_string(ws[o:o + k - 1], ' ') as phrase, max(f) as f from (select *, unnest(range(1, len - k + 2)) as o from i) group by all),
+o as (select b.* from b left join j using (lang, phrase) where j.f is null or 100 * j.f < 80 * a),
+r as (select *, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank from o)
+select lang, rank, phrase, a, l, r, cast(n as bigint) as n, score from r join t using (lang) where rank <= 2000"""
+
 #: Normalised texts grouped as they are.
 OP12 = r"""with t as (select doc_id, coalesce(text, '') as text, length(coalesce(text, '')) as n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as x from documents),
 g as (select x, arg_min(doc_id, (-n, doc_id)) as keep_id, max(n) as most, count(*) as group_size from t group by x)
 select doc_id, keep_id, group_size, doc_id is not distinct from keep_id and n = most as kept, sha256(x) as text_sha256 from t join g using (x)"""
 
-ORACLES = {"op3_html_text": OP3, "op7_near_dedup": OP7, "op8_suffix_dedup": OP8, "op12_exact_dedup": OP12}
+ORACLES = {"op3_html_text": OP3, "op7_near_dedup": OP7, "op8_suffix_dedup": OP8, "op11_phrases": OP11, "op12_exact_dedup": OP12}
