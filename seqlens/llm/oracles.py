@@ -63,4 +63,46 @@ OP12 = r"""with t as (select doc_id, coalesce(text, '') as text, length(coalesce
 g as (select x, arg_min(doc_id, (-n, doc_id)) as keep_id, max(n) as most, count(*) as group_size from t group by x)
 select doc_id, keep_id, group_size, doc_id is not distinct from keep_id and n = most as kept, sha256(x) as text_sha256 from t join g using (x)"""
 
-ORACLES = {"op3_html_text": OP3, "op7_near_dedup": OP7, "op8_suffix_dedup": OP8, "op11_phrases": OP11, "op12_exact_dedup": OP12}
+def _op13() -> str:
+    """All ways by turn: for each role that may come last (or none), the cheapest and least audit so far with its repaired turns."""
+    step = lambda q, cost, audit, lines="": f"case when {q} is not null then {{'c': {q}.c + {cost}, 't': {q}.t || {audit}, 'x': {q}.x || {lines or repr('')}}} end"
+    line = lambda role, text: f"chr(10) || {role} || ':' || {text}"
+
+    def stay(q: str, r: str, put: str = "") -> str:
+        kept = f"(i = '{r}')"
+        name = {"u": "user", "a": "assistant", "s": "system"}
+        lines = (line(f"'{name[put]}'", "''") + " || " if put else "") + line(f"(case when {kept} then role else '{name[r]}' end)", "text")
+        letters = f"'{'I' if put else ''}' || (case when {kept} then 'K' else 'R' end)"
+        may = kept if r == "s" else "true"
+        return f"case when {may} and fault not in ('blank', 'duplicate') then {step(q, f'(case when fault = {chr(39)}truncated{chr(39)} then 3 else 0 end) + (case when {kept} then 0 else 3 end) + {3 * len(put)}', letters, lines)} end"
+
+    gone = lambda q: step(q, 4, "'D'")
+    best = lambda *ways: f"list_min([{', '.join(ways)}])"
+    return rf"""with recursive k as (select list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda a, b: xor(a >> 1, 3988292384 * (a & 1)))) as tab),
+c as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, xor(4294967295, list_reduce(list_prepend(4294967295,
+    list_transform(string_split(coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' '), ''), lambda s: cast(ascii(s) as bigint))),
+    lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1]))) % 20 as how from conversations, k),
+d as (select conv_id, turn, case how when 4 then 'user' else role end as role, case how when 1 then '' when 2 then translate(text, '.!?', '') else text end as text,
+    unnest(case how when 0 then [] when 3 then [1, 2] else [1] end) as copy from c),
+e as (select *, rtrim(text, e' 	
+') as z, row_number() over (partition by conv_id, role, text order by turn nulls first, copy) as met,
+    row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as n from d),
+f as materialized (select conv_id, turn, role, text, n, substr(role, 1, 1) as i, case when z = '' then 'blank' when met > 1 then 'duplicate' when right(z, 1) not in ('.', '!', '?') then 'truncated' else '' end as fault,
+    lag(substr(role, 1, 1)) over (partition by conv_id order by n) || substr(role, 1, 1) as pair from e),
+w as (select conv_id, 0 as n, {{'c': 0, 't': '', 'x': ''}} as q, {{'c': 0, 't': '', 'x': ''}} as s, {{'c': 0, 't': '', 'x': ''}} as u, {{'c': 0, 't': '', 'x': ''}} as a from (select distinct conv_id from conversations)
+  union all select conv_id, n, q1 as q, s1 as s, u1 as u, a1 as a from (select w.conv_id, f.n, {gone('q')} as q1, {best(gone('s0'), stay('q', 's'))} as s1,
+    {best(gone('u0'), stay('q', 'u'), stay('s0', 'u'), stay('a0', 'u'), stay('u0', 'u', 'a'))} as u1,
+    {best(gone('a0'), stay('q', 'a', 'u'), stay('s0', 'a', 'u'), stay('u0', 'a'), stay('a0', 'a', 'u'))} as a1
+    from (select conv_id, n, q, case when n > 0 then s end as s0, case when n > 0 then u end as u0, case when n > 0 then a end as a0 from w) w
+    join f on f.conv_id is not distinct from w.conv_id and f.n = w.n + 1)),
+l as (select conv_id, arg_max({{'q': q, 's': case when n > 0 then s end, 'u': case when n > 0 then u end, 'a': case when n > 0 then a end}}, n) as w from w group by conv_id),
+b as (select conv_id, {best('w.q', 'w.a', step('w.u', 3, "'I'", line("'assistant'", "''")), step('w.s', 6, "'II'", line("'user'", "''") + " || " + line("'assistant'", "''")))} as b from l),
+g as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (where fault = 'blank') as blank, count(*) filter (where fault = 'duplicate') as duplicate,
+    count(*) filter (where fault = 'truncated') as truncated, count(*) filter (where pair not in ('su', 'ua', 'au')) as illegal from f group by conv_id)
+select b.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+  cast(b.c as bigint) as cost, b.t as audit, sha256(substr(b.x, 2)) as repaired_sha256 from b left join g on g.conv_id is not distinct from b.conv_id"""
+
+
+OP13 = _op13()
+
+ORACLES = {"op3_html_text": OP3, "op7_near_dedup": OP7, "op8_suffix_dedup": OP8, "op11_phrases": OP11, "op12_exact_dedup": OP12, "op13_turn_repair": OP13}
