@@ -1,179 +1,124 @@
 """Translation of events into typed constraints.
 
-Windows compute what is not truly sequential: labels by first appearance, the context used, failed tests, the parity of errors.
-One pass over a trajectory carries what is: phase, first edit and the clamped walk of uncertainty, in order and in IEEE
-arithmetic. Spark has no running fold that is linear in the length of a trajectory, so the pass is an Arrow function of a group;
-it needs no exchange, as the windows have dealt the rows already.
+What is carried from event to event is folded (`fold.py`): a trajectory is cut into parts of PART steps, and where there are several,
+each part is summarised apart, the summaries compose to the state each part starts with, and the parts are folded apart: a long
+trajectory is the work of many tasks, and none holds more than a part. Constraints are then made of columns.
 """
 
 from __future__ import annotations
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import tokens
 from ..schemas import CONSTRAINT_FIELDS
+from . import fold
+from .fold import PHASES, POOL
 
-# Label pools, phases and amounts.
-POOL = 26
-PHASES = ("exploration", "hypothesis", "implementation", "validation", "debugging", "initial")
-TOKENS_MAX, TOKENS_A_COMMAND = 200_000, 150
+#: Steps of a part.
+PART = 1 << 16
 
 
-def order():
-    return Window.partitionBy("task_id").orderBy("seq")
-
-_KEEP = (
-    "seq step type outcome from_phase to_phase trigger label cmd_label amount context_runs_out patience odd_error"
-).split()
+def _complete(events: DataFrame) -> DataFrame:
+    """Columns that an input may lack become null."""
+    want = {
+        "command": "string", "path": "string", "error_type": "string", "outcome": "string", "from_phase": "string", "to_phase": "string",
+        "reason": "string", "trigger": "string", "tokens_used": "bigint", "tokens_max": "bigint",
+    }
+    return events.select("*", *[F.lit(None).cast(t).alias(n) for n, t in want.items() if n not in events.columns])
 
 
-def with_labels(events: DataFrame) -> DataFrame:
-    """seq, label (of files and errors), cmd_label (of commands). Needs task_id, step, type, command, path, error_type."""
-    df = events.withColumn("seq", F.row_number().over(Window.partitionBy("task_id").orderBy("step")))
-    kind = (
-        F.when(F.col("type").isin("file_read", "file_edit"), "file")
-        .when(F.col("type") == "error_reveal", "error")
-        .when(F.col("type") == "bash_call", "command")
-    )
+def _readable(events: DataFrame) -> DataFrame:
+    """What the fold and the constraints read of events, with the part each lies in."""
+    df = _complete(events)
+    nonempty = lambda c: F.nullif(F.col(c), F.lit(""))
     stem = F.coalesce(F.try_element_at(tokens(F.coalesce("command", F.lit(""))), F.lit(1)), F.lit("unknown"))
-    fresh = F.concat(F.lit("_unknown_"), F.col("seq").cast("string"))
-    key = (
-        F.when(kind == "file", F.coalesce(F.nullif("path", F.lit("")), fresh))
-        .when(kind == "error", F.coalesce(F.nullif("error_type", F.lit("")), F.lit("RuntimeError")))
-        .when(kind == "command", stem)
+    name = (
+        F.when(F.col("type").isin(*fold.FILES), nonempty("path"))
+        .when(F.col("type") == "error_reveal", F.coalesce(nonempty("error_type"), F.lit("RuntimeError")))
+        .when(F.col("type") == "bash_call", stem)
     )
-    df = df.withColumn("__kind", kind).withColumn("__key", key)
-    df = df.withColumn("__first", F.min("seq").over(Window.partitionBy("task_id", "__kind", "__key")))
-    df = df.withColumn("__rank", F.dense_rank().over(Window.partitionBy("task_id", "__kind").orderBy("__first")) - 1)
-    clamped = F.least(F.col("__rank"), F.lit(POOL - 1))
+    return df.select(
+        "task_id", F.floor(F.col("step") / PART).alias("part"), "step", "type", F.when(F.col("outcome") == "pass", "pass").otherwise("fail").alias("outcome"),
+        "from_phase", "to_phase", F.coalesce(nonempty("reason"), nonempty("trigger"), F.lit("task_transition")).alias("trigger"), name.alias("name"),
+        F.col("tokens_used").cast("long").alias("tokens_used"), F.col("tokens_max").cast("long").alias("tokens_max"),
+    )
+
+
+def _labels() -> tuple[Column, Column]:
+    """Names of files and errors, and of the last command, by first use."""
     letter = lambda r: F.char(r + 65)
-    rank = F.col("__rank")
-    label = (
-        F.when((F.col("__kind") == "file") & (rank < POOL), F.concat(F.lit("file_"), letter(rank)))
-        .when(F.col("__kind") == "file", F.concat(F.lit("file_OVERFLOW_"), (rank - POOL + 1).cast("string")))
-        .when(F.col("__kind") == "error", F.concat(F.lit("error_class_"), letter(clamped)))
-    )
-    own = F.when(F.col("__kind") == "command", F.concat(F.lit("command_"), (clamped + 1).cast("string")))
-    df = df.withColumn("label", label).withColumn("__own", own)
-    df = df.withColumn("cmd_label", F.coalesce(F.last("__own", True).over(order()), F.lit("command_1")))
-    return df.drop("__kind", "__key", "__first", "__rank", "__own")
-
-
-def with_budgets(df: DataFrame) -> DataFrame:
-    """amount (context left after a command or update), context_runs_out (first time below a fifth), patience, odd_error."""
-    update = F.col("type") == "context_update"
-    used = F.when(update, F.coalesce(F.col("tokens_used"), F.lit(0)).cast("bigint"))
-    most = F.when(update, F.greatest(F.coalesce(F.nullif(F.col("tokens_max"), F.lit(0)), F.lit(TOKENS_MAX)).cast("bigint"), F.lit(1)))
-    df = df.withColumn("__epoch", F.sum(update.cast("int")).over(order()))
-    epoch = Window.partitionBy("task_id", "__epoch").orderBy("seq")
-    df = df.withColumn("__used", F.coalesce(F.first(used, True).over(epoch), F.lit(0))).withColumn(
-        "__max", F.coalesce(F.first(most, True).over(epoch), F.lit(TOKENS_MAX))
-    )
-    calls = F.sum((F.col("type") == "bash_call").cast("int")).over(epoch)
-    # an update may set more than the maximum; commands are held to it
-    now = F.when(calls > 0, F.least(F.col("__used") + TOKENS_A_COMMAND * calls, F.col("__max"))).otherwise(F.col("__used"))
-    left = F.round(F.greatest(F.lit(0.0), F.lit(1.0) - now / F.col("__max")), 3)
-    df = df.withColumn("amount", F.when(F.col("type").isin("bash_call", "context_update"), left))
-    low = (F.col("amount") < 0.2).cast("int")
-    df = df.withColumn("__low", F.coalesce(low, F.lit(0))).withColumn("__lows", F.sum("__low").over(order()))
-    df = df.withColumn("context_runs_out", (F.col("__low") == 1) & (F.col("__lows") == 1))
-    failed = (F.col("type") == "test_run") & (F.coalesce(F.nullif("outcome", F.lit("")), F.lit("fail")) != "pass")
-    fails = F.sum(failed.cast("int")).over(order())
-    # what repeated subtraction of 0.15 from 1 leaves, rounded: exact for every number of failures
+    n = F.col("number")
+    file = F.when(n < POOL, F.concat(F.lit("file_"), letter(n))).otherwise(F.concat(F.lit("file_OVERFLOW_"), (n - POOL + 1).cast("string")))
+    label = F.when(F.col("type").isin(*fold.FILES), file).when(F.col("type") == "error_reveal", F.concat(F.lit("error_class_"), letter(n)))
+    return label, F.concat(F.lit("command_"), (F.col("cmd") + 1).cast("string"))
+
+
+def _patience() -> Column:
+    """What repeated subtraction of 0.15 from 1 leaves, rounded: exact for every number of failures."""
     steps = [1.0]
     while steps[-1] > 0:
         steps.append(max(0.0, steps[-1] - 0.15))
     table = F.array(*[F.lit(round(x, 3)) for x in steps])
-    df = df.withColumn("patience", F.element_at(table, F.least(fails, F.lit(len(steps) - 1)).cast("int") + 1))
-    errors = F.sum((F.col("type") == "error_reveal").cast("int")).over(order())
-    df = df.withColumn("odd_error", errors % 2 == 0)
-    return df.drop("__epoch", "__used", "__max", "__low", "__lows")
-
-
-def _moves(kind: str, passed: bool, named: tuple[str | None, str | None], phase: str, edited: bool) -> tuple[str, str]:
-    """(phase left, phase entered) at an event."""
-    if kind == "file_edit":
-        return phase, "implementation" if not edited or phase not in ("implementation", "debugging") else phase
-    if kind == "test_run":
-        return phase, "validation" if passed else "debugging"
-    if kind == "task_transition":
-        source, target = (x if x in PHASES else other for x, other in zip(named, (phase, "exploration"), strict=True))
-        if source != target:
-            return source, target
-        return phase, "hypothesis" if phase == "exploration" else "exploration"
-    return phase, phase
-
-
-def walk(group: pa.Table) -> pa.Table:
-    """Adds to the events of one trajectory: the phase left and entered, whether a file was edited before, and the uncertainty."""
-    group = group.sort_by("seq")
-    phase, edited, u = "exploration", False, 0.5
-    out: list[tuple] = []
-    for kind, outcome, source, target in zip(*(group[c].to_pylist() for c in ("type", "outcome", "from_phase", "to_phase")), strict=True):
-        left, phase = _moves(kind, outcome == "pass", (source, target), phase, edited)
-        if kind == "file_read":
-            u = max(0.0, u - 0.04)
-        elif kind == "error_reveal":
-            u = min(1.0, u + 0.08)
-        out.append((left, edited, phase, u))
-        edited = edited or kind == "file_edit"
-    for name, values, of in zip(("left", "edited", "phase", "u"), zip(*out, strict=True), (pa.string(), pa.bool_(), pa.string(), pa.float64()), strict=True):
-        group = group.append_column(name, pa.array(values, of))
-    return group
+    return F.element_at(table, F.least(F.col("fails"), F.lit(len(steps) - 1)).cast("int") + 1)
+
+
+def part_starts(df: DataFrame) -> DataFrame:
+    """The state with which each part but the first of a long trajectory starts. df as _readable() gives it."""
+    several = df.filter(F.col("step") >= PART).select("task_id").distinct()
+    cut = df.join(several, "task_id", "left_semi")
+    id_type = df.schema["task_id"].dataType.simpleString()
+    summaries = cut.groupBy("task_id", "part").applyInArrow(fold.summarise, f"task_id {id_type}, part long, {fold.SUMMARY_FIELDS}")
+    return summaries.groupBy("task_id").applyInArrow(fold.starts, f"task_id {id_type}, part long, {fold.START_FIELDS}")
+
+
+def folded(events: DataFrame) -> DataFrame:
+    """Events with seq and place (of their first constraint), label (of files and errors), cmd_label, the phase left and entered,
+    whether a file was edited before, u, amount (context left), context_runs_out (first time below a fifth), patience, odd_error."""
+    df = _readable(events)
+    schema = T.StructType([*df.schema.fields, *T.StructType.fromDDL(fold.ADDED).fields])
+    both = df.groupBy("task_id", "part").cogroup(part_starts(df).groupBy("task_id", "part"))
+    label, command = _labels()
+    context = F.col("type").isin("bash_call", "context_update")
+    return both.applyInArrow(fold.walked, schema).select(
+        "task_id", "seq", "place", "step", "type", "outcome", "trigger", "left", "edited", "phase", "u", label.alias("label"), command.alias("cmd_label"),
+        F.when(context, F.round(F.greatest(F.lit(0.0), F.lit(1.0) - F.col("used") / F.col("most")), 3)).alias("amount"),
+        F.col("runs_out").alias("context_runs_out"), _patience().alias("patience"), (F.col("errors") % 2 == 0).alias("odd_error"),
+    )
 
 
 def constraint(kind: str, **fields: str) -> str:
     """SQL of a constraint struct; fields are SQL texts."""
-    values = {"type": f"'{kind}'", "timestamp": "cast(e.step as bigint)"} | fields
+    values = {"type": f"'{kind}'", "timestamp": "cast(step as bigint)"} | fields
     return "named_struct(" + ", ".join(f"'{n}', cast({values.get(n, 'null')} as {t})" for n, t in CONSTRAINT_FIELDS) + ")"
 
 
 def _emitted() -> str:
     none = "array()"
-    context = constraint("ResourceBudget", resource="'context_window'", amount="e.amount", decay="'monotone_decrease'")
+    context = constraint("ResourceBudget", resource="'context_window'", amount="amount", decay="'monotone_decrease'")
     out = constraint("ToolAvailability", tool="'context_window'", state="'unavailable'")
-    seen = constraint("InformationState", observable_added="array(e.label)", observable_removed="array()", uncertainty="round(f.u, 3)")
+    seen = constraint("InformationState", observable_added="array(label)", observable_removed="array()", uncertainty="round(u, 3)")
     depends = constraint(
-        "CoordinationDependency", role="'affected_module_M1'", dependency="e.label", expected_action="concat('resolve_', e.label)"
+        "CoordinationDependency", role="'affected_module_M1'", dependency="label", expected_action="concat('resolve_', label)"
     )
-    move = lambda trigger: constraint("SubGoalTransition", from_phase="f.left", to_phase="f.phase", trigger=trigger)
+    move = lambda trigger: constraint("SubGoalTransition", from_phase="left", to_phase="phase", trigger=trigger)
     better = constraint("OptimizationCriterion", objective="'correctness_primary'", weight_shift="'correctness_increase'")
-    worse = constraint("ResourceBudget", resource="'patience_budget'", amount="e.patience", decay="'monotone_decrease_if_turn_based'")
+    worse = constraint("ResourceBudget", resource="'patience_budget'", amount="patience", decay="'monotone_decrease_if_turn_based'")
     broken = constraint("ToolAvailability", tool="'test_suite'", state="'unavailable'", recover_in="3")
-    ready = constraint("ToolAvailability", tool="e.label", state="'available'")
+    ready = constraint("ToolAvailability", tool="label", state="'available'")
     return f"""case
-      when e.type in ('bash_call', 'context_update') then if(e.context_runs_out, array({context}, {out}), array({context}))
-      when e.type = 'file_read' then array({seen})
-      when e.type = 'file_edit' then if(not f.edited or f.left not in ('implementation', 'debugging'), array({move("'first_edit'")}), array({ready}))
-      when e.type = 'test_run' and e.outcome = 'pass' then if(f.left <> 'validation', array({move("'test_pass'")}, {better}), array({better}))
-      when e.type = 'test_run' then if(f.left <> 'debugging', array({move("'test_fail'")}, {worse}, {broken}), array({worse}, {broken}))
-      when e.type = 'error_reveal' then if(e.odd_error, array({depends}), array({seen}))
-      when e.type = 'task_transition' then array({move("substring(e.trigger, 1, 50)")})
+      when type in ('bash_call', 'context_update') then if(context_runs_out, array({context}, {out}), array({context}))
+      when type = 'file_read' then array({seen})
+      when type = 'file_edit' then if(not edited or left not in ('implementation', 'debugging'), array({move("'first_edit'")}), array({ready}))
+      when type = 'test_run' and outcome = 'pass' then if(left <> 'validation', array({move("'test_pass'")}, {better}), array({better}))
+      when type = 'test_run' then if(left <> 'debugging', array({move("'test_fail'")}, {worse}, {broken}), array({worse}, {broken}))
+      when type = 'error_reveal' then if(odd_error, array({depends}), array({seen}))
+      when type = 'task_transition' then array({move("substring(trigger, 1, 50)")})
       else {none} end"""
 
 
-def _complete(events: DataFrame) -> DataFrame:
-    """Columns that an input may lack become null."""
-    want = {
-        "command": "string", "path": "string", "error_type": "string", "outcome": "string", "from_phase": "string", "to_phase": "string",
-        "reason": "string", "trigger": "string", "tokens_used": "bigint", "tokens_max": "bigint",
-    }
-    return events.select("*", *[F.lit(None).cast(t).alias(n) for n, t in want.items() if n not in events.columns])
-
-
 def translate(events: DataFrame) -> DataFrame:
     """(task_id, idx, <constraint fields>, phase, cmd_label): one row a constraint, idx from 0; phase and command after it."""
-    df = with_budgets(with_labels(_complete(events)))
-    nonempty = lambda c: F.nullif(F.col(c), F.lit(""))
-    df = df.withColumn("trigger", F.coalesce(nonempty("reason"), nonempty("trigger"), F.lit("task_transition")))
-    df = df.withColumn("outcome", F.when(F.col("outcome") == "pass", "pass").otherwise("fail"))
-    kept = df.select("task_id", *_KEEP)
-    schema = T.StructType(list(kept.schema.fields)).add("left", "string").add("edited", "boolean").add("phase", "string").add("u", "double")
-    walked = kept.groupBy("task_id").applyInArrow(walk, schema)
-    rows = walked.select("task_id", F.struct(*_KEEP).alias("e"), F.struct("left", "edited", "phase", "u").alias("f"))
-    made = rows.select("task_id", F.col("e.seq").alias("seq"), "f", F.col("e.cmd_label").alias("cmd_label"), F.posexplode(F.expr(_emitted())).alias("pos", "c"))
-    by_place = Window.partitionBy("task_id").orderBy("seq", "pos")
-    return made.select("task_id", (F.row_number().over(by_place) - 1).alias("idx"), "c.*", F.col("f.phase").alias("phase"), "cmd_label")
+    made = folded(events).select("task_id", "place", "phase", "cmd_label", F.posexplode(F.expr(_emitted())).alias("pos", "c"))
+    return made.select("task_id", (F.col("place") + F.col("pos")).cast("int").alias("idx"), "c.*", "phase", "cmd_label")

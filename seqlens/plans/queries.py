@@ -101,13 +101,13 @@ def compression_log_counts(spark, d):
 
 @query("labels_first_seen", Q.sql(Q.LABELS, "select task_id, seq, type, label, cmd_label from lab"))
 def labels_first_seen(spark, d):
-    return T.with_labels(_compressed(spark, d)).select("task_id", F.col("seq").cast("bigint").alias("seq"), "type", "label", "cmd_label")
+    return T.folded(_compressed(spark, d)).select("task_id", F.col("seq").cast("bigint").alias("seq"), "type", "label", "cmd_label")
 
 
 @query("budgets", Q.sql(Q.LABELS, """select task_id, seq, case when type = 'bash_call' then cast(round((1 - 150.0 * calls / 200000) * 1000) as bigint) end as amount,
     greatest(0, 1000 - 150 * fails) as patience, errors % 2 = 0 as odd_error from lab"""))
 def budgets(spark, d):
-    df = T.with_budgets(T.with_labels(T._complete(_compressed(spark, d))))
+    df = T.folded(_compressed(spark, d))
     return df.select("task_id", F.col("seq").cast("bigint").alias("seq"), _milli("amount"), _milli("patience"), "odd_error")
 
 
@@ -122,7 +122,7 @@ def context_exhausted_once(spark, d):
     kind = F.when(F.col("event_type") == "click", "bash_call").when(F.col("event_type") == "purchase", "context_update").otherwise("other")
     used = F.regexp_extract("props", "[0-9]+", 0).cast("bigint") * 2000
     df = df.select(F.col("user_id").alias("task_id"), "step", kind.alias("type"), F.lit("x").alias("command"), used.alias("tokens_used"))
-    out = T.with_budgets(T.with_labels(T._complete(df))).filter("context_runs_out")
+    out = T.folded(df).filter("context_runs_out")
     return out.select("task_id", F.col("seq").cast("bigint").alias("seq"))
 
 
