@@ -111,8 +111,10 @@ def lookup(queries: DataFrame, dist: DataFrame) -> DataFrame:
     level that has the key, best first, each with its share; queries without one get level 3 and none."""
     best = first_levels(queries, dist)
     shares = with_shares(dist).groupBy("source", "level", "key").agg(F.sort_array(F.collect_list(F.struct("rank", "entity", "p"))).alias("entities"))
-    out = best.join(shares, ["source", "level", "key"], "left")
-    return out.select("query_id", F.coalesce("level", F.lit(3)).alias("level"), "entities")
+    s = shares.select(F.col("source").alias("__source"), F.col("level").alias("__level"), F.col("key").alias("__key"), "entities")
+    # by source and key alone, as the distribution is dealt; the level is compared beside
+    same = (F.col("source") == F.col("__source")) & (F.col("key") == F.col("__key")) & (F.col("level") - F.col("__level") == 0)
+    return best.join(s, same, "left").select("query_id", F.coalesce("level", F.lit(3)).alias("level"), "entities")
 
 
 def first_levels(queries: DataFrame, dist: DataFrame) -> DataFrame:

@@ -58,9 +58,12 @@ def scored(responses: DataFrame, rows: DataFrame, dist: DataFrame | None = None)
     rows: constraints of all chains (chain_id, source, idx, <fields>). Adds source, gt_type, l1 (null where undefined),
     actionable, legality, optimality and coupled (rounded to 4 places)."""
     said = normalize_action(F.col("response"))
-    truth = rows.withColumn("entity", entity(empty_is_miss=True)).select(
-        "chain_id", F.col("idx").alias("cutoff_k"), F.col("source").alias("chain_source"), F.col("type").alias("gt_type"), "entity"
-    )
+    state = ["phase_now", "command_now", "context_bracket", "patience_bracket", "status", "field", "turn"] if dist is not None else []
+    steps = signatures(rows) if dist is not None else rows
+    truth = steps.select(
+        "chain_id", F.col("idx").alias("cutoff_k"), F.col("source").alias("chain_source"), F.col("type").alias("gt_type"),
+        entity(empty_is_miss=True).alias("entity"), *[F.col(c).alias(f"__{c}") for c in state],
+    )
     df = responses.withColumn("said", said).join(truth, ["chain_id", "cutoff_k"], "left")
     norm = normalize_action(F.col("entity"))
     df = df.withColumn("l1", F.when(F.col("entity").isNotNull(), ((norm != "") & F.col("said").contains(norm)).cast("int")))
@@ -75,8 +78,7 @@ def scored(responses: DataFrame, rows: DataFrame, dist: DataFrame | None = None)
     df = df.join(gone, ["chain_id", "cutoff_k"], "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<string>")))
     df = df.withColumn("legality", F.when(F.exists("gone", lambda u: F.col("said").contains(normalize_action(u))), 0.0).otherwise(1.0))
     if dist is not None:
-        signed = signatures(rows).drop("query_id")
-        queries = df.select("query_id", "chain_id", F.col("cutoff_k").alias("idx")).join(signed, ["chain_id", "idx"])
+        queries = df.filter("chain_source is not null").select("query_id", F.col("chain_source").alias("source"), *[F.col(f"__{c}").alias(c) for c in state])
         df = df.join(lookup(queries, dist).withColumnRenamed("level", "backoff"), "query_id", "left")
         free = F.filter(
             F.coalesce("entities", F.expr("cast(array() as array<struct<rank:int,entity:string,p:double>>)")),
@@ -86,7 +88,7 @@ def scored(responses: DataFrame, rows: DataFrame, dist: DataFrame | None = None)
         caught = F.filter(free, lambda e: F.col("said").contains(normalize_action(e["entity"])))
         share = F.when(mass(free) > 0, mass(caught) / mass(free)).otherwise(0.0)
         df = df.withColumn("__share", share).withColumn("optimality", F.round("__share", 4))
-        df = df.withColumn("coupled", F.round(F.col("legality") * F.col("__share"), 4)).drop("__share", "entities")
+        df = df.withColumn("coupled", F.round(F.col("legality") * F.col("__share"), 4)).drop("__share", "entities", *[f"__{c}" for c in state])
     return df.drop("said", "gone").withColumn("source", F.coalesce("source", "chain_source", F.lit("unknown")) if "source" in df.columns else F.coalesce("chain_source", F.lit("unknown"))).drop("chain_source")
 
 

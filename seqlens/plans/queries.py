@@ -14,6 +14,8 @@ from ..operators import parse as P
 from ..operators import refdist as D
 from ..operators import score as S
 from ..operators import translate as T
+from ..sources.distribution import DistributionTable
+from ..storage import bucketed, drop_at_exit, shared_dir
 from . import sql as Q
 from .adapters import events, table
 
@@ -53,6 +55,11 @@ def _chain_rows(spark, d):
     return H.valid_rows(_kept(spark, d)).withColumn("chain_id", F.col("task_id").cast("string")).withColumn("source", F.lit("tb"))
 
 
+def _chain_table(spark, d):
+    """Constraints of valid chains, translated once and dealt by chain, for queries that read them several times."""
+    return bucketed(_chain_rows(spark, d), "chains", ["chain_id"], ["chain_id", "idx"])
+
+
 # --- compression ----------------------------------------------------------------------------------------------------------
 
 
@@ -313,15 +320,45 @@ def refdist_topk(spark, d):
     from h left join dd on dd.half <> h.half and dd.level = h.level and dd.key = h.key group by all"""))
 def backoff_lookup(spark, d):
     """Every step of every chain is asked of the distribution of the other half (even trajectories of odd ones, odd of even)."""
-    rows, odd = _chain_rows(spark, d), F.pmod("task_id", F.lit(2))
+    rows, odd = _chain_table(spark, d), F.pmod("task_id", F.lit(2))
     half = lambda h: rows.withColumn("source", F.concat_ws("/", "source", h.cast("string")))
     asked = D.signatures(half(1 - odd)).withColumn("query_id", F.struct("chain_id", "idx"))
-    return D.lookup(asked, D.build(half(odd))).select("query_id.chain_id", F.col("query_id.idx").cast("bigint").alias("idx"), "level")
+    known = _distribution(spark)
+    for h in (0, 1):
+        known.append(D.build(half(odd).filter(odd == h)))
+    return D.lookup(asked, known.current()).select("query_id.chain_id", F.col("query_id.idx").cast("bigint").alias("idx"), "level")
+
+
+def _distribution(spark):
+    place = shared_dir(spark, "distribution")
+    drop_at_exit(spark, place)
+    return DistributionTable(spark, place, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+_THIRDS = " union all ".join(
+    f"select {v} as version, level, count(distinct key) as keys, count(*) as observations from (select * from lev where task_id % 3 < {most} and entity is not null) group by level"
+    for v, most in ((1, 1), (2, 2), (3, 2), (4, 3))
+)
+
+
+@query("distribution_versions", Q.sql(Q.SIG, _THIRDS))
+def distribution_versions(spark, d):
+    """Three batches appended to a table that is compacted after the second; keys and observations as of each version."""
+    rows, table_ = _chain_table(spark, d), _distribution(spark)
+    for third in range(3):
+        table_.append(D.build(rows.filter(F.pmod("task_id", F.lit(3)) == third)))
+        if third == 1:
+            table_.compact()
+    out = None
+    for version in range(1, 5):
+        one = D.stats(table_.current(version)).select(F.lit(version).alias("version"), "level", "keys", "observations")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("coverage", Q.sql(Q.SIG, "select 'tb' as source, count(*) as steps, count(*) as covered from sig where entity is not null"))
 def coverage(spark, d):
-    rows = _chain_rows(spark, d)
+    rows = _chain_table(spark, d)
     return D.coverage(rows, D.build(rows))
 
 
@@ -355,7 +392,7 @@ sc as (select r.*, t.ctype as gt_type, cast(contains(r.response, t.entity) as in
 
 
 def _scored(spark, d):
-    rows = _chain_rows(spark, d)
+    rows = _chain_table(spark, d)
     return S.scored(S.synthetic_responses(rows, MODELS), rows)
 
 
@@ -385,7 +422,7 @@ def layer2_legality(spark, d):
         else coalesce(sum(cnt) filter (where free and contains(response, entity)) / sum(cnt) filter (where free), 0) end) as bigint) as coupled
     from legal group by task_id, model, seed, t"""))
 def layer2_optimality(spark, d):
-    rows = _chain_rows(spark, d)
+    rows = _chain_table(spark, d)
     out = S.scored(S.synthetic_responses(rows, MODELS), rows, D.build(rows))
     tenthousandths = lambda c: F.round(F.col(c) * 10000).cast("bigint").alias(c)
     return out.select("query_id", "backoff", tenthousandths("optimality"), tenthousandths("coupled"))

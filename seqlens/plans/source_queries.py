@@ -16,7 +16,7 @@ from ..sources import search as W
 from ..storage import drop_at_exit, file_system, shared_dir
 from . import sql as Q
 from .adapters import events, table
-from .queries import _RESP, MODELS, _chain_rows, _rows, _scored
+from .queries import _RESP, MODELS, _chain_rows, _chain_table, _rows, _scored
 from .queries import ORACLES as _CORE
 
 QUERIES: dict = {}
@@ -242,7 +242,7 @@ def distribution_sink(spark, d):
 @query("blinded_results", Q.sql(_RESP, """select cast(task_id as varchar) as chain_id, k as cutoff_k, arg_max(response, task_id || ':' || model || ':' || seed || ':' || t) as response, count(*) as raw from resp group by task_id, k"""))
 def blinded_results(spark, d):
     """The last response of each chain and cut, without model and settings, beside the raw ones."""
-    rows = _chain_rows(spark, d)
+    rows = _chain_table(spark, d)
     made = S.synthetic_responses(rows, MODELS)
     place = fresh(spark, "results")
     X.write_results(made, S.blinded(made), place)

@@ -47,6 +47,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def write_bucketed(df: DataFrame, path: str, name: str, buckets: int, by: list[str], partition: list[str] | None = None, sort: list[str] | None = None, mode: str = "error") -> None:
+    """df at path as a table of the session's catalog, one file a bucket (and partition)."""
+    dealt = df.repartition(buckets, *by)
+    writer = dealt.write.format("parquet").mode(mode).option("path", path).bucketBy(buckets, *by)
+    writer = writer.sortBy(*sort) if sort else writer
+    (writer.partitionBy(*partition) if partition else writer).saveAsTable(name)
+
+
+def bucketed(df: DataFrame, name: str, by: list[str], sort: list[str] | None = None) -> DataFrame:
+    """Like stored(), dealt by `by`: what groups, windows or joins by these columns needs no exchange."""
+    spark = df.sparkSession
+    path = shared_dir(spark, name)
+    table = "seqlens_" + re.sub(r"\W", "_", path.rsplit("/", 1)[1])
+    write_bucketed(df, path, table, int(spark.conf.get("spark.sql.shuffle.partitions")), by, sort=sort)
+    drop_at_exit(spark, path)
+    return spark.table(table)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     system, place = file_system(spark, path)
     system.delete(place, True)
