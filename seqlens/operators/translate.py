@@ -29,8 +29,8 @@ def _complete(events: DataFrame) -> DataFrame:
     return events.select("*", *[F.lit(None).cast(t).alias(n) for n, t in want.items() if n not in events.columns])
 
 
-def _readable(events: DataFrame) -> DataFrame:
-    """What the fold and the constraints read of events, with the part each lies in."""
+def readable(events: DataFrame, *others: str) -> DataFrame:
+    """What the fold and the constraints read of events, with the part each lies in (and other columns as they are)."""
     df = _complete(events)
     nonempty = lambda c: F.nullif(F.col(c), F.lit(""))
     stem = F.coalesce(F.try_element_at(tokens(F.coalesce("command", F.lit(""))), F.lit(1)), F.lit("unknown"))
@@ -42,7 +42,7 @@ def _readable(events: DataFrame) -> DataFrame:
     return df.select(
         "task_id", F.floor(F.col("step") / PART).alias("part"), "step", "type", F.when(F.col("outcome") == "pass", "pass").otherwise("fail").alias("outcome"),
         "from_phase", "to_phase", F.coalesce(nonempty("reason"), nonempty("trigger"), F.lit("task_transition")).alias("trigger"), name.alias("name"),
-        F.col("tokens_used").cast("long").alias("tokens_used"), F.col("tokens_max").cast("long").alias("tokens_max"),
+        F.col("tokens_used").cast("long").alias("tokens_used"), F.col("tokens_max").cast("long").alias("tokens_max"), *others,
     )
 
 
@@ -65,7 +65,7 @@ def _patience() -> Column:
 
 
 def part_starts(df: DataFrame) -> DataFrame:
-    """The state with which each part but the first of a long trajectory starts. df as _readable() gives it."""
+    """The state with which each part but the first of a long trajectory starts. df as readable() gives it."""
     several = df.filter(F.col("step") >= PART).select("task_id").distinct()
     cut = df.join(several, "task_id", "left_semi")
     id_type = df.schema["task_id"].dataType.simpleString()
@@ -76,12 +76,17 @@ def part_starts(df: DataFrame) -> DataFrame:
 def folded(events: DataFrame) -> DataFrame:
     """Events with seq and place (of their first constraint), label (of files and errors), cmd_label, the phase left and entered,
     whether a file was edited before, u, amount (context left), context_runs_out (first time below a fifth), patience, odd_error."""
-    df = _readable(events)
+    df = readable(events)
     schema = T.StructType([*df.schema.fields, *T.StructType.fromDDL(fold.ADDED).fields])
     both = df.groupBy("task_id", "part").cogroup(part_starts(df).groupBy("task_id", "part"))
+    return worked_out(both.applyInArrow(fold.walked, schema))
+
+
+def worked_out(walked: DataFrame) -> DataFrame:
+    """Folded events with what their numbers mean."""
     label, command = _labels()
     context = F.col("type").isin("bash_call", "context_update")
-    return both.applyInArrow(fold.walked, schema).select(
+    return walked.select(
         "task_id", "seq", "place", "step", "type", "outcome", "trigger", "left", "edited", "phase", "u", label.alias("label"), command.alias("cmd_label"),
         F.when(context, F.round(F.greatest(F.lit(0.0), F.lit(1.0) - F.col("used") / F.col("most")), 3)).alias("amount"),
         F.col("runs_out").alias("context_runs_out"), _patience().alias("patience"), (F.col("errors") % 2 == 0).alias("odd_error"),
@@ -118,7 +123,11 @@ def _emitted() -> str:
       else {none} end"""
 
 
+def constraints_of(folded_events: DataFrame) -> DataFrame:
+    made = folded_events.select("task_id", "place", "phase", "cmd_label", F.posexplode(F.expr(_emitted())).alias("pos", "c"))
+    return made.select("task_id", (F.col("place") + F.col("pos")).cast("int").alias("idx"), "c.*", "phase", "cmd_label")
+
+
 def translate(events: DataFrame) -> DataFrame:
     """(task_id, idx, <constraint fields>, phase, cmd_label): one row a constraint, idx from 0; phase and command after it."""
-    made = folded(events).select("task_id", "place", "phase", "cmd_label", F.posexplode(F.expr(_emitted())).alias("pos", "c"))
-    return made.select("task_id", (F.col("place") + F.col("pos")).cast("int").alias("idx"), "c.*", "phase", "cmd_label")
+    return constraints_of(folded(events))

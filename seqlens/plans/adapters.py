@@ -11,8 +11,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return user_events(table(spark, sf_dir, "events"))
+
+
+def user_events(rows: DataFrame) -> DataFrame:
     """Each user's events as a trajectory: clicks and sign-ups are commands or edits, views reads, purchases tests."""
-    df = table(spark, sf_dir, "events").withColumn("k", F.regexp_extract("props", "[0-9]+", 0).cast("int"))
+    df = rows.withColumn("k", F.regexp_extract("props", "[0-9]+", 0).cast("int"))
     step = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
     kind = (
         F.when((F.col("event_type") == "signup") & (F.col("k") < 50), "file_edit")

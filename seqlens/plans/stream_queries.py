@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import drop_at_exit, shared_dir
 from ..streaming import events as E
-from .adapters import table
+from .adapters import table, user_events
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
-#: Files hold events of all times, so none is late.
-LATE = "10000 days"
+#: How far behind the newest event the watermark stays.
+LATE = "6 hours"
+#: Events arrive in three parts by time; of the first, some come with the last.
+_PARTS = "case when epoch_us(ts) % 20 = 7 and day(ts) <= 10 then 3 when day(ts) <= 10 then 1 when day(ts) <= 20 then 2 else 3 end"
+#: What the oracle knows of the watermark: before the third part, and at the end.
+_ARRIVED = f"""ev as (select *, {_PARTS} as part from events),
+  wm as (select max(ts) filter (where part < 3) - interval 6 hour as before, max(ts) - interval 6 hour as last from ev)"""
 
 
 def query(name: str, oracle: str):
@@ -25,51 +30,80 @@ def query(name: str, oracle: str):
     return add
 
 
-def stream(spark, d) -> DataFrame:
-    """The events in four files, which arrive one by one; times are read as those of UTC, whatever the session's zone."""
-    place = shared_dir(spark, "arriving")
-    drop_at_exit(spark, place)
+def arriving(spark, d) -> tuple[DataFrame, list]:
+    """The table's rows (times read as those of UTC, whatever the session's zone) and the condition of each part that arrives."""
     rows = table(spark, d, "events")
-    rows.repartition(4).write.parquet(place)
-    df = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(place)
-    return df.withColumn("ts", F.to_timestamp(F.concat(F.col("ts").cast("string"), F.lit("Z"))))
-
-
-def finished(counts: DataFrame, name: str) -> DataFrame:
-    """Runs a stream over what is there; each batch writes the whole result, the last of them counts."""
-    spark = counts.sparkSession
-    place, state = shared_dir(spark, name), shared_dir(spark, f"{name}-state")
-    for path in (place, state):
+    rows = rows.withColumn("ts", F.to_timestamp(F.concat(F.col("ts").cast("string"), F.lit("Z"))))
+    day = F.dayofmonth(F.to_utc_timestamp("ts", F.current_timezone()))
+    late = (F.pmod(F.unix_micros("ts"), F.lit(20)) == 7) & (day <= 10)
+    return rows, [(day <= 10) & ~late, (day > 10) & (day <= 20), (day > 20) | late]
+
+
+def finished(spark, d, work, name: str, adapt=lambda rows: rows) -> DataFrame:
+    """work over a stream of the events: each part arrives, and the stream resumes from its checkpoint; rows are appended once, when
+    the watermark has passed them."""
+    rows, parts = arriving(spark, d)
+    rows = adapt(rows)
+    source, place, state = (shared_dir(spark, f"{name}-{x}") for x in ("in", "out", "state"))
+    for path in (source, place, state):
         drop_at_exit(spark, path)
-    last = []
-
-    def keep(df: DataFrame, batch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{place}/{batch}")
-        last[:] = [batch]
-
-    E.by_batch(counts, keep, state, "complete").awaitTermination()
-    return spark.read.schema(counts.schema).parquet(f"{place}/{last[0]}") if last else spark.createDataFrame([], counts.schema)
+    for part in parts:
+        rows.filter(part).write.mode("append").parquet(source)
+        out = work(spark.readStream.schema(rows.schema).parquet(source))
+        E.appended(out, place, state).awaitTermination()
+    return spark.read.schema(out.schema).parquet(place)
 
 
 def micros(c: str, name: str):
     return F.unix_micros(c).alias(name)
 
 
-@query("stream_windows", "select epoch_us(s) as start, epoch_us(s + interval 6 hour) as stop, event_type, count(*) as n from (select time_bucket(interval '6 hours', ts, timestamp '1970-01-01') as s, event_type from events) group by all")
+_WINDOWS = """with {arrived}, w as (select part, s, s + interval 6 hour as e, event_type from {source})
+  select epoch_us(s) as start, {stop} event_type, count(*) as n from w, wm where e <= last and not (part = 3 and e <= before) group by all"""
+
+
+@query("stream_windows", _WINDOWS.format(arrived=_ARRIVED, stop="epoch_us(e) as stop,", source="(select part, time_bucket(interval '6 hours', ts, timestamp '1970-01-01') as s, event_type from ev)"))
 def stream_windows(spark, d):
-    out = finished(E.windowed_counts(stream(spark, d), size="6 hours", late=LATE), "windows")
+    """Counts of windows that the watermark has passed, without rows that came after it."""
+    out = finished(spark, d, lambda events: E.windowed_counts(events, size="6 hours", late=LATE), "windows")
     return out.select(micros("start", "start"), micros("end", "stop"), "event_type", "n")
 
 
-@query("stream_sliding", "select epoch_us(s - k * interval 2 hour) as start, event_type, count(*) as n from (select time_bucket(interval '2 hours', ts, timestamp '1970-01-01') as s, event_type from events), range(3) t(k) group by all")
+@query("stream_sliding", _WINDOWS.format(arrived=_ARRIVED, stop="", source="(select part, time_bucket(interval '2 hours', ts, timestamp '1970-01-01') - k * interval 2 hour as s, event_type from ev, range(3) t(k))"))
 def stream_sliding(spark, d):
-    out = finished(E.windowed_counts(stream(spark, d), size="6 hours", slide="2 hours", late=LATE), "sliding")
+    out = finished(spark, d, lambda events: E.windowed_counts(events, size="6 hours", slide="2 hours", late=LATE), "sliding")
     return out.select(micros("start", "start"), "event_type", "n")
 
 
-@query("stream_sessions", """with a as (select user_id, ts, coalesce(ts >= lag(ts) over (partition by user_id order by ts) + interval 12 hour, true) as fresh from events),
-  b as (select *, sum(cast(fresh as int)) over (partition by user_id order by ts rows between unbounded preceding and current row) as k from a)
-  select user_id, epoch_us(min(ts)) as start, epoch_us(max(ts) + interval 12 hour) as stop, count(*) as n from b group by user_id, k""")
+@query("stream_sessions", f"""with {_ARRIVED}, e as (select user_id, ts from ev, wm where not (part = 3 and ts + interval 12 hour <= before)),
+  a as (select user_id, ts, coalesce(ts >= lag(ts) over (partition by user_id order by ts) + interval 12 hour, true) as fresh from e),
+  b as (select *, sum(cast(fresh as int)) over (partition by user_id order by ts rows between unbounded preceding and current row) as k from a),
+  s as (select user_id, min(ts) as start, max(ts) + interval 12 hour as stop, count(*) as n from b group by user_id, k)
+  select user_id, epoch_us(start) as start, epoch_us(stop) as stop, n from s, wm where stop <= last""")
 def stream_sessions(spark, d):
-    out = finished(E.sessions(stream(spark, d), gap="12 hours", late=LATE), "sessions")
+    out = finished(spark, d, lambda events: E.sessions(events, gap="12 hours", late=LATE), "sessions")
     return out.select("user_id", micros("start", "start"), micros("end", "stop"), "n")
+
+
+@query("stream_translation", f"""with {_ARRIVED}, n as (select *, row_number() over (partition by user_id order by ts, event_id) - 1 as step from ev),
+  f as (select user_id, max(step) as folded from n, wm where part < 3 and epoch_ms(ts) < epoch_ms(before) group by user_id),
+  s as (select n.*, coalesce(part = 3 and step <= folded, false) as late from n left join f using (user_id))
+  select user_id as task_id, step, case when late then 'late' else 'event' end as side,
+    case when late then 0 else row_number() over (partition by user_id, late order by step) end as seq,
+    case when late then row_number() over (partition by user_id, late order by step) else 0 end as nth from s, wm where late or epoch_ms(ts) < epoch_ms(last)""")
+def stream_translation(spark, d):
+    """Every event of a stream: folded in order once the watermark has passed it, or late."""
+    from ..streaming.translation import folded_stream
+
+    def adapt(rows):
+        number = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+        return user_events(rows).join(
+            rows.select(F.col("user_id").alias("task_id"), (number - 1).alias("step"), "ts"), ["task_id", "step"]
+        )
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    work = lambda events: folded_stream(events, late=LATE, idle_ms=90 * 86_400_000)
+    out = finished(spark, d, work, "translation", adapt)
+    late = F.col("side") == "late"
+    nth = F.row_number().over(Window.partitionBy("task_id", "side").orderBy("step")).cast("bigint")
+    return out.select("task_id", "step", "side", F.when(late, 0).otherwise(F.col("seq")).alias("seq"), F.when(late, nth).otherwise(0).alias("nth"))

@@ -23,3 +23,9 @@ def sessions(stream: DataFrame, key: str = "user_id", time: str = "ts", gap: str
 def by_batch(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Each micro-batch through a batch plan; the checkpoint makes restarts resume where they were."""
     return stream.writeStream.outputMode(mode).foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def appended(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """What is there so far, as Parquet: a row once it can't change any more. Resumes where the checkpoint ends."""
+    writer = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+    return writer.outputMode("append").trigger(availableNow=True).start()

@@ -95,6 +95,6 @@ def test_a_long_trajectory_is_many_groups(spark, monkeypatch):
     events = spark.range(20_000).selectExpr("1L as task_id", "cast(id as int) as step", "if(id % 3 = 0, 'error_reveal', 'file_read') as type", "concat('p', id % 50) as path")
     out = T.translate(events)
     assert out.count() == 20_000
-    starts = T.part_starts(T._readable(events))
+    starts = T.part_starts(T.readable(events))
     assert starts.count() == 39  # every part of 500 steps but the first
     assert [r.seq for r in starts.orderBy("part").collect()] == list(range(500, 20_000, 500))
