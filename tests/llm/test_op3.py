@@ -88,7 +88,7 @@ def test_distribution_may_overrule_the_tag():
 
 def brute(lines, window, surge):
     """Runs by the definition: a line is reached by each window of lines that holds it."""
-    weight = [max(0, len(t) - links) for t, links, _ in lines]
+    weight = [max(0, len(t) - links) for t, links, *_ in lines]
     n = len(lines)
     sums = {k: sum(weight[max(0, k) : max(0, k + window)]) for k in range(1 - window, n)}
     reach = [max(sums[k] for k in range(i - window + 1, i + 1)) for i in range(n)]
@@ -114,7 +114,7 @@ def test_brute_force():
         lines = []
         for _ in range(rnd.randint(0, 25)):
             text = "x" * rnd.choice([1, 5, 30, 80, 300])
-            lines.append((text, rnd.choice([0, 0, len(text)]), False))
+            lines.append((text, rnd.choice([0, 0, len(text)]), False, False))
         for window, surge in ((3, 60), (1, 60), (5, 200)):
             assert main_lines(lines, window, surge) == brute(lines, window, surge)
 
@@ -124,3 +124,58 @@ def test_table_without_its_tags(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()
     same = sum(extract(r.html) == extract(r.html.replace("<article>", "<div>").replace("</article>", "</div>")) for r in rows)
     assert same >= 0.98 * len(rows)
+
+
+LONG = "This is a sentence of the story that is told here, and it has some length. " * 3
+
+
+def test_what_encloses_the_article_is_no_furniture():
+    body = f"<article><p>{LONG}</p><p>End.</p></article>"
+    want = f"{LONG.strip()} End."
+    for wrap in (
+        'div class="layout with-sidebar"', 'div class="content no-sidebar"', 'div id="side-effects"', 'div class="has-sidebar"', 'section class="with-menu"', 'div class="site-header-fixed"',
+        'div class="has-social-links"', 'div class="page-with-notice"', 'div class="sidebar"', 'form id="main"', 'div class="banner"',
+    ):
+        tag = wrap.split()[0]
+        assert extract(PAGE % f"<{wrap}>{body}</{tag}>") == want, wrap
+        unmarked = extract(f"<body><{wrap}><p>{LONG * 3}</p><p>End.</p></{tag}><nav>no</nav></body>")
+        assert unmarked == f"{(LONG * 3).strip()} End.", wrap
+
+
+def test_names_within_the_article():
+    keep = '<section class="side-effects"><p>Effects.</p></section><div class="related-work">Work.</div><div class="no-comment">None.</div>'
+    drop = '<div class="related-posts">More</div><div class="share-buttons">Share</div><div class="cookie-notice">C</div><div class="sidebar-left">S</div><ul class="social-links"><li>x</ul>'
+    assert extract(PAGE % f"<article>{keep}{drop}<p>End.</p></article>") == "Effects. Work. None. End."
+
+
+def test_comments_never_count():
+    many = "".join(f'<article class="comment-body"><p>{LONG} {k}</p></article>' for k in range(40))
+    assert extract(PAGE % f'<article><p>{LONG}</p></article><div id="comments">{many}</div>') == LONG.strip()
+    cards = f'<div class="related"><article><p>{LONG}</p></article></div>'
+    assert extract(PAGE % f"<main><p>Text of it.</p></main>{cards}") == "Text of it."
+
+
+def test_time_is_linear():
+    import time
+
+    parts = {
+        "stray end tags": "</b>" * 250_000, "unclosed scripts": "<script>x" * 110_000, "unclosed scripts in blocks": "<div><script>x</div>" * 50_000,
+        "deep": "<b>" * 150_000 + "<div>" * 80_000 + "</i>" * 50_000, "paragraphs": "<p>" + "<b>" * 100_000 + "<li><p>" * 90_000, "names": '<div class="a b c">' * 50_000,
+        "comments": "<!-- x" * 160_000, "quotes": "<a b='" * 160_000, "attributes": "<a " + "= " * 500_000,
+    }
+    for name, junk in parts.items():
+        began = time.process_time()
+        got = extract(f"<article><p>{LONG}</p></article>{junk}")
+        assert time.process_time() - began < 5, name
+        assert got.startswith(LONG.strip()), name
+
+
+def test_clashing_names_and_pages_over_100_kb(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(1, "u", PAGE % f"<article>{'<p>' + LONG + '</p>'}</article>"), (2, "v", "<article>" + f"<p>{LONG}</p>" * 1000 + "</article>"), (None, "w", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for name in ("text", "n_chars", "a.b", "lines"):
+        df = df.withColumn(name, F.lit("x"))
+    got = {r.page_id: (r.text, r.n_chars) for r in main_text(df).collect()}
+    assert got == {1: (LONG.strip(), len(LONG.strip())), 2: (" ".join([LONG.strip()] * 1000), 1000 * len(LONG) - 1), None: ("", 0)}
