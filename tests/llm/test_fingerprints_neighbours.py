@@ -325,7 +325,7 @@ def test_few_pairs_are_verified():
     clusters = rng.standard_normal((100, 64))[rng.integers(0, 100, 8192)] + 0.3 * rng.standard_normal((8192, 64))
     for x, most in ((unit(rng.standard_normal((16384, 64))), 0.05), (unit(clusters), 0.02)):
         n = len(x)
-        index = op9.BlockIndex(np.arange(n), x, 1.0 + 1e-6)
+        index = op9.BlockIndex(np.arange(n), x)
         asked = np.arange(0, n, n // 100)
         qi, vi, score, verified = index.search(asked, x[asked])
         assert verified / (len(asked) * n) <= most
@@ -353,3 +353,78 @@ def test_common_words_crowd_out_no_lexeme(spark):
     texts = [(i, " ".join(rnd.sample(common, 900) + ["zorgblat"] * (k < 30))) for k, i in enumerate(ids)]
     learned, _ = op2.train(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(list(toxic.items()), "doc_id long, toxic int"))
     assert learned == {"=zorgblat": op2.INSULT}
+
+
+def searched(x, asked, k=20):
+    """What the blocks of a table find, without Spark: hits, and the share of pairs verified."""
+    from collections import Counter
+
+    full = x.astype(np.float64)
+    cls = np.floor(np.log2(op9.norms(x)) * op9.CLASSES + op9.SHIFT).astype(int)
+    counts = [{"length": x.shape[1], "class": c, "n": n} for c, n in Counter(cls.tolist()).items()]
+
+    class Row(dict):
+        __getattr__ = dict.get
+
+    deals, _, _, _ = op9._dealt([Row(c) for c in counts], 20)
+    share = {c: s / op9._HASHES for _, c, _, _, s in deals}
+    seed = np.random.default_rng(3).random(len(x)) < np.array([share[c] for c in cls.tolist()])
+    ids = np.arange(len(x))
+    pilot = full[seed]
+    high = op9.norms(pilot).max()
+    q = full[asked] / op9.norms(full[asked])[:, None]
+    least = op9.bounds(asked, q, ids[seed], pilot / high, k)
+    found, verified = [[] for _ in asked], 0
+    for c in set(cls.tolist()):
+        own = np.flatnonzero(cls == c)
+        index = op9.BlockIndex(own, x[own], seed[own])
+        qi, vi, score, n = index.search(asked, x[asked], k, least=least * high / index.most - 1e-9)
+        verified += n
+        for i, v, s in zip(qi.tolist(), vi.tolist(), score.tolist(), strict=True):
+            found[i].append((-s, int(own[v])))
+    hits = 0
+    for i, a in enumerate(asked.tolist()):
+        s = full @ full[a]
+        s[a] = -np.inf
+        best = sorted(found[i])[:k]
+        assert len(best) == k
+        hits += sum(-b[0] >= np.partition(s, len(s) - k)[len(s) - k] - 1e-9 for b in best)
+    return hits / (k * len(asked)), verified / (len(asked) * len(x))
+
+
+def test_norms_of_all_kinds():
+    """Recall and the share of pairs verified with equal norms, one outlier, and norms that vary widely."""
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((8192, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    asked = np.arange(0, 8192, 160)
+    scale = {"unit": np.ones(8192), "lognormal": np.exp(rng.standard_normal(8192))}
+    for factor in (3, 10, 100):
+        scale[f"one of {factor}"] = np.where(np.arange(8192) == 77, factor, 1.0)
+    for name, norm in scale.items():
+        recall, verified = searched((x * norm[:, None]).astype(np.float32), asked)
+        assert recall >= 0.9 and verified < 0.1, (name, recall, verified)
+
+
+def test_vectors_past_the_range_of_squares(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, (rng.standard_normal(4) * 10.0 ** (200 if i % 40 == 1 else -200 if i % 20 == 0 else 0)).tolist()) for i in range(200)]
+    got = op9.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=5).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.query_id, []).append(r)
+    assert set(by) == set(range(0, 200, 20)) and all(len(v) == 5 for v in by.values())
+    x = {i: np.array(v) for i, v in rows}
+    for q, found in by.items():
+        s = sorted((-float(x[q] @ x[i]), i) for i in x if i != q)[:5]
+        assert sum(r.vec_id in {i for _, i in s} for r in found) >= 4
+
+
+def test_nearest_with_clashing_names(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(60)], "vec_id long, embedding array<double>")
+    for name in ("length", "class", "hash", "seed", "first", "blocks", "pilot", "a.b"):
+        df = df.withColumn(name, F.lit("x"))
+    got = op9.nearest(df, k=3).collect()
+    assert {(r.query_id, r["rank"], r.vec_id) for r in got if r.query_id == 20} == {(20, 1, 59), (20, 2, 58), (20, 3, 57)}
