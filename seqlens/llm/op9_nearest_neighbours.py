@@ -178,6 +178,25 @@ class BlockIndex:
         return qi[top], vi[top], score[top], verified
 
 
+def _classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (vec_id, embedding) of finite vectors that are not zero, with the class of their norm."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        vectors = batch.column(1)
+        flat = np.abs(vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64))  # a null component is no number
+        offsets = np.asarray(vectors.offsets)
+        starts, sizes = offsets[:-1] - offsets[0], np.diff(offsets)
+        most = np.maximum.reduceat(flat, starts)  # no number if one component is none
+        good = np.isfinite(most) & (most > 0)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            norm = most * np.sqrt(np.add.reduceat((flat / np.repeat(most, sizes)) ** 2, starts))
+            cls = np.floor(np.log2(norm) * CLASSES + SHIFT)
+        keep = pa.array(good)
+        cls = pa.array(np.where(good, cls, 0).astype(np.int64))
+        yield pa.RecordBatch.from_arrays([*batch.columns, cls], names=["vec_id", "embedding", "class"]).filter(keep)
+
+
 def _search(kind: str, k: int):
     """Rows (block, slice, asks, ids, vectors, seeds, pilot_ids, pilot) in the order of the first three: the vectors of a block, then
     the blocks of queries that this slice of the work asks it. Vectors are of numbers of a kind."""
@@ -247,18 +266,11 @@ def _packed(rows: DataFrame, first: str, blocks: str, total: int, kind: str) ->
 
 def nearest(embeddings: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for rows whose vec_id `every` divides."""
-    e = F.col("embedding")
     single = embeddings.schema["embedding"].dataType.simpleString() == "array<float>"
-    kind = "<f4" if single else "<f8"
-    finite = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), e.cast("array<float>" if single else "array<double>").alias("embedding")).filter(
-        "vec_id is not null and embedding is not null"
-    )
-    rows = rows.filter(finite & F.exists(e, lambda x: x != 0))
-    size = lambda x: F.abs(x.cast("double"))
-    most = F.array_max(F.transform(e, size))
-    norm = most * F.sqrt(F.aggregate(e, F.lit(0.0).cast("double"), lambda s, x: s + (size(x) / most) * (size(x) / most)))
-    rows = rows.withColumns({"length": F.size(e), "class": F.floor(F.log2(norm) * CLASSES + SHIFT), "hash": F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(_HASHES))})
+    kind, array = ("<f4", "array<float>") if single else ("<f8", "array<double>")
+    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(array).alias("embedding"))
+    rows = rows.filter("vec_id is not null and size(embedding) > 0").mapInArrow(lean(_classed), f"vec_id long, embedding {array}, class long")
+    rows = rows.withColumns({"length": F.size("embedding"), "hash": F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(_HASHES))})
     # classes of norms are some ten thousand at most for each length of vectors
     counts = rows.groupBy("length", "class").agg(F.count("*").alias("n")).collect()
     if not counts:
