@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..storage import stored
 
 EVENT_FIELDS = [
     ("type", "string"),
@@ -116,20 +117,24 @@ def chat_events(records: DataFrame) -> DataFrame:
     """records: (task_id, messages array<struct<role, content, tool_calls array<struct<id, arguments>>, tool_call_id>>).
 
     Tool output gives the result of the test that has its call id: the latest call before it; later output wins."""
+    entry = "struct<c:int,call_id:string,arguments:string,output:string>"
+    named = lambda c, call_id, arguments, output: F.struct(c.cast("int").alias("c"), call_id.alias("call_id"), arguments.alias("arguments"), output.alias("output")).cast(entry)
+    none = F.lit(None).cast("string")
     msgs = records.select("task_id", F.posexplode("messages").alias("m", "msg")).select("task_id", "m", "msg.*")
-    calls = msgs.filter("role = 'assistant'").select("task_id", "m", F.posexplode("tool_calls").alias("c", "call"))
-    calls = calls.withColumn("cmd", command_of_arguments(F.col("call.arguments"))).withColumn("kind", X.classify_command(F.col("cmd")))
-    calls = calls.withColumn("call_id", F.coalesce("call.id", F.concat_ws("_", F.lit("call"), "m", "c")))
-    outputs = msgs.filter("role = 'tool'").select(
-        "task_id", F.col("m").alias("om"), F.col("tool_call_id").alias("call_id"), X.flatten_content(F.col("content")).alias("output")
-    )
-    joined = outputs.join(calls.select("task_id", "call_id", "m", "c"), ["task_id", "call_id"]).filter("m < om")
-    latest = joined.groupBy("task_id", "call_id", "om", "output").agg(F.max(F.struct("m", "c")).alias("at"))
-    final = latest.groupBy("task_id", "at.m", "at.c").agg(F.max_by("output", "om").alias("output"))
-    acts = calls.join(final, ["task_id", "m", "c"], "left").withColumn("e", command_event(F.col("kind"), F.col("cmd"), F.col("output")))
-    acts = acts.withColumn("e", F.when(F.col("output").isNull() & (F.col("kind") == "test_run"), event("test_run", command=F.col("cmd"), framework=X.framework(F.col("cmd")))).otherwise(F.col("e")))
-    errors = outputs.filter(X.has_error(F.col("output"))).select("task_id", F.col("om").alias("m"), F.lit(0).alias("c"), error_event(F.col("output")).alias("e"))
-    return numbered(acts.select("task_id", "m", "c", "e").union(errors), "m", "c")
+    calls = F.transform("tool_calls", lambda call, c: named(c, F.coalesce(call["id"], F.concat_ws("_", F.lit("call"), F.col("m").cast("string"), c.cast("string"))), F.coalesce(call["arguments"], F.lit("")), none))
+    output = F.array(named(F.lit(0), F.col("tool_call_id"), none, X.flatten_content(F.col("content"))))
+    df = msgs.select("task_id", "m", F.explode(F.when(F.col("role") == "assistant", calls).when(F.col("role") == "tool", output)).alias("x")).select("task_id", "m", "x.*")
+    # in the order of an id's messages each call opens a run, and the last output of the run is the call's: no join
+    is_call = F.col("arguments").isNotNull()
+    same = Window.partitionBy("task_id", "call_id").orderBy("m", "c")
+    df = df.withColumn("run", F.count_if(is_call).over(same))
+    run = Window.partitionBy("task_id", "call_id", "run").orderBy("m", "c").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    df = df.withColumn("result", F.last("output", True).over(run)).withColumn("cmd", command_of_arguments(F.col("arguments")))
+    kind = X.classify_command(F.col("cmd"))
+    open_test = event("test_run", command=F.col("cmd"), framework=X.framework(F.col("cmd")))
+    act = F.when(F.col("result").isNull() & (kind == "test_run"), open_test).otherwise(command_event(kind, F.col("cmd"), F.col("result")))
+    e = F.when(is_call, act).when(X.has_error(F.col("output")), error_event(F.col("output")))
+    return numbered(df.select("task_id", "m", "c", e.alias("e")).filter("e is not null"), "m", "c")
 
 
 def step_events(records: DataFrame) -> DataFrame:
@@ -290,3 +295,16 @@ def first_accepted(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """One row of each content key: the first accepted in scan order."""
     w = Window.partitionBy(key).orderBy(*order)
     return df.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+
+
+def accept_new(df: DataFrame, path: str, key: str, order: list[str], accepted: Column) -> DataFrame:
+    """The rows that a run accepts: of each content key the first for which `accepted` holds, unless an earlier run has accepted it.
+    Their keys are appended to the table at path, by the first character of the key; rows that were rejected are judged again."""
+    spark = df.sparkSession
+    schema = f"{key} {df.schema[key].dataType.simpleString()}, head string"
+    spark.createDataFrame([], schema).write.mode("append").partitionBy("head").parquet(path)
+    known = spark.read.schema(schema).parquet(path)
+    fresh = df.filter(accepted).withColumn("head", F.substring(F.col(key).cast("string"), 1, 1))
+    out = stored(first_accepted(fresh.join(known, ["head", key], "left_anti"), key, order), "accepted")
+    out.select(key, "head").write.mode("append").partitionBy("head").parquet(path)
+    return out.select(*df.columns)

@@ -132,16 +132,26 @@ def pairs(scored_rows: DataFrame) -> DataFrame:
     """Real and shuffled results aligned on (base chain, model, seed), every shuffle a pair; side: both, real_only, shuffled_only
     (a result that one shuffle lacks is real_only for that shuffle; a chain without shuffles is real_only once, without seed).
     Shuffles of bases without a real chain are left out."""
-    real, other = split_sides(scored_rows)
     cols = ["l1", "actionable", "gt_type", "optimality", "coupled", "source", "temperature"]
     cols = [c for c in cols if c in scored_rows.columns]
-    other = other.join(real.select("base_id").distinct(), "base_id", "left_semi").withColumn("variant", F.col("chain_id"))
-    variants = other.select("base_id", "variant", F.col("shuffle_seed").alias("__seed")).distinct()
-    a = real.select("base_id", "model", "seed", F.lit(True).alias("__a"), *[F.col(c).alias(f"real_{c}") for c in cols]).join(variants, "base_id", "left")
-    b = other.select("base_id", "model", "seed", "variant", "shuffle_seed", F.lit(True).alias("__b"), *[F.col(c).alias(f"shuffled_{c}") for c in cols])
-    df = a.join(b, ["base_id", "variant", "model", "seed"], "full_outer").withColumn("shuffle_seed", F.coalesce("shuffle_seed", "__seed"))
-    side = F.when(F.col("__a") & F.col("__b"), "both").when(F.col("__a"), "real_only").otherwise("shuffled_only")
-    return df.withColumn("side", side).drop("__a", "__b", "__seed", "variant")
+    df = scored_rows.select("chain_id", "model", "seed", "query_id", base_id().alias("base_id"), shuffle_seed().alias("shuffle_seed"), *cols)
+    # all that follows is by base: one exchange
+    df = df.repartition(int(scored_rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "base_id")
+    newest = Window.partitionBy("base_id", "chain_id", "model", "seed").orderBy(F.desc("query_id"))
+    df = df.withColumn("__n", F.row_number().over(newest)).filter("__n = 1")
+    base = Window.partitionBy("base_id")
+    variant = F.when(F.col("shuffle_seed").isNotNull(), F.struct("chain_id", "shuffle_seed"))
+    df = df.withColumns({"__all": F.collect_set(variant).over(base), "__real": F.bool_or(variant.isNull()).over(base)}).filter("__real")
+    # a real result goes to every shuffle of its base (to none once, if there is none), a shuffled one to its own
+    none = F.array(F.lit(None).cast("struct<chain_id:string,shuffle_seed:int>"))
+    goes = F.when(variant.isNotNull(), F.array(variant)).when(F.size("__all") > 0, F.col("__all")).otherwise(none)
+    values = F.struct(*cols)
+    df = df.select("base_id", "model", "seed", F.explode(goes).alias("v"), F.when(variant.isNull(), values).alias("a"), F.when(variant.isNotNull(), values).alias("b"))
+    df = df.select("base_id", "model", "seed", F.col("v.chain_id").alias("variant"), F.col("v.shuffle_seed").alias("shuffle_seed"), "a", "b")
+    df = df.groupBy("base_id", "model", "seed", "variant").agg(F.max("shuffle_seed").alias("shuffle_seed"), F.first("a", True).alias("a"), F.first("b", True).alias("b"))
+    side = F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), "both").when(F.col("a").isNotNull(), "real_only").otherwise("shuffled_only")
+    sides = [F.col(f"{s}.{c}").alias(f"{name}_{c}") for s, name in (("a", "real"), ("b", "shuffled")) for c in cols]
+    return df.select("base_id", "model", "seed", "shuffle_seed", *sides, side.alias("side"))
 
 
 def unpaired_bases(scored_rows: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats as P
-from ..functions.ordering import running_total
+from ..functions.ordering import medians, running_total
 from .refdist import with_shares
 
 
@@ -72,10 +72,9 @@ def key_entropy(dist: DataFrame) -> DataFrame:
 
 
 def entropy_summary(dist: DataFrame) -> DataFrame:
-    e = F.col("entropy")
-    return key_entropy(dist).groupBy("source").agg(
-        F.count("*").alias("keys"), F.avg(e).alias("mean"), F.median(e).alias("median"), F.stddev_pop(e).alias("std"), F.min(e).alias("min"), F.max(e).alias("max")
-    )
+    e, keys = F.col("entropy"), key_entropy(dist)
+    whole = keys.groupBy("source").agg(F.count("*").alias("keys"), F.avg(e).alias("mean"), F.stddev_pop(e).alias("std"), F.min(e).alias("min"), F.max(e).alias("max"))
+    return whole.join(medians(keys, "source", e, "median"), "source").select("source", "keys", "mean", "median", "std", "min", "max")
 
 
 def concentration(dist: DataFrame) -> DataFrame:
@@ -84,7 +83,8 @@ def concentration(dist: DataFrame) -> DataFrame:
     df = key_entropy(dist)
     about = F.col("best").contains("test") | F.col("best").contains("command")
     df = df.withColumn("about", about).withColumn("any", F.bool_or("about").over(Window.partitionBy("source"))).filter("about or not any")
-    return df.groupBy("source").agg(F.count("*").alias("n_signatures"), F.avg("top3").alias("mean_top3"), F.median("top3").alias("median_top3"))
+    whole = df.groupBy("source").agg(F.count("*").alias("n_signatures"), F.avg("top3").alias("mean_top3"))
+    return whole.join(medians(df, "source", F.col("top3"), "median_top3"), "source")
 
 
 def gap_interval(df: DataFrame, z: float = 1.96) -> DataFrame:

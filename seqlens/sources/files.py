@@ -2,14 +2,30 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..storage import file_system, stored
 from ..schemas import CHAIN, CONSTRAINT, CONSTRAINT_TYPES, RESPONSE, TRAJECTORY
 
 
+def has_files(spark: SparkSession, path: str, *endings: str) -> bool:
+    """Whether path is or holds a file of these endings; looks no further than the first."""
+    system, place = file_system(spark, path)
+    found = system.listFiles(place, True) if system.exists(place) else None
+    while found and found.hasNext():
+        if found.next().getPath().getName().endswith(endings):
+            return True
+    return False
+
+
 def scan_records(spark: SparkSession, path: str, unwrap: bool = True) -> DataFrame:
     """(file, pos, record as JSON text): lines of *.jsonl; of *.json the items of a list, or of "samples", or the object itself."""
+    if not has_files(spark, path, ".jsonl", ".json"):
+        raise FileNotFoundError(f"no *.jsonl or *.json in {path}")
     name = F.col("_metadata.file_path")
     lines = spark.read.option("pathGlobFilter", "*.jsonl").text(path).select(name.alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("pos"), "value")
     lines = lines.filter(F.trim("value") != "").select("file", "pos", F.col("value").alias("record"))
@@ -20,7 +36,12 @@ def scan_records(spark: SparkSession, path: str, unwrap: bool = True) -> DataFra
 
 
 def read_trajectories(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(records, rejected lines); blank lines are neither."""
+    """(records, rejected lines); blank lines are neither. A missing file gives none of both, and a warning."""
+    system, place = file_system(spark, path)
+    if not system.exists(place):
+        warnings.warn(f"{path} is missing", stacklevel=2)
+        records = T.StructType([f for f in T.StructType.fromDDL(TRAJECTORY).fields if f.name != "_corrupt_record"])
+        return spark.createDataFrame([], records), spark.createDataFrame([], "line string")
     lines = spark.read.text(path).filter(F.trim("value") != "")
     df = lines.select("value", F.from_json("value", TRAJECTORY, {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"))
     bad = F.col("r._corrupt_record").isNotNull()
@@ -68,10 +89,25 @@ def constraint_of_json(json: Column) -> Column:
     return F.when(c["type"].isin(*CONSTRAINT_TYPES), c).otherwise(F.raise_error(F.concat(F.lit("Unknown constraint: "), json)).cast(CONSTRAINT))
 
 
+#: Parts of a condition's chains, by a hash of the id.
+PARTS = 16
+
+
 def write_chains(chains: DataFrame, path: str) -> None:
-    """Partitioned by source and condition rather than a file a chain."""
+    """Merged by chain_id into what is at path: the same id replaces, others stay. Partitioned by source, condition and a hash of the
+    id rather than a file a chain; only partitions that get chains are read and written."""
+    spark = chains.sparkSession
     condition = F.when(F.col("chain_id").contains("_shuffled_"), "shuffled").otherwise("real")
-    chains.withColumn("condition", condition).write.mode("overwrite").partitionBy("source", "condition").parquet(path)
+    place = ["source", "condition", "part"]
+    new = chains.dropDuplicates(["chain_id"]).withColumns({"condition": condition, "part": F.pmod(F.xxhash64("chain_id"), F.lit(PARTS)).cast("int")})
+    system, folder = file_system(spark, path)
+    if system.exists(folder):
+        new = stored(new, "new-chains")
+        old = spark.read.schema(new.schema).parquet(path)
+        touched = old.join(F.broadcast(new.select(*place).distinct()), place, "left_semi")  # PARTS rows a source and condition at most
+        kept = touched.join(new.select("chain_id"), "chain_id", "left_anti")
+        new = stored(new.unionByName(kept), "merged-chains")  # what is overwritten is read before
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*place).parquet(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -99,8 +135,6 @@ def decoded_blob(content: Column) -> Column:
 
 def results_status(spark: SparkSession, path: str) -> DataFrame:
     """(status, files): complete where there are result files with content below path."""
-    from ..storage import file_system
-
     system, top = file_system(spark, path)
     files = 0
     if system.exists(top):
