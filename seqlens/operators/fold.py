@@ -248,16 +248,17 @@ def _read(table: pa.Table) -> Iterator[tuple]:
 
 
 def summarise(part: pa.Table) -> pa.Table:
-    """One row (task_id, part, SUMMARY_FIELDS) of a part's events."""
-    s = summary(_read(part.sort_by("step")))
-    row = part.slice(0, 1).select(["task_id", "part"])
+    """One row (task_id, part, first_step, SUMMARY_FIELDS) of a part's events."""
+    part = part.sort_by("step")
+    s = summary(_read(part))
+    row = part.slice(0, 1).select(["task_id", "part"]).append_column("first_step", part["step"].slice(0, 1).cast(pa.int64()))
     for name, kind in _columns(SUMMARY_FIELDS):
         row = row.append_column(name, pa.array([getattr(s, name)], kind))
     return row
 
 
 def starts(parts: pa.Table) -> pa.Table:
-    """(task_id, part, START_FIELDS): the state with which each part but the first starts, from a trajectory's summaries. Of the
+    """(task_id, part, first_step, START_FIELDS): the state with which each part but the first starts, from a trajectory's summaries. Of the
     names used before, a part is told those it uses itself."""
     parts = parts.sort_by("part")
     rows = [Summary(**{n: r[n] for n, _ in _columns(SUMMARY_FIELDS)}) for r in parts.to_pylist()]
@@ -267,18 +268,19 @@ def starts(parts: pa.Table) -> pa.Table:
         own = [f for f in s.files if f and f in state.files]
         values = {"names": own, "numbers": [state.files[f] for f in own], "commands": list(state.commands), "error_names": list(state.error_names)}
         out.append([values.get(n, getattr(state, n, None)) for n, _ in _columns(START_FIELDS)])
-    table = parts.slice(1).select(["task_id", "part"])
+    table = parts.slice(1).select(["task_id", "part", "first_step"])
     for i, (name, kind) in enumerate(_columns(START_FIELDS)):
         table = table.append_column(name, pa.array([r[i] for r in out], kind))
     return table
 
 
-def walked(part: pa.Table, start: pa.Table) -> pa.Table:
-    """The part's events with ADDED, from its start (none: the trajectory's beginning)."""
+def walked(part: pa.Table) -> pa.Table:
+    """The part's events with ADDED, from the start that stands beside the first (none: the trajectory's beginning)."""
     part = part.sort_by("step")
+    row = part["start"][0].as_py()
+    part = part.drop_columns(["start"])
     state = State()
-    if start.num_rows:
-        row = start.to_pylist()[0]
+    if row:
         state = State(**{n: row[n] for n, _ in _columns(START_FIELDS) if n not in ("names", "numbers", "commands", "error_names")})
         state.files = dict(zip(row["names"], row["numbers"], strict=True))
         state.commands, state.error_names = ({n: i for i, n in enumerate(row[c])} for c in ("commands", "error_names"))

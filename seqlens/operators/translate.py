@@ -69,17 +69,24 @@ def part_starts(df: DataFrame) -> DataFrame:
     several = df.filter(F.col("step") >= PART).select("task_id").distinct()
     cut = df.join(several, "task_id", "left_semi")
     id_type = df.schema["task_id"].dataType.simpleString()
-    summaries = cut.groupBy("task_id", "part").applyInArrow(fold.summarise, f"task_id {id_type}, part long, {fold.SUMMARY_FIELDS}")
-    return summaries.groupBy("task_id").applyInArrow(fold.starts, f"task_id {id_type}, part long, {fold.START_FIELDS}")
+    summaries = cut.groupBy("task_id", "part").applyInArrow(fold.summarise, f"task_id {id_type}, part long, first_step long, {fold.SUMMARY_FIELDS}")
+    return summaries.groupBy("task_id").applyInArrow(fold.starts, f"task_id {id_type}, part long, first_step long, {fold.START_FIELDS}")
 
 
 def folded(events: DataFrame) -> DataFrame:
     """Events with seq and place (of their first constraint), label (of files and errors), cmd_label, the phase left and entered,
     whether a file was edited before, u, amount (context left), context_runs_out (first time below a fifth), patience, odd_error."""
     df = readable(events)
+    # a start stands beside its part's first event; where no trajectory is long, the join goes once Spark sees that there are none
+    starts = part_starts(df)
+    starts = starts.select(
+        F.col("task_id").alias("__task"), F.col("part").alias("__part"), F.col("first_step").alias("__step"),
+        F.struct(*[c for c in starts.columns if c not in ("task_id", "part", "first_step")]).alias("start"),
+    )
+    first = (F.col("task_id") == F.col("__task")) & (F.col("part") == F.col("__part")) & (F.col("step") - F.col("__step") == 0)
+    both = df.join(starts, first, "left").select(*df.columns, "start")
     schema = T.StructType([*df.schema.fields, *T.StructType.fromDDL(fold.ADDED).fields])
-    both = df.groupBy("task_id", "part").cogroup(part_starts(df).groupBy("task_id", "part"))
-    return worked_out(both.applyInArrow(fold.walked, schema))
+    return worked_out(both.groupBy("task_id", "part").applyInArrow(fold.walked, schema))
 
 
 def worked_out(walked: DataFrame) -> DataFrame:

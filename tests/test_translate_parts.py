@@ -27,7 +27,7 @@ def restarted(state, part):
     """The state as it reaches a part: through Arrow, with the names the part uses alone."""
     import pyarrow as pa
 
-    columns = {"task_id": [1, 1], "part": [0, 1]}
+    columns = {"task_id": [1, 1], "part": [0, 1], "first_step": [0, 60]}
     table = pa.table({k: pa.array(v, pa.int64()) for k, v in columns.items()})
     summaries = [fold.summary(iter(state)), fold.summary(iter(part))]
     for name, kind in fold._columns(fold.SUMMARY_FIELDS):
@@ -72,7 +72,8 @@ def test_a_start_row_holds_what_a_part_needs():
     events = [read(e) for e in made(1, 120, 3)]
     row = restarted(events[:60], events[60:])
     part = pa.table({"step": pa.array(range(60), pa.int32()), **{c: pa.array(v, pa.string() if i < 5 else pa.int64()) for i, (c, v) in enumerate(zip(fold.READS, zip(*events[60:], strict=True), strict=True))}})
-    got = fold.walked(part, row)
+    start = pa.StructArray.from_arrays([row[n].combine_chunks() for n, _ in fold._columns(fold.START_FIELDS)], names=[n for n, _ in fold._columns(fold.START_FIELDS)])
+    got = fold.walked(part.append_column("start", start.take(pa.array([0] * part.num_rows))))
     whole = list(fold.walk(fold.State(), iter(events)))
     assert [tuple(r[n.split()[0]] for n in fold.ADDED.split(", ")) for r in got.to_pylist()] == whole[60:]
 
