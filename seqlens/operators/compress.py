@@ -105,11 +105,37 @@ def compress(df: DataFrame, source: str) -> DataFrame:
     return COMPRESSORS[source](df)
 
 
-def compression_log(df: DataFrame) -> DataFrame:
-    """What terminal compression drops and why: (task_id, step, reason, line)."""
-    first = df.withColumn("reason", F.when(~keep_noops(), "no_op"))
-    kept = first.filter("reason is null").drop("reason")
-    second = kept.withColumn("reason", F.when(repeats("bash_call", command()), "repeated_command"))
-    third = second.filter("reason is null").drop("reason").withColumn("reason", F.when(repeats("file_read", path(), False), "repeated_read"))
-    dropped = first.filter("reason is not null").unionByName(second.filter("reason is not null")).unionByName(third.filter("reason is not null"))
-    return dropped.select("task_id", "step", "reason", F.format_string("[tb] step %d: %s", "step", "reason").alias("line"))
+def compression_log(df: DataFrame, source: str = "tb") -> DataFrame:
+    """What compression drops, merges or shortens and why: (task_id, step, reason, line)."""
+    if source not in LOGGED:
+        raise ValueError(f"Unknown source: {source}")
+    return LOGGED[source](df).select("task_id", "step", "reason", F.format_string(f"[{source}] step %d: %s", "step", "reason").alias("line"))
+
+
+def _steps(df: DataFrame, *steps: tuple[str, Column]) -> DataFrame:
+    """The rows that each step drops from what those before have left, with its reason."""
+    out = None
+    for reason, dropped in steps:
+        df = df.withColumn("__gone", dropped)
+        gone = df.filter("__gone").select("task_id", "step", F.lit(reason).alias("reason"))
+        out, df = gone if out is None else out.unionByName(gone), df.filter("not __gone").drop("__gone")
+    return out
+
+
+def _terminal_log(df: DataFrame) -> DataFrame:
+    return _steps(df, ("no_op", ~keep_noops()), ("repeated_command", repeats("bash_call", command())), ("repeated_read", repeats("file_read", path(), False)))
+
+
+def _patch_log(df: DataFrame) -> DataFrame:
+    short = read_bursts(df)
+    long = (F.col("type") == "error_reveal") & (F.length("message") > MESSAGE)
+    reason = F.when(F.col("burst_size").isNotNull(), "read_burst").when(repeats("bash_call", command()), "retry").when(long, "short_message")
+    return short.withColumn("reason", reason).filter("reason is not null")
+
+
+def _human_log(df: DataFrame) -> DataFrame:
+    again = repeats("task_transition", F.coalesce("reason", F.lit("")))
+    return _steps(df, ("repeated_transition", again), ("merged_edit", repeats("file_edit", path(), empty_too=False)))
+
+
+LOGGED: dict[str, Callable[[DataFrame], DataFrame]] = {"tb": _terminal_log, "swe": _patch_log, "human": _human_log}

@@ -103,6 +103,19 @@ def compression_log_counts(spark, d):
     return C.compression_log(events(spark, d)).groupBy("reason").agg(F.count("*").alias("n"))
 
 
+@query("compression_log_sources", Q.sql(Q.EV, """select 'swe' as source, 'read_burst' as reason, count(*) as n from (select count(*) as n from (
+      select *, row_number() over (partition by task_id order by step) - row_number() over (partition by task_id, type = 'file_read' order by step) as run from ev)
+      where type = 'file_read' group by task_id, run having count(*) >= 3)
+    union all select 'swe', 'retry', count(*) from (select type = 'bash_call' and lag(type) over w = 'bash_call' and lag(command) over w = command as same from ev
+      window w as (partition by task_id order by step)) where same
+    union all select 'human', 'merged_edit', count(*) from (select type = 'file_edit' and lag(type) over w = 'file_edit' and lag(path) over w = path as same from ev
+      window w as (partition by task_id order by step)) where same"""))
+def compression_log_sources(spark, d):
+    """What the other two sources' compression logs."""
+    out = [C.compression_log(events(spark, d), s).groupBy("reason").agg(F.count("*").alias("n")).select(F.lit(s).alias("source"), "reason", "n") for s in ("swe", "human")]
+    return out[0].unionByName(out[1])
+
+
 # --- translation ----------------------------------------------------------------------------------------------------------
 
 

@@ -142,3 +142,19 @@ def test_what_later_runs_accept(spark, tmp_path):
     assert take(df) == []  # the same files once more
     assert take(df.withColumn("size", F.lit(900))) == [("ab", 3)]  # what was rejected is judged again
     assert take(df.limit(0)) == []
+
+
+def test_compression_logs(spark):
+    from seqlens.operators import compress as C
+    from tests.test_sequences import SCHEMA
+
+    rows = [("file_read", "a", None), ("file_read", "b", None), ("file_read", "c", None), ("bash_call", None, "x"), ("bash_call", None, " x "), ("error_reveal", None, None), ("file_edit", "p", None), ("file_edit", "p", None)]
+    rows = [(1, i, k, c, p, None, None, "m" * 121, None, None, None, None, None) for i, (k, p, c) in enumerate(rows)]
+    rows += [(1, 8 + i, "task_transition", None, None, None, None, None, "why", None, None, None, None) for i in range(2)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    log = lambda s: [r.line for r in C.compression_log(df, s).orderBy("step").collect()]
+    assert log("swe") == ["[swe] step 0: read_burst", "[swe] step 4: retry", "[swe] step 5: short_message"]
+    assert log("human") == ["[human] step 7: merged_edit", "[human] step 9: repeated_transition"]
+    assert log("tb") == ["[tb] step 4: repeated_command"]
+    with pytest.raises(ValueError, match="Unknown source"):
+        C.compression_log(df, "other")
