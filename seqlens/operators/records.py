@@ -125,3 +125,16 @@ def gate(counts: DataFrame, least: int) -> None:
     got = counts.first()[0]
     if got < least:
         raise ValueError(f"gate not passed: {got} of {least}")
+
+
+def gates(counts: DataFrame, least: dict[str, int]) -> DataFrame:
+    """(gate, got, least, passed) of the numbers in the one row of `counts`; a number that is missing counts as none."""
+    each = [F.struct(F.lit(g).alias("gate"), F.coalesce(F.col(g).cast("bigint"), F.lit(0)).alias("got"), F.lit(n).cast("bigint").alias("least")) for g, n in least.items()]
+    return counts.select(F.explode(F.array(*each)).alias("g")).select("g.*", (F.col("g.got") >= F.col("g.least")).alias("passed"))
+
+
+def with_licence(df: DataFrame, known: DataFrame, repo: str = "repo") -> DataFrame:
+    """df with the licence that the table of earlier look-ups (repo, licence) has for its repository, null where it has none; of
+    several entries of a repository the least counts."""
+    memo = known.groupBy(repo).agg(F.min("licence").alias("licence"))
+    return df.join(memo, repo, "left")

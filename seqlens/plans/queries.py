@@ -11,6 +11,7 @@ from ..functions import text as X
 from ..operators import chains as H
 from ..operators import compress as C
 from ..operators import parse as P
+from ..operators import records
 from ..operators import refdist as D
 from ..operators import score as S
 from ..operators import translate as T
@@ -173,6 +174,17 @@ def admission_reasons(spark, d):
     return reasons.groupBy("reason").agg(F.count("*").alias("n"))
 
 
+_GATES = {"trajectories": 100, "chains": 50, "real_events": 10**9}
+
+
+@query("gates", Q.sql(Q.VALID, """select gate, got, least, got >= least as passed from (select count(*) as t, count(*) filter (where valid) as c, cast(coalesce(sum(n), 0) as bigint) as e from val)
+    cross join lateral (values ('trajectories', t, 100), ('chains', c, 50), ('real_events', e, 1000000000)) x(gate, got, least)"""))
+def gates(spark, d):
+    """Whether trajectories, valid chains and constraints reach their targets."""
+    counts = H.validity(_kept(spark, d)).agg(F.count("*").alias("trajectories"), F.count_if("valid").alias("chains"), F.sum("n").alias("real_events"))
+    return records.gates(counts, _GATES)
+
+
 _PERM = ", ".join(f"({n}, {s}, {H.permutation(n, s)})" for n in range(H.LEAST, H.MOST + 1) for s in H.SEEDS)
 
 

@@ -323,7 +323,16 @@ def licence_list(spark, d):
     """Licences are looked up for each document's repository by a join with a small table, as a memo would."""
     docs = table(spark, d, "documents").select("doc_id", (F.col("doc_id") % len(E.LICENCES)).cast("int").alias("repo"))
     memo = spark.createDataFrame([(i, r[0]) for i, r in enumerate(E.LICENCES)], "repo int, licence string")
-    return docs.join(F.broadcast(memo), "repo").select("doc_id", "licence").withColumn("ok", X.licence_ok(F.col("licence")))
+    return R.with_licence(docs, memo).select("doc_id", "licence").withColumn("ok", X.licence_ok(F.col("licence")))
+
+
+@query("licence_lookup", """select l.l_orderkey as order_id, l.l_linenumber as line, p.p_type as licence from lineitem l
+    left join (select p_partkey, min(p_type) as p_type from part where p_size > 10 group by p_partkey) p on p.p_partkey = l.l_partkey""")
+def licence_lookup(spark, d):
+    """Every line item's part as its repository, looked up among the parts met before (those over size 10)."""
+    known = table(spark, d, "part").filter("p_size > 10").select(F.col("p_partkey").alias("repo"), F.col("p_type").alias("licence"))
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("repo"))
+    return R.with_licence(lines, known).select("order_id", "line", "licence")
 
 
 @query("vocabulary_leaks", f"with {E.values('x', 'text, terms', E.LEAKS)} select doc_id, terms from documents join x on i = doc_id % {len(E.LEAKS)}")
