@@ -31,7 +31,7 @@ BITS = 1 << 28
 #: Bits for each frequent phrase in smaller tables.
 SPARSE = 32
 #: Bytes of text that are worked on together; a longer piece stays whole.
-WINDOW = 8 << 20
+WINDOW = 3 << 20
 LONGEST = 4
 
 # The characters between pieces, [.,;:!?\x0A-\x0D], and those between words, [\x20\x09].
