@@ -78,6 +78,18 @@ def test_layers(spark):
     assert len({r.custom_id for r in J.evaluation_matrix(rows.select("chain_id").distinct(), ["a", "b"]).collect()}) == 12
 
 
+@pytest.mark.parametrize("counts, want", [((64, 27, 3, 1, 1), 8438), ((1, 57, 743, 0, 0), 712)])
+def test_optimality_from_counts(spark, counts, want):
+    """27 of 32 is a tie at the fourth place, which summed shares miss; 57 of 800 is just below one once it is multiplied."""
+    rows = constraints(spark, [("c", i, d) for i, d in enumerate(CHAIN)])
+    key = D.with_levels(D.signatures(rows)).filter("idx = 6 and level = 0").first().key
+    seen = [("tb", 0, key, e, n, ("c", i)) for i, (e, n) in enumerate(zip(("command_2", "file_a", "x", "y", "z"), counts, strict=True)) if n]
+    dist = spark.createDataFrame(seen, "source string, level int, key string, entity string, cnt bigint, first_seen struct<chain_id:string,idx:int>")
+    said = spark.createDataFrame([("q", "c", "m", 42, 0.0, 6, "open file_A")], "query_id string, chain_id string, model string, seed int, temperature double, cutoff_k int, response string")
+    got = J.scored(said, rows, dist).select(*[F.round(F.col(c) * 10_000).cast("bigint") for c in ("optimality", "coupled")]).first()
+    assert tuple(got) == (want, want)
+
+
 def test_tiers(spark):
     cases = [(-0.02, 0.5, "reversed"), (0.01, 0.5, "null"), (0.09, 0.001, "strong_positive"), (0.06, 0.04, "moderate_positive"), (0.03, 0.2, "weak_mixed")]
     df = spark.createDataFrame([(g, p) for g, p, _ in cases], "gap double, p_value double")
