@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import drop_at_exit, shared_dir
+from ..storage import drop_at_exit, shared_dir, stored
 from ..streaming import events as E
 from .adapters import table, user_events
 
@@ -96,10 +96,7 @@ def stream_translation(spark, d):
     from ..streaming.translation import folded_stream
 
     def adapt(rows):
-        number = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-        return user_events(rows).join(
-            rows.select(F.col("user_id").alias("task_id"), (number - 1).alias("step"), "ts"), ["task_id", "step"]
-        )
+        return stored(user_events(rows, "ts"), "translation-events")  # numbered once for all three parts
 
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     work = lambda events: folded_stream(events, late=LATE, idle_ms=90 * 86_400_000)

@@ -61,3 +61,10 @@ def test_stream_against_batch(spark, arrivals, tmp_path):
     assert ends == {0: (38, 2), 1: (38, 2), 2: (40, 0), 3: (40, 0)}
     rows = [p["stateOperators"][0] for p in query.recentProgress if p["stateOperators"]]
     assert rows and rows[-1]["customMetrics"].get("rocksdbNumKeys", 0) is not None
+
+
+def test_one_timer_a_trajectory(spark, arrivals, tmp_path):
+    """Calls to the state store grow with trajectories and batches, not with events."""
+    _, query = run(spark, arrivals[0], tmp_path)
+    timers = [p["stateOperators"][0]["customMetrics"].get("numRegisteredTimers", 0) for p in query.recentProgress if p["stateOperators"]]
+    assert timers and max(timers) <= 5
