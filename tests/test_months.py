@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__
 
 
-@pytest.mark.parametrize("name", ["months"])
+@pytest.mark.parametrize("name", ["months", "search_months"])
 @pytest.mark.parametrize("days", [[(2023, 11, 30), (2024, 2, 1), (2024, 2, 9)], []])
 def test_months_of_orders(spark, tmp_path, name, days):
     rows = [(i, dt.datetime(*x)) for i, x in enumerate(days)]
