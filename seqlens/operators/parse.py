@@ -40,20 +40,6 @@ def event(kind: str | Column, **fields: Column) -> Column:
     return F.struct(*[values.get(n, F.lit(None)).cast(t).alias(n) for n, t in EVENT_FIELDS])
 
 
-def command_event(kind: Column, cmd: Column, output: Column) -> Column:
-    """The event of a classified command; tests read their result from the output."""
-    test, read, edit = kind == "test_run", kind == "file_read", kind == "file_edit"
-    return event(
-        kind,
-        command=cmd,
-        path=F.when(read | edit, X.file_path(cmd)),
-        operation=F.when(edit, "modify"),
-        framework=F.when(test, X.framework(cmd)),
-        outcome=F.when(test, X.test_outcome(output)),
-        tests_run=F.when(test, X.test_count(output)),
-    )
-
-
 def error_event(output: Column, source: str | None = None) -> Column:
     return event("error_reveal", error_type=X.error_class(output), message=F.substring(output, 1, 300), event_source=F.lit(source))
 
@@ -64,6 +50,47 @@ def numbered(made: DataFrame, *order: str) -> DataFrame:
     return made.filter("e is not null").select("task_id", step.cast("int").alias("step"), "e.*")
 
 
+def acts_to_events(acts: DataFrame, most: int = 200_000) -> DataFrame:
+    """acts (task_id, i, j, patch, cmd, out, shown, tokens), in the order of i and j, to events with dense steps.
+
+    A command is classified (patch: with editors' commands; shown: its output shows a test's result) and tests read their result
+    from `out`, if it is not null. A row without a command is an error that `out` shows or, with tokens, a context update.
+    Rows are numbered first, so that sorts carry no events, and all formats share one classification."""
+    step = F.row_number().over(Window.partitionBy("task_id").orderBy("i", "j")) - 1
+    df = acts.select("task_id", step.cast("int").alias("step"), "patch", "cmd", "out", "shown", "tokens")
+    cmd, out, kind = F.col("cmd"), F.col("out"), F.col("kind")
+    df = df.withColumn("kind", F.when(F.col("patch") & X.is_patch_edit(cmd), "file_edit").otherwise(X.classify_command(cmd)))
+    tested = F.col("shown") & kind.isin("bash_call", "file_read")
+    kind = F.when(F.col("tokens").isNotNull(), "context_update").when(cmd.isNull(), "error_reveal").when(tested, "test_run").otherwise(kind)
+    df = df.withColumn("type", kind)
+    kind = F.col("type")
+    test, read, edit, error = kind == "test_run", kind == "file_read", kind == "file_edit", kind == "error_reveal"
+    values = {
+        "type": kind,
+        "command": cmd,
+        "path": F.when(read | edit, X.file_path(cmd)),
+        "operation": F.when(edit, "modify"),
+        "framework": F.when(test, X.framework(cmd)),
+        "outcome": F.when(test & out.isNotNull(), X.test_outcome(out)),
+        "tests_run": F.when(test, X.test_count(out)),
+        "error_type": F.when(error, X.error_class(out)),
+        "message": F.when(error, F.substring(out, 1, 300)),
+        "tokens_used": F.col("tokens"),
+        "tokens_max": F.when(F.col("tokens").isNotNull(), F.lit(most)),
+    }
+    return df.select("task_id", "step", *[values.get(n, F.lit(None)).cast(t).alias(n) for n, t in EVENT_FIELDS])
+
+
+def act(j: Column | int = 0, patch: bool = False, cmd: Column | None = None, out: Column | None = None, shown: Column | None = None, tokens: Column | None = None) -> list[Column]:
+    """The columns of an act but its record and turn."""
+    none, j = F.lit(None), F.lit(j) if isinstance(j, int) else j
+    text = lambda c: (none if c is None else c).cast("string")
+    return [
+        j.cast("int").alias("j"), F.lit(patch).alias("patch"), text(cmd).alias("cmd"), text(out).alias("out"),
+        F.coalesce(none.cast("boolean") if shown is None else shown, F.lit(False)).alias("shown"), (none if tokens is None else tokens).cast("bigint").alias("tokens"),
+    ]
+
+
 # --- format predicates and outcomes ---------------------------------------------------------------------------------------
 
 
@@ -114,40 +141,50 @@ def command_of_arguments(arguments: Column) -> Column:
 
 
 def chat_events(records: DataFrame) -> DataFrame:
-    """records: (task_id, messages array<struct<role, content, tool_calls array<struct<id, arguments>>, tool_call_id>>).
+    """records: (task_id, messages array<struct<role, content, tool_calls array<struct<id, arguments>>, tool_call_id>>)."""
+    turns = records.select("task_id", F.posexplode("messages").alias("i", "x")).select(
+        "task_id", "i", "x.role", F.col("x.content").alias("text"), F.col("x.tool_calls").alias("calls"), F.col("x.tool_call_id").alias("call_id"), F.lit(None).cast("bigint").alias("tokens")
+    )
+    return acts_to_events(chat_acts(turns))
+
+
+def chat_acts(turns: DataFrame) -> DataFrame:
+    """turns (task_id, i, role, text, calls array<struct<id, arguments>>, call_id, tokens) to acts.
 
     Tool output gives the result of the test that has its call id: the latest call before it; later output wins."""
-    entry = "struct<c:int,call_id:string,arguments:string,output:string>"
-    named = lambda c, call_id, arguments, output: F.struct(c.cast("int").alias("c"), call_id.alias("call_id"), arguments.alias("arguments"), output.alias("output")).cast(entry)
+    entry = "struct<j:int,call_id:string,arguments:string,output:string>"
+    named = lambda j, call_id, arguments, output: F.struct(j.cast("int").alias("j"), call_id.alias("call_id"), arguments.alias("arguments"), output.alias("output")).cast(entry)
     none = F.lit(None).cast("string")
-    msgs = records.select("task_id", F.posexplode("messages").alias("m", "msg")).select("task_id", "m", "msg.*")
-    calls = F.transform("tool_calls", lambda call, c: named(c, F.coalesce(call["id"], F.concat_ws("_", F.lit("call"), F.col("m").cast("string"), c.cast("string"))), F.coalesce(call["arguments"], F.lit("")), none))
-    output = F.array(named(F.lit(0), F.col("tool_call_id"), none, X.flatten_content(F.col("content"))))
-    df = msgs.select("task_id", "m", F.explode(F.when(F.col("role") == "assistant", calls).when(F.col("role") == "tool", output)).alias("x")).select("task_id", "m", "x.*")
+    calls = F.transform("calls", lambda call, c: named(c, F.coalesce(call["id"], F.concat_ws("_", F.lit("call"), F.col("i").cast("string"), c.cast("string"))), F.coalesce(call["arguments"], F.lit("")), none))
+    output = F.array(named(F.lit(0), F.col("call_id"), none, X.flatten_content(F.col("text"))))
+    used = F.array(named(F.lit(0), none, none, none))
+    each = F.when(F.col("tokens").isNotNull(), used).when(F.col("role") == "assistant", calls).when(F.col("role") == "tool", output)
+    df = turns.select("task_id", "i", "tokens", F.explode(each).alias("x")).select("task_id", "i", "tokens", "x.*")
     # in the order of an id's messages each call opens a run, and the last output of the run is the call's: no join
     is_call = F.col("arguments").isNotNull()
-    same = Window.partitionBy("task_id", "call_id").orderBy("m", "c")
+    same = Window.partitionBy("task_id", "call_id").orderBy("i", "j")
     df = df.withColumn("run", F.count_if(is_call).over(same))
-    run = Window.partitionBy("task_id", "call_id", "run").orderBy("m", "c").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    df = df.withColumn("result", F.last("output", True).over(run)).withColumn("cmd", command_of_arguments(F.col("arguments")))
-    kind = X.classify_command(F.col("cmd"))
-    open_test = event("test_run", command=F.col("cmd"), framework=X.framework(F.col("cmd")))
-    act = F.when(F.col("result").isNull() & (kind == "test_run"), open_test).otherwise(command_event(kind, F.col("cmd"), F.col("result")))
-    e = F.when(is_call, act).when(X.has_error(F.col("output")), error_event(F.col("output")))
-    return numbered(df.select("task_id", "m", "c", e.alias("e")).filter("e is not null"), "m", "c")
+    run = Window.partitionBy("task_id", "call_id", "run").orderBy("i", "j").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    df = df.withColumn("result", F.last("output", True).over(run)).filter(is_call | X.has_error(F.col("output")) | F.col("tokens").isNotNull())
+    cmd = F.when(is_call, command_of_arguments(F.col("arguments")))
+    return df.select("task_id", "i", *act(F.col("j"), cmd=cmd, out=F.when(is_call, F.col("result")).otherwise(F.col("output")), tokens=F.col("tokens")))
 
 
 def step_events(records: DataFrame) -> DataFrame:
     """records: (task_id, traj array<struct<action, observation>>)."""
     steps = records.select("task_id", F.posexplode("traj").alias("i", "s"))
+    return acts_to_events(step_acts(steps.select("task_id", "i", "s.action", "s.observation", F.lit(None).cast("bigint").alias("tokens"))))
+
+
+def step_acts(steps: DataFrame) -> DataFrame:
+    """steps (task_id, i, action, observation, tokens) to acts: a step's command, and the error that its output shows."""
     strip = lambda c: X.py_strip(F.coalesce(c, F.lit("")))
-    steps = steps.select("task_id", "i", strip(F.col("s.action")).alias("a"), strip(F.col("s.observation")).alias("o")).filter("a <> ''")
-    kind = X.classify_patch_command(F.col("a"))
-    tested = kind.isin("bash_call", "file_read") & (F.col("o") != "") & (F.col("o").rlike(X.OBSERVED_PASS) | F.col("o").rlike(X.OBSERVED_FAIL))
-    steps = steps.withColumn("kind", F.when(tested, "test_run").otherwise(kind))
-    own = command_event(F.col("kind"), F.col("a"), F.col("o"))
-    err = F.when((F.col("o") != "") & X.has_error(F.col("o")), error_event(F.col("o")))
-    return numbered(steps.select("task_id", "i", F.posexplode(F.array(own, err)).alias("j", "e")), "i", "j")
+    steps = steps.select("task_id", "i", strip(F.col("action")).alias("a"), strip(F.col("observation")).alias("o"), "tokens").filter("a <> '' or tokens is not null")
+    o, tokens = F.col("o"), F.col("tokens")
+    shown = (o != "") & (o.rlike(X.OBSERVED_PASS) | o.rlike(X.OBSERVED_FAIL))
+    own = F.struct(*act(0, True, F.when(tokens.isNull(), F.col("a")), o, shown, tokens))
+    err = F.when(tokens.isNull() & (o != "") & X.has_error(o), F.struct(*act(1, True, out=o)))
+    return steps.select("task_id", "i", F.explode(F.array_compact(F.array(own, err))).alias("x")).select("task_id", "i", "x.*")
 
 
 def terminal_commands(content: Column) -> Column:
@@ -165,20 +202,26 @@ def terminal_output(content: Column) -> Column:
 def terminal_events(records: DataFrame) -> DataFrame:
     """records: (task_id, conversations array<struct<role, content>>)."""
     turns = records.select("task_id", F.posexplode("conversations").alias("i", "t"))
+    return acts_to_events(terminal_acts(turns.select("task_id", "i", "t.role", F.col("t.content").alias("text"), F.lit(None).cast("bigint").alias("tokens"))))
+
+
+def terminal_acts(turns: DataFrame) -> DataFrame:
+    """turns (task_id, i, role, text, tokens) to acts: an assistant's commands, the last with the output that the user's next turn
+    shows, and the errors in users' turns."""
     w = Window.partitionBy("task_id").orderBy("i")
-    turns = turns.select("task_id", "i", F.coalesce("t.role", F.lit("user")).alias("role"), F.coalesce("t.content", F.lit("")).alias("content"))
-    turns = turns.withColumn("next_role", F.lead("role").over(w)).withColumn("next", F.lead("content").over(w))
-    start = (F.min(F.when(F.col("i") == 0, F.col("role"))).over(Window.partitionBy("task_id")) == "user").cast("int")
-    turns = turns.withColumn("start", start).filter("i >= start")
-    out = F.when(F.col("next_role") == "user", X.py_strip(terminal_output(F.col("next")))).otherwise("")
-    acts = turns.filter("role = 'assistant'").withColumn("out", out).withColumn("cmds", terminal_commands(F.col("content")))
-    acts = acts.select("task_id", "i", "out", F.size("cmds").alias("n"), F.posexplode("cmds").alias("j", "cmd"))
-    kind = X.classify_command(F.col("cmd"))
-    tested = (F.col("out").rlike(X.TERMINAL_PASS) | F.col("out").rlike(X.TERMINAL_FAIL)) & (F.col("j") == F.col("n") - 1) & kind.isin("bash_call", "file_read")
-    acts = acts.withColumn("kind", F.when(tested, "test_run").otherwise(kind))
-    acts = acts.select("task_id", "i", "j", command_event(F.col("kind"), F.col("cmd"), F.col("out")).alias("e"))
-    seen = turns.filter("role = 'user' and i > start").withColumn("out", terminal_output(F.col("content"))).filter(X.has_error(F.col("out")))
-    return numbered(acts.union(seen.select("task_id", "i", F.lit(0).alias("j"), error_event(F.col("out")).alias("e"))), "i", "j")
+    df = turns.select("task_id", "i", F.when(F.col("tokens").isNull(), F.coalesce("role", F.lit("user"))).alias("role"), F.coalesce("text", F.lit("")).alias("text"), "tokens")
+    first = F.first("role").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    df = df.select("*", F.lead("role").over(w).alias("next_role"), F.lead("text").over(w).alias("next"), (first == "user").cast("int").alias("start")).filter("i >= start or tokens is not null")
+    assistant = F.col("role") == "assistant"
+    said = F.when(assistant, F.when(F.col("next_role") == "user", X.py_strip(terminal_output(F.col("next")))).otherwise("")).when(F.col("role") == "user", terminal_output(F.col("text")))
+    df = df.select("task_id", "i", "role", "start", "tokens", said.alias("out"), F.when(assistant, terminal_commands(F.col("text"))).alias("cmds"))
+    out, last = F.col("out"), F.size("cmds") - 1
+    shows = F.col("out").rlike(X.TERMINAL_PASS) | F.col("out").rlike(X.TERMINAL_FAIL)
+    df = df.filter((F.size("cmds") > 0) | ((F.col("role") == "user") & (F.col("i") > F.col("start")) & X.has_error(out)) | F.col("tokens").isNotNull())
+    df = df.withColumn("shows", F.when(assistant, shows))
+    one = F.array(F.struct(*act(out=out, tokens=F.col("tokens"))))
+    many = F.transform("cmds", lambda c, j: F.struct(*act(j, cmd=c, out=F.col("out"), shown=F.col("shows") & (j == last))))
+    return df.select("task_id", "i", F.explode(F.when(assistant, many).otherwise(one)).alias("x")).select("task_id", "i", "x.*")
 
 
 def terminal_outcomes(records: DataFrame) -> DataFrame:
@@ -199,12 +242,13 @@ def terminal_outcomes(records: DataFrame) -> DataFrame:
 def pending_actions(turns: DataFrame, agent: str, action: Column) -> DataFrame:
     """turns (task_id, i, role, text): an agent's action waits for the user's next turn, which emits it; a later one replaces it.
     action: null leaves what waits as it is. (task_id, i, action, observation)."""
-    df = turns.withColumn("__a", F.when(F.col("role") == agent, action))
     w = Window.partitionBy("task_id").orderBy("i")
-    users = F.sum((F.col("role") == "user").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    df = df.withColumn("__g", F.coalesce(users, F.lit(0)))
-    df = df.withColumn("action", F.last("__a", True).over(Window.partitionBy("task_id", "__g").orderBy("i")))
-    return df.filter("role = 'user' and action is not null").select("task_id", "i", "action", F.col("text").alias("observation"))
+    df = turns.withColumn("__a", F.when(F.col("role") == agent, action))
+    waits = F.last(F.when(F.col("__a").isNotNull(), F.struct("i", "__a")), True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    emitted = F.max(F.when(F.col("role") == "user", F.col("i"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    df = df.select("*", waits.alias("__w"), emitted.alias("__u"))
+    df = df.filter("role = 'user' and __w is not null and (__u is null or __w.i > __u)")
+    return df.select("task_id", "i", F.col("__w.__a").alias("action"), F.col("text").alias("observation"))
 
 
 def role_text_action() -> Column:

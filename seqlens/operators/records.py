@@ -6,16 +6,19 @@ records: (key, record), key unique. Formats: terminal (conversations), role_text
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import truthy
-from ..storage import stored
+from ..storage import bucketed, stored
 from . import parse as P
 
 _TURNS = "array<struct<role:string,content:string>>"
 _TEXTS = "array<struct<role:string,text:string>>"
 _STEPS = "array<struct<action:string,observation:string>>"
+_TURN = [("role", "string"), ("text", "string"), ("action", "string"), ("calls", "array<struct<id:string,arguments:string>>"), ("call_id", "string"), ("tokens", "bigint")]
 _CHAT = (
     "array<struct<role:string,content:string,tool_calls:array<struct<id:string,arguments:string,function:struct<arguments:string>>>,tool_call_id:string>>"
 )
@@ -83,24 +86,47 @@ def outcomes(head: DataFrame) -> DataFrame:
     return head.filter("format <> 'terminal'").select(F.col("key").alias("task_id"), rule.alias("outcome")).unionByName(P.terminal_outcomes(talks))
 
 
-def events(head: DataFrame) -> DataFrame:
-    """Events of all records, keyed by task_id = key."""
-    part = lambda f, path, kind, name: head.filter(F.col("format") == f).select(F.col("key").alias("task_id"), F.from_json(F.get_json_object(R, path), kind).alias(name))
-    terminal = P.terminal_events(part("terminal", "$.conversations", _TURNS, "conversations"))
-    steps = head.filter("format = 'steps'").select(
-        F.col("key").alias("task_id"), F.from_json(F.coalesce(F.get_json_object(R, "$.traj"), F.get_json_object(R, "$.trajectory")), _STEPS).alias("traj")
-    )
-    texts = part("role_text", "$.trajectory", _TEXTS, "t").select("task_id", F.posexplode("t").alias("i", "x")).select("task_id", "i", "x.role", F.coalesce("x.text", F.lit("")).alias("text"))
-    talk = part("resolved", "$.messages", _TURNS, "t").select("task_id", F.posexplode("t").alias("i", "x")).select("task_id", "i", "x.role", F.coalesce("x.content", F.lit("")).alias("text"))
-    pairs = P.as_steps(P.pending_actions(texts, "ai", P.role_text_action()).unionByName(P.pending_actions(talk, "assistant", P.chat_action())))
-    chat = head.filter("format = 'chat'").select(
-        F.col("key").alias("task_id"), F.from_json(F.coalesce(F.get_json_object(R, "$.messages"), F.get_json_object(R, "$.trajectory")), _CHAT).alias("m")
-    )
+def turns(head: DataFrame) -> DataFrame:
+    """(task_id, format, i, role, text, action, calls, call_id, tokens): the turns or steps of records of all formats (a step's
+    output is its text) and after them the usage, if there is one. Records are parsed once; their turns are dealt by task_id."""
+    made = lambda **c: F.struct(*[c.get(n, F.lit(None)).cast(t).alias(n) for n, t in _TURN])
+    body = lambda kind, *paths: F.from_json(F.coalesce(*[F.get_json_object(R, f"$.{p}") for p in paths]), kind)
+    said = lambda name: lambda x: made(role=x["role"], text=x[name])
     call = lambda c: F.struct(c["id"].alias("id"), F.coalesce(c["arguments"], c["function"]["arguments"]).alias("arguments"))
-    message = lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"), F.transform(x["tool_calls"], call).alias("tool_calls"), x["tool_call_id"].alias("tool_call_id"))
-    chat = P.chat_events(chat.select("task_id", F.transform("m", message).alias("messages")))
-    made = terminal.unionByName(P.step_events(steps.unionByName(pairs))).unionByName(chat)
-    return P.with_usage(made, head.select(F.col("key").alias("task_id"), usage_tokens().alias("tokens")))
+    message = lambda x: made(role=x["role"], text=x["content"], calls=F.transform(x["tool_calls"], call), call_id=x["tool_call_id"])
+    is_format = lambda f: F.col("format") == f
+    every = (
+        F.when(is_format("terminal"), F.transform(body(_TURNS, "conversations"), said("content")))
+        .when(is_format("role_text"), F.transform(body(_TEXTS, "trajectory"), said("text")))
+        .when(is_format("resolved"), F.transform(body(_TURNS, "messages"), said("content")))
+        .when(is_format("steps"), F.transform(body(_STEPS, "traj", "trajectory"), lambda x: made(action=x["action"], text=x["observation"])))
+        .when(is_format("chat"), F.transform(body(_CHAT, "messages", "trajectory"), message))
+    )
+    df = head.select(F.col("key").alias("task_id"), "format", every.alias("t"), F.when(F.col("format").isNotNull(), usage_tokens()).alias("tokens"))
+    none = F.array().cast(every_type := "array<struct<" + ",".join(f"{n}:{t}" for n, t in _TURN) + ">>")
+    used = F.when(F.col("tokens") > 0, F.array(made(tokens=F.col("tokens")))).otherwise(none)
+    df = df.select("task_id", "format", F.posexplode(F.concat(F.coalesce(F.col("t").cast(every_type), none), used)).alias("i", "x")).select("task_id", "format", "i", "x.*")
+    return bucketed(df, "turns", ["task_id"], ["task_id", "i"])
+
+
+def events(head: DataFrame) -> DataFrame:
+    """Events of all records with a known format, keyed by task_id = key."""
+    df = turns(head)
+    part = lambda *f: df.filter(F.col("format").isin(*f))
+    text, usage = F.coalesce("text", F.lit("")).alias("text"), F.col("tokens").isNotNull()
+    none = F.lit(None).cast("bigint").alias("tokens")
+    waiting = lambda f, agent, action: P.pending_actions(part(f).select("task_id", "i", "role", text), agent, action).select("*", none)
+    steps = part("steps").select("task_id", "i", "action", F.col("text").alias("observation"), "tokens")
+    used = part("role_text", "resolved").filter(usage).select("task_id", "i", "action", F.col("text").alias("observation"), "tokens")
+    parts = [
+        P.terminal_acts(part("terminal")),
+        P.step_acts(steps),
+        P.step_acts(waiting("role_text", "ai", P.role_text_action())),
+        P.step_acts(waiting("resolved", "assistant", P.chat_action())),
+        P.step_acts(used),
+        P.chat_acts(part("chat")),
+    ]
+    return P.acts_to_events(reduce(DataFrame.unionByName, parts))
 
 
 def trajectories(records: DataFrame, terminal: bool, least: int = 15) -> tuple[DataFrame, DataFrame, DataFrame]:

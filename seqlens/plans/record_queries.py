@@ -194,7 +194,7 @@ _SWE_USED = "select distinct u, u + 5 as t from ev where u % 4 in (0, 3)"
 
 
 def _parsed(records: DataFrame, terminal: bool) -> DataFrame:
-    out = R.events(R.heads(records, terminal).filter("format is not null"))
+    out = R.events(R.heads(records, terminal))
     return out.select(
         "task_id", F.col("step").cast("bigint").alias("step"), "type", "command", "path", "operation", "framework", "outcome", "tests_run", "error_type", F.md5("message").alias("message"), "tokens_used"
     )
