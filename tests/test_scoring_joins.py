@@ -12,3 +12,8 @@ def planned(spark, name: str) -> str:
 
 def test_layer2_legality_broadcasts_nothing(spark):
     assert "Broadcast" not in planned(spark, "layer2_legality")
+
+
+def test_layer2_optimality_broadcasts_only_the_keys_of_the_last_level(spark):
+    plan = planned(spark, "layer2_optimality")
+    assert plan.count("BroadcastHashJoin") <= 1 and "= 3)" in plan
