@@ -4,6 +4,25 @@ from seqlens.operators import records as R
 
 TERMINAL = '{"trial_name":"r","conversations":[{"role":"user","content":"do"},{"role":"assistant","content":"{\\"commands\\":[{\\"keystrokes\\":\\"pytest\\"}]}"},{"role":"user","content":"KeyError: 3 passed"}]}'
 CHAT = '{"sample_id":"b","metadata":{"usage":{"input_tokens":7}},"messages":[{"role":"assistant","tool_calls":[{"id":"c","function":{"arguments":"{\\"cmd\\":\\"pytest\\"}"}}]},{"role":"tool","tool_call_id":"c","content":"2 failed"}]}'
+STEPS = '{"instance_id":"i","traj":[{"action":"edit 1:2","observation":"KeyError: x"},{"action":" ","observation":"OK"}],"info":{"model_stats":{"tokens_sent":3,"tokens_received":5}}}'
+TEXTS = '{"instance_id":"j","trajectory":[{"role":"ai","text":"ls\\ncat a"},{"role":"ai","text":"make x"},{"role":"user","text":"1 passed"},{"role":"user","text":"and?"}]}'
+
+
+def small(events) -> bool:
+    plan = events._jdf.queryExecution().optimizedPlan().toString()
+    return "record" not in plan and len(plan) < 200_000 and plan.count("Window") < 20
+
+
+def test_patch_records_are_parsed_once_too(spark):
+    events = R.events(R.heads(spark.createDataFrame([(1, STEPS), (2, TEXTS)], "key long, record string"), False))
+    got = [tuple(r) for r in events.select("task_id", "step", "type", "command", "outcome", "error_type", "tokens_used").orderBy("task_id", "step").collect()]
+    assert got == [
+        (1, 0, "file_edit", "edit 1:2", None, None, None),
+        (1, 1, "error_reveal", None, None, "KeyError", None),
+        (1, 2, "context_update", None, None, None, 8),
+        (2, 0, "test_run", "make x", "pass", None, None),
+    ]
+    assert small(events)
 
 
 def test_one_parse_and_small_plans(spark):
@@ -17,6 +36,4 @@ def test_one_parse_and_small_plans(spark):
         (2, 1, "error_reveal", None, None, "RuntimeError", None, None),
         (2, 2, "context_update", None, None, None, 7, 200_000),
     ]
-    plan = events._jdf.queryExecution().optimizedPlan().toString()
-    assert "record" not in plan  # the JSON is not parsed again by whatever reads events
-    assert len(plan) < 200_000 and plan.count("Window") < 20
+    assert small(events)  # the JSON is not parsed again by whatever reads events
