@@ -37,3 +37,13 @@ def test_one_parse_and_small_plans(spark):
         (2, 2, "context_update", None, None, None, 7, 200_000),
     ]
     assert small(events)  # the JSON is not parsed again by whatever reads events
+
+
+def test_admission_parses_turns_once(spark, monkeypatch):
+    calls, turns = [], R.turns
+    monkeypatch.setattr(R, "turns", lambda head: calls.append(1) or turns(head))
+    records = spark.createDataFrame([(1, STEPS), (2, TEXTS), (-1, '{"instance_id":"x","info":{"model_stats":{"tokens_sent":9}}}')], "key long, record string")
+    kept, events, lost = R.trajectories(records, terminal=False, least=3)
+    assert [(r.key, r.n) for r in kept.collect()] == [(1, 3)] and events.count() == 3
+    assert sorted((r.key, r.reason) for r in lost.collect()) == [(-1, "no_format"), (2, "filter_fail")]
+    assert calls == [1]
