@@ -122,19 +122,14 @@ def outcome_of_info(status: Column, submission: Column, patch: Column) -> Column
     return F.when(s.isin(*PASSED), "pass").when(s.isin(*FAILED), "fail").when(made, "pass").otherwise("fail")
 
 
-def decoded_arguments(arguments: Column) -> Column:
-    """A JSON object as it is; anything else under "raw"."""
-    return F.when(F.json_object_keys(arguments).isNotNull(), arguments).otherwise(F.to_json(F.struct(arguments.alias("raw"))))
-
-
-def command_of_arguments(arguments: Column) -> Column:
-    """The first of the usual names, even if empty, else the first text value in the object's order."""
-    args = decoded_arguments(arguments)
-    usual = [F.get_json_object(args, f"$.{n}") for n in ("cmd", "command", "input", "bash_command", "code")]
-    keys = F.json_object_keys(args)
-    texts = F.filter(F.regexp_extract_all(args, F.lit(r'"((?:[^"\\]|\\.)*)"\s*:\s*"'), F.lit(1)), lambda k: F.array_contains(keys, k))
-    anything = F.try_element_at(F.from_json(args, "map<string,string>"), F.try_element_at(texts, F.lit(1)))
-    return X.py_strip(F.coalesce(*usual, anything, F.lit("")))
+def command_of_arguments(arguments: Column, keys: Column | None = None) -> Column:
+    """The first of the usual names, even if empty, else the first text value in the object's order; what is no object is the command.
+    keys: the object's keys, where the caller has them; only names among them are looked up."""
+    keys = F.json_object_keys(arguments) if keys is None else keys
+    usual = [F.when(F.array_contains(keys, n), F.get_json_object(arguments, f"$.{n}")) for n in ("cmd", "command", "input", "bash_command", "code")]
+    texts = F.filter(F.regexp_extract_all(arguments, F.lit(r'"((?:[^"\\]|\\.)*)"\s*:\s*"'), F.lit(1)), lambda k: F.array_contains(keys, k))
+    anything = F.try_element_at(F.from_json(arguments, "map<string,string>"), F.try_element_at(texts, F.lit(1)))
+    return X.py_strip(F.coalesce(F.when(keys.isNull(), arguments), *usual, anything, F.lit("")))
 
 
 # --- records to events ----------------------------------------------------------------------------------------------------
@@ -166,7 +161,8 @@ def chat_acts(turns: DataFrame) -> DataFrame:
     df = df.withColumn("run", F.count_if(is_call).over(same))
     run = Window.partitionBy("task_id", "call_id", "run").orderBy("i", "j").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     df = df.withColumn("result", F.last("output", True).over(run)).filter(is_call | X.has_error(F.col("output")) | F.col("tokens").isNotNull())
-    cmd = F.when(is_call, command_of_arguments(F.col("arguments")))
+    df = df.withColumn("keys", F.json_object_keys("arguments"))
+    cmd = F.when(is_call, command_of_arguments(F.col("arguments"), F.col("keys")))
     return df.select("task_id", "i", *act(F.col("j"), cmd=cmd, out=F.when(is_call, F.col("result")).otherwise(F.col("output")), tokens=F.col("tokens")))
 
 
@@ -178,12 +174,13 @@ def step_events(records: DataFrame) -> DataFrame:
 
 def step_acts(steps: DataFrame) -> DataFrame:
     """steps (task_id, i, action, observation, tokens) to acts: a step's command, and the error that its output shows."""
-    strip = lambda c: X.py_strip(F.coalesce(c, F.lit("")))
+    strip = lambda c: F.coalesce(X.stripped(c), F.lit(""))
     steps = steps.select("task_id", "i", strip(F.col("action")).alias("a"), strip(F.col("observation")).alias("o"), "tokens").filter("a <> '' or tokens is not null")
-    o, tokens = F.col("o"), F.col("tokens")
-    shown = (o != "") & (o.rlike(X.OBSERVED_PASS) | o.rlike(X.OBSERVED_FAIL))
+    steps = steps.withColumn("low", X.folded(F.col("o")))
+    o, low, tokens = F.col("o"), F.col("low"), F.col("tokens")
+    shown = (o != "") & X.observed(o, low)
     own = F.struct(*act(0, True, F.when(tokens.isNull(), F.col("a")), o, shown, tokens))
-    err = F.when(tokens.isNull() & (o != "") & X.has_error(o), F.struct(*act(1, True, out=o)))
+    err = F.when(tokens.isNull() & (o != "") & X.has_error(o, low), F.struct(*act(1, True, out=o)))
     return steps.select("task_id", "i", F.explode(F.array_compact(F.array(own, err))).alias("x")).select("task_id", "i", "x.*")
 
 

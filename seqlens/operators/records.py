@@ -6,6 +6,7 @@ records: (key, record), key unique. Formats: terminal (conversations), role_text
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -23,49 +24,75 @@ _CHAT = (
     "array<struct<role:string,content:string,tool_calls:array<struct<id:string,arguments:string,function:struct<arguments:string>>>,tool_call_id:string>>"
 )
 R = "record"
+# The top-level values that are read.
+_TOP = (
+    "conversations trajectory traj messages instance_id id task_id sample_id task trial_name run_id output model eval model_name_or_path"
+    " model_name selected_models agent metadata stats info scores resolved exit_status target"
+).split()
+
+
+def opened(records: DataFrame) -> DataFrame:
+    """(key, record, first, named): instead of each record's text the texts of its top-level values, which are read in one pass; the
+    keys of the first item of its trajectory, else messages; whether it has an instance_id, even null. A record of which that
+    pass gives nothing (one with a value that can't be written, say) is asked for each value on its own."""
+    df = records.select("key", R, F.json_tuple(R, *_TOP).alias(*[f"__{n}" for n in _TOP]))
+    found = F.coalesce(*[f"__{n}" for n in _TOP]).isNotNull()
+    df = df.select("key", F.col(R).alias("__whole"), F.struct(*[F.when(found, F.col(f"__{n}")).otherwise(F.get_json_object(R, f"$.{n}")).alias(n) for n in _TOP]).alias(R))
+    trajectory, messages = value("trajectory"), value("messages")
+    keys = lambda c: F.json_object_keys(F.get_json_object(c, "$[0]"))
+    first = F.when(is_list(trajectory), keys(trajectory)).when(is_list(messages), keys(messages))
+    named = value("instance_id").isNotNull() | F.coalesce(F.array_contains(F.json_object_keys("__whole"), "instance_id"), F.lit(False))
+    return df.select("key", R, first.alias("first"), named.alias("named"))
+
+
+def value(path: str) -> Column:
+    """The text at a path of an opened record."""
+    top, _, rest = path.partition(".")
+    return F.get_json_object(f"{R}.{top}", f"$.{rest}") if rest else F.col(f"{R}.{top}")
 
 
 def field(*paths: str) -> Column:
     """The first of the paths that is neither missing nor empty."""
-    return F.coalesce(*[truthy(F.get_json_object(R, f"$.{p}")) for p in paths])
+    return F.coalesce(*[truthy(value(p)) for p in paths])
 
 
-def is_list(path: str) -> Column:
-    return F.coalesce(F.startswith(F.trim(F.get_json_object(R, f"$.{path}")), F.lit("[")), F.lit(False))
+def is_list(c: Column) -> Column:
+    return F.coalesce(F.startswith(F.trim(c), F.lit("[")), F.lit(False))
 
 
 def record_format(terminal: bool) -> Column:
     """terminal: records of the terminal source, which are conversations or chat samples; else those of the patch source."""
     if terminal:
-        return F.when(P.is_terminal_format(F.col(R)), "terminal").when(is_list("messages") | F.get_json_object(R, "$.messages").isNull(), "chat")
-    first = F.json_object_keys(F.get_json_object(R, "$.trajectory[0]"))
+        return F.when(is_list(value("conversations")), "terminal").when(is_list(value("messages")) | value("messages").isNull(), "chat")
+    has = lambda k: F.coalesce(F.array_contains("first", k), F.lit(False))
+    tools = F.get_json_object(value("messages"), "$[*].tool_calls")
     return (
-        F.when(P.is_role_text_format(F.col(R)), "role_text")
-        .when(is_list("traj"), "steps")
-        .when(is_list("trajectory"), F.when(F.array_contains(first, "action"), "steps").otherwise("chat"))
-        .when(P.is_chat_format(F.col(R)) & ~is_list("messages[*].tool_calls"), "resolved")
-        .when(is_list("messages"), "chat")
+        F.when(is_list(value("trajectory")) & has("text") & ~has("action"), "role_text")
+        .when(is_list(value("traj")), "steps")
+        .when(is_list(value("trajectory")), F.when(has("action"), "steps").otherwise("chat"))
+        .when(has("role") & has("content") & F.col("named") & ~is_list(tools), "resolved")
+        .when(is_list(value("messages")), "chat")
     )
 
 
-def usage_tokens() -> Column:
-    """Tokens of the first usage block that is there; or what was sent and received."""
+def usage_tokens(value: Callable[[str], Column] = lambda path: F.get_json_object(R, f"$.{path}")) -> Column:
+    """Tokens of the first usage block that is there; or what was sent and received. value: the text at a path."""
     blocks = ("metadata.usage", "metadata.token_usage", "output.usage", "stats.model_usage")
-    block = F.coalesce(*[F.nullif(F.get_json_object(R, f"$.{b}"), F.lit("{}")) for b in blocks])
+    block = F.coalesce(*[F.nullif(value(b), F.lit("{}")) for b in blocks])
     number = lambda c, p: F.nullif(F.get_json_object(c, p).try_cast("bigint"), F.lit(0))
     named = F.coalesce(*[number(block, f"$.{n}") for n in ("input_tokens", "total_tokens", "prompt_tokens")])
-    stat = lambda n: F.coalesce(F.get_json_object(R, f"$.info.model_stats.{n}").try_cast("bigint"), F.lit(0))
+    stat = lambda n: F.coalesce(value(f"info.model_stats.{n}").try_cast("bigint"), F.lit(0))
     return F.coalesce(named, F.nullif(stat("tokens_sent") + stat("tokens_received"), F.lit(0)), F.lit(0))
 
 
 def heads(records: DataFrame, terminal: bool) -> DataFrame:
-    """(key, record, format, name, model, agent); format is null where a record has no known one."""
+    """(key, record, format, name, model, agent): records opened; format is null where a record has no known one."""
     name = field("task", "trial_name", "run_id") if terminal else field("instance_id", "id", "task_id")
     if terminal:
         name = F.when(F.col("format") == "chat", field("id", "task_id", "sample_id")).otherwise(name)
-    model = field("output.model", "model", "eval.model") if terminal else field("model_name_or_path", "model_name", "selected_models[0]", "model")
+    model = field("output.model", "model", "eval.model") if terminal else F.coalesce(field("model_name_or_path", "model_name"), truthy(F.get_json_object(value("selected_models"), "$[0]")), field("model"))
     agent = F.coalesce(field("agent"), F.when(F.col("format") == "terminal", "terminus").otherwise("inspect-ai" if terminal else "swe-agent"))
-    df = records.withColumn("format", record_format(terminal))
+    df = opened(records).withColumn("format", record_format(terminal))
     return df.select("key", R, "format", F.coalesce(name, F.lit("unknown")).alias("name"), F.coalesce(model, F.lit("unknown")).alias("model"), agent.alias("agent"))
 
 
@@ -74,23 +101,24 @@ def outcomes(head: DataFrame) -> DataFrame:
     score = lambda v: F.when(
         F.startswith(v, F.lit("{")), F.coalesce(*[F.get_json_object(v, f"$.{n}") for n in ("value", "score", "answer")])
     ).otherwise(v)
-    scores = F.transform_values(F.from_json(F.get_json_object(R, "$.scores"), "map<string,string>"), lambda k, v: score(v))
+    scores = F.transform_values(F.from_json(value("scores"), "map<string,string>"), lambda k, v: score(v))
     scored = F.coalesce(P.outcome_of_scores(scores), F.lit("fail"))
     info = P.outcome_of_info(field("info.exit_status"), field("info.submission"), field("info.model_patch"))
-    resolved = F.get_json_object(R, "$.resolved")
+    resolved = value("resolved")
     flag = F.when(resolved == "true", "pass").when(resolved == "false", "fail").when(F.lower(F.coalesce(field("exit_status"), F.lit(""))).contains("submitted"), "pass").otherwise("fail")
-    target = F.when(F.get_json_object(R, "$.target").isin("true", "1"), "pass").otherwise("fail")
-    chat = F.when(F.get_json_object(R, "$.scores").isNotNull() | F.get_json_object(R, "$.info").isNull(), scored).otherwise(info)
+    target = F.when(value("target").isin("true", "1"), "pass").otherwise("fail")
+    chat = F.when(value("scores").isNotNull() | value("info").isNull(), scored).otherwise(info)
     rule = F.when(F.col("format") == "steps", info).when(F.col("format") == "resolved", flag).when(F.col("format") == "role_text", target).when(F.col("format") == "chat", chat)
-    talks = head.filter("format = 'terminal'").select(F.col("key").alias("task_id"), F.from_json(F.get_json_object(R, "$.conversations"), _TURNS).alias("conversations"))
+    talks = head.filter("format = 'terminal'").select(F.col("key").alias("task_id"), F.from_json(value("conversations"), _TURNS).alias("conversations"))
     return head.filter("format <> 'terminal'").select(F.col("key").alias("task_id"), rule.alias("outcome")).unionByName(P.terminal_outcomes(talks))
 
 
 def turns(head: DataFrame) -> DataFrame:
     """(task_id, format, i, role, text, action, calls, call_id, tokens): the turns or steps of records of all formats (a step's
-    output is its text) and after them the usage, if there is one. Records are parsed once; their turns are dealt by task_id."""
+    output is its text) and after them the usage, if there is one. Records are parsed once; their turns are dealt by task_id and
+    kept apart by format, so that each format's parser reads its own."""
     made = lambda **c: F.struct(*[c.get(n, F.lit(None)).cast(t).alias(n) for n, t in _TURN])
-    body = lambda kind, *paths: F.from_json(F.coalesce(*[F.get_json_object(R, f"$.{p}") for p in paths]), kind)
+    body = lambda kind, *paths: F.from_json(F.coalesce(*map(value, paths)), kind)
     said = lambda name: lambda x: made(role=x["role"], text=x[name])
     call = lambda c: F.struct(c["id"].alias("id"), F.coalesce(c["arguments"], c["function"]["arguments"]).alias("arguments"))
     message = lambda x: made(role=x["role"], text=x["content"], calls=F.transform(x["tool_calls"], call), call_id=x["tool_call_id"])
@@ -102,11 +130,11 @@ def turns(head: DataFrame) -> DataFrame:
         .when(is_format("steps"), F.transform(body(_STEPS, "traj", "trajectory"), lambda x: made(action=x["action"], text=x["observation"])))
         .when(is_format("chat"), F.transform(body(_CHAT, "messages", "trajectory"), message))
     )
-    df = head.select(F.col("key").alias("task_id"), "format", every.alias("t"), F.when(F.col("format").isNotNull(), usage_tokens()).alias("tokens"))
+    df = head.select(F.col("key").alias("task_id"), "format", every.alias("t"), F.when(F.col("format").isNotNull(), usage_tokens(value)).alias("tokens"))
     none = F.array().cast(every_type := "array<struct<" + ",".join(f"{n}:{t}" for n, t in _TURN) + ">>")
     used = F.when(F.col("tokens") > 0, F.array(made(tokens=F.col("tokens")))).otherwise(none)
     df = df.select("task_id", "format", F.posexplode(F.concat(F.coalesce(F.col("t").cast(every_type), none), used)).alias("i", "x")).select("task_id", "format", "i", "x.*")
-    return bucketed(df, "turns", ["task_id"], ["task_id", "i"])
+    return bucketed(df, "turns", ["task_id"], ["task_id", "i"], ["format"])
 
 
 def events(head: DataFrame) -> DataFrame:

@@ -49,9 +49,9 @@ def fields(*pairs: tuple[str, Column]) -> Column:
 
 def sampled(spark, d) -> DataFrame:
     """(u, s, k, cmd, out): a user's commands in order."""
-    df = table(spark, d, "events").withColumn("k", F.regexp_extract("props", "[0-9]+", 0).cast("int"))
-    s = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
-    return df.select(F.col("user_id").alias("u"), s.alias("s"), "k", pick(E.COMMANDS, 0, F.col("k")).alias("cmd"), pick(E.OUTPUTS, 0, F.floor(F.col("k") / 5)).alias("out"))
+    df = table(spark, d, "events").select(F.col("user_id").alias("u"), "ts", "event_id", F.regexp_extract("props", "[0-9]+", 0).cast("int").alias("k"))
+    s = F.row_number().over(Window.partitionBy("u").orderBy("ts", "event_id")) - 1
+    return df.withColumn("s", s).select("u", "s", "k", pick(E.COMMANDS, 0, F.col("k")).alias("cmd"), pick(E.OUTPUTS, 0, F.floor(F.col("k") / 5)).alias("out"))
 
 
 def turns(rows: DataFrame, *made: Column) -> DataFrame:

@@ -1,6 +1,11 @@
 """Records of all formats are parsed once, and their events are numbered and classified once: plans stay small."""
 
+from pyspark.sql import functions as F
+
+from seqlens.functions import text as X
+from seqlens.operators import parse as P
 from seqlens.operators import records as R
+from seqlens.plans import record_queries as Q
 
 TERMINAL = '{"trial_name":"r","conversations":[{"role":"user","content":"do"},{"role":"assistant","content":"{\\"commands\\":[{\\"keystrokes\\":\\"pytest\\"}]}"},{"role":"user","content":"KeyError: 3 passed"}]}'
 CHAT = '{"sample_id":"b","metadata":{"usage":{"input_tokens":7}},"messages":[{"role":"assistant","tool_calls":[{"id":"c","function":{"arguments":"{\\"cmd\\":\\"pytest\\"}"}}]},{"role":"tool","tool_call_id":"c","content":"2 failed"}]}'
@@ -47,3 +52,47 @@ def test_admission_parses_turns_once(spark, monkeypatch):
     assert [(r.key, r.n) for r in kept.collect()] == [(1, 3)] and events.count() == 3
     assert sorted((r.key, r.reason) for r in lost.collect()) == [(-1, "no_format"), (2, "filter_fail")]
     assert calls == [1]
+
+
+def test_records_are_opened_in_one_pass(spark):
+    odd = [
+        '{"instance_id":"a","traj":[{"action":"ls","observation":"x"}],"info":{"x":"\\ud83d"}}',  # half a character: can't be written
+        '{"instance_id":null,"messages":[{"role":"user","content":"x"}]}',
+        '{"messages":[{"role":"user","content":"x"}]}',
+        '{"instance_id":"d","messages":[{"role":"user","content":"x","tool_calls":[]}]}',
+        '{"instance_id":"e","traj":[',
+        None,
+        '{"selected_models":["m"],"trajectory":[{"action":"x","text":"y"}]}',
+    ]
+    head = R.heads(spark.createDataFrame(list(enumerate(odd)), "key long, record string"), False)
+    assert [tuple(r) for r in head.select("format", "name", "model").orderBy("key").collect()] == [
+        ("steps", "a", "unknown"), ("resolved", "unknown", "unknown"), ("chat", "unknown", "unknown"), ("chat", "d", "unknown"),
+        (None, "unknown", "unknown"), (None, "unknown", "unknown"), ("steps", "unknown", "m"),
+    ]
+    assert "json_tuple" in head._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_parser_reads_turns_of_its_format(spark):
+    turns = R.turns(R.heads(spark.createDataFrame([(1, STEPS), (2, TEXTS)], "key long, record string"), False))
+    files = turns.filter("format = 'steps'").inputFiles()
+    assert files and all("/format=steps/" in f for f in files)
+
+
+def test_sample_records_are_dealt_once(spark, monkeypatch):
+    monkeypatch.setattr(Q, "stored", lambda df, name: df)
+    plan = Q.patch_records(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 4
+
+
+def test_cheaper_forms_give_the_same(spark):
+    texts = ["", " ", "a", " a\n", "　b c ", "x\x1c", "OK", "1 passed", "Tests run: 2, Failures: 3", "TEST_A: FAIL", "ERRORS", "K", "oK", "```\n```", "```x", "`` ```sh\nls\n``` z"]
+    c = F.col("c")
+    df = spark.createDataFrame([(t,) for t in texts + [None]], "c string")
+    fence = F.when(c.rlike(X.ACTION_FENCE), X.py_strip(F.regexp_extract(c, X.ACTION_FENCE, 1)))
+    same = df.select(
+        X.stripped(c).eqNullSafe(X.py_strip(c)).alias("s"), X.observed(c, X.folded(c)).eqNullSafe(c.rlike(X.OBSERVED_PASS) | c.rlike(X.OBSERVED_FAIL)).alias("o"), X.fenced_action(c).eqNullSafe(fence).alias("f")
+    )
+    assert [r for r in same.collect() if not (r.s and r.o and r.f)] == []
+    args = ['{"command":"","input":"b"}', '{"cmd":null,"code":" c "}', "[1]", "ls ", "", None, '{"n":1,"x":{"y":"z"},"w":"v"}', '{"cmd":', "{}"]
+    got = spark.createDataFrame(list(enumerate(args)), "i int, c string").orderBy("i").select(P.command_of_arguments(c), P.command_of_arguments(c, F.json_object_keys(c)))
+    assert [tuple(r) for r in got.collect()] == [(x, x) for x in ("", "c", "[1]", "ls", "", "", "v", '{"cmd":', "")]
