@@ -96,3 +96,13 @@ def test_cheaper_forms_give_the_same(spark):
     args = ['{"command":"","input":"b"}', '{"cmd":null,"code":" c "}', "[1]", "ls ", "", None, '{"n":1,"x":{"y":"z"},"w":"v"}', '{"cmd":', "{}"]
     got = spark.createDataFrame(list(enumerate(args)), "i int, c string").orderBy("i").select(P.command_of_arguments(c), P.command_of_arguments(c, F.json_object_keys(c)))
     assert [tuple(r) for r in got.collect()] == [(x, x) for x in ("", "c", "[1]", "ls", "", "", "v", '{"cmd":', "")]
+
+
+def test_admission_opens_records_once(spark, monkeypatch):
+    calls, opened = [], R.opened
+    monkeypatch.setattr(R, "opened", lambda records: calls.append(1) or opened(records))
+    records = spark.createDataFrame([(1, STEPS), (2, TEXTS), (-1, '{"instance_id":"x"}')], "key long, record string")
+    kept, _, lost = R.trajectories(records, terminal=False, least=3)
+    assert [(r.key, r.outcome) for r in kept.collect()] == [(1, "fail")] and lost.count() == 2
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert calls == [1] and "json_tuple" not in plan
