@@ -177,11 +177,13 @@ def step_acts(steps: DataFrame) -> DataFrame:
     strip = lambda c: F.coalesce(X.stripped(c), F.lit(""))
     steps = steps.select("task_id", "i", strip(F.col("action")).alias("a"), strip(F.col("observation")).alias("o"), "tokens").filter("a <> '' or tokens is not null")
     steps = steps.withColumn("low", X.folded(F.col("o")))
-    o, low, tokens = F.col("o"), F.col("low"), F.col("tokens")
-    shown = (o != "") & X.observed(o, low)
-    own = F.struct(*act(0, True, F.when(tokens.isNull(), F.col("a")), o, shown, tokens))
-    err = F.when(tokens.isNull() & (o != "") & X.has_error(o, low), F.struct(*act(1, True, out=o)))
-    return steps.select("task_id", "i", F.explode(F.array_compact(F.array(own, err))).alias("x")).select("task_id", "i", "x.*")
+    a, o, low, j, tokens = F.col("a"), F.col("o"), F.col("low"), F.col("j"), F.col("tokens")
+    wrong = tokens.isNull() & (o != "") & X.has_error(o, low)
+    # only numbers are exploded: who counts acts works out no more of them
+    each = F.when(wrong, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    df = steps.select("task_id", "i", "a", "o", "low", "tokens", F.explode(each).alias("j"))
+    own = j == 0
+    return df.select("task_id", "i", *act(j, True, F.when(own & tokens.isNull(), a), o, own & (o != "") & X.observed(o, low), tokens))
 
 
 def terminal_commands(content: Column) -> Column:
@@ -250,12 +252,12 @@ def pending_actions(turns: DataFrame, agent: str, action: Column) -> DataFrame:
 
 def role_text_action() -> Column:
     """The fence's body, else the last line; empty is none."""
-    return X.truthy(F.coalesce(X.fenced_action(F.col("text")), X.last_line(F.col("text"))))
+    return X.nonempty(F.coalesce(X.fenced_action(F.col("text")), X.last_line(F.col("text"))))
 
 
 def chat_action() -> Column:
     """The fence's body (even empty), else the whole text; empty is none."""
-    return F.coalesce(X.fenced_action(F.col("text")), X.truthy(X.py_strip(F.col("text"))))
+    return F.coalesce(X.fenced_action(F.col("text")), X.truthy(X.stripped(F.col("text"))))
 
 
 def as_steps(pairs: DataFrame) -> DataFrame:

@@ -137,8 +137,8 @@ def turns(head: DataFrame) -> DataFrame:
     return bucketed(df, "turns", ["task_id"], ["task_id", "i"], ["format"])
 
 
-def events(head: DataFrame) -> DataFrame:
-    """Events of all records with a known format, keyed by task_id = key."""
+def acts(head: DataFrame) -> DataFrame:
+    """Acts of all records with a known format, one an event, keyed by task_id = key."""
     df = turns(head)
     part = lambda *f: df.filter(F.col("format").isin(*f))
     text, usage = F.coalesce("text", F.lit("")).alias("text"), F.col("tokens").isNotNull()
@@ -154,19 +154,25 @@ def events(head: DataFrame) -> DataFrame:
         P.step_acts(used),
         P.chat_acts(part("chat")),
     ]
-    return P.acts_to_events(reduce(DataFrame.unionByName, parts))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def events(head: DataFrame) -> DataFrame:
+    """Events of all records with a known format, keyed by task_id = key."""
+    return P.acts_to_events(acts(head))
 
 
 def trajectories(records: DataFrame, terminal: bool, least: int = 15) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(admitted heads with outcome, their events, rejected records with a reason)."""
+    """(admitted heads with outcome, their events, rejected records with a reason). Each act is an event: records are judged by
+    the number of their acts, and only those of admitted ones become events, once these are read."""
     head = stored(heads(records, terminal), "heads")
     good = head.filter("format is not null")
-    made = stored(events(good), "events")  # counted, admitted and returned
-    ok = P.admitted(made, outcomes(good), least)
+    made = acts(good)
+    ok = stored(P.admitted(made, outcomes(good), least), "admitted")
     kept = good.drop(R).join(ok.withColumnRenamed("task_id", "key"), "key")
     lost = head.join(ok.select(F.col("task_id").alias("key")), "key", "left_anti")
     reason = F.when(F.col("format").isNull(), "no_format").otherwise("filter_fail").alias("reason")
-    return kept, made.join(ok.select("task_id"), "task_id", "left_semi"), lost.select("key", "name", reason)
+    return kept, P.acts_to_events(made.join(ok.select("task_id"), "task_id", "left_semi")), lost.select("key", "name", reason)
 
 
 def first_n(df: DataFrame, n: int, *order: str) -> DataFrame:

@@ -32,9 +32,8 @@ def pick(rows: list[tuple], column: int, index: Column) -> Column:
 
 
 def quoted(c: Column) -> Column:
-    """A text as JSON."""
-    json = F.to_json(F.struct(c.alias("x")))
-    return F.substr(json, F.lit(6), F.length(json) - 6)
+    """A text as JSON, worked out once."""
+    return F.rtrim(F.substr(F.to_json(F.struct(c.alias("x"))), F.lit(6)), F.lit("}"))
 
 
 def joined(c: Column) -> Column:
@@ -48,16 +47,18 @@ def fields(*pairs: tuple[str, Column]) -> Column:
 
 
 def sampled(spark, d) -> DataFrame:
-    """(u, s, k, cmd, out): a user's commands in order."""
+    """(u, s, k, cmd, out): a user's commands in order. Dealt by number, so that adaptive execution leaves no core without users."""
     df = table(spark, d, "events").select(F.col("user_id").alias("u"), "ts", "event_id", F.regexp_extract("props", "[0-9]+", 0).cast("int").alias("k"))
     s = F.row_number().over(Window.partitionBy("u").orderBy("ts", "event_id")) - 1
+    df = df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "u")
     return df.withColumn("s", s).select("u", "s", "k", pick(E.COMMANDS, 0, F.col("k")).alias("cmd"), pick(E.OUTPUTS, 0, F.floor(F.col("k") / 5)).alias("out"))
 
 
 def turns(rows: DataFrame, *made: Column) -> DataFrame:
     """(u, n, turns): the JSON of each user's turns in order, some an event."""
-    item = F.struct("s", F.array(*made).alias("t"))
-    df = rows.groupBy("u").agg(F.sort_array(F.collect_list(item)).alias("x"), F.count("*").alias("n"))
+    # made beside the groups: in an aggregate's arguments every repeated part is worked out each time
+    rows = rows.select("u", F.struct("s", F.array(*made).alias("t")).alias("item"))
+    df = rows.groupBy("u").agg(F.sort_array(F.collect_list("item")).alias("x"), F.count("*").alias("n"))
     return df.select("u", "n", F.flatten(F.transform("x", lambda x: F.filter(x["t"], lambda y: y.isNotNull()))).alias("turns"))
 
 

@@ -1,5 +1,7 @@
 """Records of all formats are parsed once, and their events are numbered and classified once: plans stay small."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from seqlens.functions import text as X
@@ -106,3 +108,53 @@ def test_admission_opens_records_once(spark, monkeypatch):
     assert [(r.key, r.outcome) for r in kept.collect()] == [(1, "fail")] and lost.count() == 2
     plan = kept._jdf.queryExecution().optimizedPlan().toString()
     assert calls == [1] and "json_tuple" not in plan
+
+
+def test_admission_counts_acts_and_classifies_none(spark, monkeypatch):
+    names, stored = [], R.stored
+    monkeypatch.setattr(R, "stored", lambda df, name: names.append(name) or stored(df, name))
+    records = spark.createDataFrame([(1, STEPS), (2, TEXTS), (3, CHAT), (-1, '{"instance_id":"x"}')], "key long, record string")
+    kept, events, lost = R.trajectories(records, terminal=False, least=3)
+    assert "events" not in names  # none are made to be counted
+    n = {r.key: r.n for r in kept.collect()}
+    assert n == {1: 3, 3: 3} == {r.task_id: r["count"] for r in events.groupBy("task_id").count().collect()}
+    assert sorted(r.key for r in lost.collect()) == [-1, 2]
+    got = [tuple(r) for r in events.select("task_id", "step", "type", "outcome", "error_type", "tokens_used").orderBy("task_id", "step").collect()]
+    assert got == [
+        (1, 0, "file_edit", None, None, None), (1, 1, "error_reveal", None, "KeyError", None), (1, 2, "context_update", None, None, 8),
+        (3, 0, "test_run", "fail", None, None), (3, 1, "error_reveal", None, "RuntimeError", None), (3, 2, "context_update", None, None, 7),
+    ]
+
+
+def test_counted_acts_try_only_what_makes_acts(spark):
+    df = spark.createDataFrame([(1, 0, "ls", "3 passed", None), (1, 1, " ", "KeyError: x", None), (1, 2, "ls", "KeyError: x", None), (1, 3, None, None, 7)], "task_id long, i int, action string, observation string, tokens long")
+    n = P.step_acts(df).groupBy("task_id").count()
+    assert [tuple(r) for r in n.collect()] == [(1, 4)]
+    assert "Failures" not in n._jdf.queryExecution().optimizedPlan().toString()  # the patterns of shown results
+
+
+def test_sample_texts_are_made_once_and_dealt_by_number(spark, monkeypatch):
+    c = F.col("c")
+    texts = ["", "a}", 'x"}"', "}}", "\\", "\n\u3000{", "a"]
+    got = spark.createDataFrame([(t,) for t in texts], "c string").select(Q.quoted(c).alias("q"), c)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("StructsToJson") == 1
+    assert [json.loads(r.q) for r in got.collect()] == texts
+    monkeypatch.setattr(Q, "stored", lambda df, name: df)
+    plan = Q.patch_records(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 4
+
+
+def test_actions_and_contents_are_worked_out_once(spark):
+    texts = ["", " ", "a", "a\n b \r\n\x0b\n", "\u3000x\ry\x85 ", "\n\n", "a\x0bb", "```\n```", "``` ```z\nq```", "```x\n  ls \n```\nwell\n```\nno\n```", "```x", None]
+    t = F.col("text")
+    lines = F.filter(F.transform(F.split(t, r"\r\n|[\n\r]"), X.py_strip), lambda x: x != "")
+    last = F.coalesce(F.try_element_at(lines, F.lit(-1)), F.lit(""))
+    fence = F.when(t.rlike(X.ACTION_FENCE), X.py_strip(F.regexp_extract(t, X.ACTION_FENCE, 1)))
+    rows = spark.createDataFrame([(x,) for x in texts], "text string").select(
+        t, X.last_line(t).eqNullSafe(last).alias("l"), P.role_text_action().eqNullSafe(X.truthy(F.coalesce(fence, last))).alias("r"), P.chat_action().eqNullSafe(F.coalesce(fence, X.truthy(X.py_strip(t)))).alias("c")
+    )
+    assert [r for r in rows.collect() if not (r.l and r.r and r.c)] == []
+    contents = [("[1", "[1"), (None, ""), ("x", "x"), ('["a",{"text":"b"},{"content":"c"},{"z":1},null," {\\"text\\":\\"d\\"}",[2]]', "a b c  d [2]"), ("[]", ""), ("", "")]
+    got = spark.createDataFrame(contents, "text string, want string").select(X.flatten_content(t).alias("got"), "want")
+    assert [r for r in got.collect() if r.got != r.want] == []
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
