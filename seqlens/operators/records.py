@@ -169,6 +169,7 @@ def trajectories(records: DataFrame, terminal: bool, least: int = 15) -> tuple[D
     good = head.filter("format is not null")
     made = acts(good)
     ok = stored(P.admitted(made, outcomes(good), least), "admitted")
+    ok = ok.hint("merge")  # its file looks small, its rows grow with the records
     kept = good.drop(R).join(ok.withColumnRenamed("task_id", "key"), "key")
     lost = head.join(ok.select(F.col("task_id").alias("key")), "key", "left_anti")
     reason = F.when(F.col("format").isNull(), "no_format").otherwise("filter_fail").alias("reason")

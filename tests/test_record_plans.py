@@ -119,6 +119,8 @@ def test_admission_counts_acts_and_classifies_none(spark, monkeypatch):
     n = {r.key: r.n for r in kept.collect()}
     assert n == {1: 3, 3: 3} == {r.task_id: r["count"] for r in events.groupBy("task_id").count().collect()}
     assert sorted(r.key for r in lost.collect()) == [-1, 2]
+    for df in (kept, events, lost):  # admitted ids grow with the records
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
     got = [tuple(r) for r in events.select("task_id", "step", "type", "outcome", "error_type", "tokens_used").orderBy("task_id", "step").collect()]
     assert got == [
         (1, 0, "file_edit", None, None, None), (1, 1, "error_reveal", None, "KeyError", None), (1, 2, "context_update", None, None, 8),
